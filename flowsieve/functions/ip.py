@@ -1,83 +1,91 @@
-"""IPv4 and CIDR column expressions. Addresses are BIGINT in 0 .. 2^32 - 1."""
+"""IPv4 and CIDR expressions as Spark SQL text. Addresses are BIGINT in 0 .. 2^32 - 1.
 
-from __future__ import annotations
+Every function takes the SQL text of its operands, mostly a column name, and returns SQL text
+for F.expr or selectExpr.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # One decimal octet without leading zero; a whole dotted quad.
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-IPV4 = rf"^({OCTET}[.]){{3}}{OCTET}\z"
+IPV4 = rf"({OCTET}[.]){{3}}{OCTET}"
 
 _HEX = "[0-9a-fA-F]{1,4}"
+# Texts that are no IPv4 address are spread over this many blocks of their own.
+LOOSE_BLOCKS = 65536
 
 
 def _ipv6_pattern() -> str:
-    """Eight groups, or k groups, '::' and at most 7 - k groups."""
+    """Eight groups, or k groups, '::' and at most 7 - k groups; then an optional scope."""
     forms = [f"({_HEX}:){{7}}{_HEX}"]
     for left in range(8):
         head = f"{_HEX}(:{_HEX}){{{left - 1}}}" if left else ""
         room = 7 - left
         tail = f"({_HEX}(:{_HEX}){{0,{room - 1}}})?" if room else ""
         forms.append(f"{head}::{tail}")
-    return rf"^({'|'.join(forms)})(%[^%]+)?\z"
+    return f"({'|'.join(forms)})(%[^%]+)?"
 
 
 IPV6 = _ipv6_pattern()
 
 
-def is_ipv4(ip: Column) -> Column:
-    return ip.rlike(IPV4)
+def is_ipv4(ip: str) -> str:
+    return rf"({ip} RLIKE r'^{IPV4}\z')"
 
 
-def is_ipv6(ip: Column) -> Column:
+def is_ipv6(ip: str) -> str:
     # a dotted quad at the end stands for the last two groups
-    dotted_tail = r":" + IPV4.lstrip("^").replace(r"\z", r"(?=%|\z)")
-    return F.regexp_replace(ip, dotted_tail, ":0:0").rlike(IPV6)
+    grouped = rf"regexp_replace({ip}, r':{IPV4}(?=%|\z)', ':0:0')"
+    return rf"({grouped} RLIKE r'^{IPV6}\z')"
 
 
-def ip_to_long(ip: Column) -> Column:
+def ip_to_long(ip: str) -> str:
     """Numeric address, null for anything but a strict dotted quad."""
-    parts = F.split(ip, r"\.")
-    value = sum(
-        (F.get(parts, F.lit(i)).try_cast("bigint") * F.lit(256 ** (3 - i)).cast("bigint") for i in range(1, 4)),
-        F.get(parts, F.lit(0)).try_cast("bigint") * F.lit(256 ** 3).cast("bigint"),
-    )
-    return F.when(is_ipv4(ip), value)
+    octets = [f"try_cast(get(split({ip}, r'\\.'), {i}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4)]
+    return f"CASE WHEN {is_ipv4(ip)} THEN {' + '.join(octets)} END"
 
 
-def long_to_ip(addr: Column) -> Column:
-    return F.concat_ws(".", *[F.shiftright(addr, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
+def long_to_ip(addr: str) -> str:
+    return "concat_ws('.', " + ", ".join(f"({addr} >> {s}) & 255" for s in (24, 16, 8, 0)) + ")"
 
 
-def address_block(ip: Column, addr: Column) -> Column:
-    """The address's /16 (0 .. 65535), or one of 65536 negative hash blocks for other texts."""
-    return F.coalesce(F.shiftright(addr, 16), -1 - F.pmod(F.xxhash64(ip), F.lit(65536)))
+def loose_block(text: str) -> str:
+    """A negative block number for a text that is no IPv4 address."""
+    return f"-1 - pmod(xxhash64({text}), {LOOSE_BLOCKS})"
 
 
-def differing_bits(low: Column, high: Column) -> Column:
-    """Number of trailing bits in which two addresses differ; 0 when equal."""
-    return F.when(low == high, F.lit(0)).otherwise(F.length(F.bin(low.bitwiseXOR(high))))
+def address_block(ip: str, addr: str) -> str:
+    """The address's /16 (0 .. 65535), or a negative block for other texts; never null.
 
+    The last literal tells the optimizer so. Without it, a join on the block would push a null
+    check with the whole parsing below the distinct, on one side only, and the two sides of that
+    join would no longer share one scan and shuffle of the log.
+    """
+    return f"coalesce({addr} >> 16, {loose_block(ip)}, -1L)"
 
-def clear_low_bits(addr: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", F.call_function("shiftright", addr, bits), bits)
 
+def differing_bits(low: str, high: str) -> str:
+    """Number of trailing bits in which two addresses differ; 0 when equal."""
+    return f"CASE WHEN {low} = {high} THEN 0 ELSE length(bin({low} ^ {high})) END"
 
-def block_size(bits: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
 
+def clear_low_bits(addr: str, bits: str) -> str:
+    return f"(({addr} >> {bits}) << {bits})"
 
-def cidr_low(cidr: Column) -> Column:
+
+def cidr_low(cidr: str) -> str:
     """First address of 'a.b.c.d/n', null when the text is no IPv4 CIDR."""
-    bits = _host_bits(cidr)
-    return clear_low_bits(ip_to_long(F.substring_index(cidr, "/", 1)), bits)
+    return clear_low_bits(f"({ip_to_long(_base(cidr))})", _host_bits(cidr))
+
+
+def cidr_high(cidr: str) -> str:
+    return f"({cidr_low(cidr)} + (1L << {_host_bits(cidr)}) - 1)"
 
 
-def cidr_high(cidr: Column) -> Column:
-    return cidr_low(cidr) + block_size(_host_bits(cidr)) - 1
+def _base(cidr: str) -> str:
+    return f"substring_index({cidr}, '/', 1)"
 
 
-def _host_bits(cidr: Column) -> Column:
-    plen = F.when(cidr.rlike(r"^[^/]+/(3[0-2]|[12]?[0-9])\z"), F.substring_index(cidr, "/", -1).try_cast("int"))
-    return 32 - plen
+def _host_bits(cidr: str) -> str:
+    plen = rf"CASE WHEN {cidr} RLIKE r'^[^/]+/(3[0-2]|[12]?[0-9])\z' THEN try_cast(substring_index({cidr}, '/', -1) AS INT) END"
+    return f"(32 - ({plen}))"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.functions.ip import cidr_high, cidr_low
+from flowsieve.functions.ip import cidr_high, cidr_low, loose_block
 from flowsieve.schema import key_list
 
 
@@ -40,19 +40,14 @@ def outermost_networks(cidrs: DataFrame, keys: Sequence[str] = (), cidr: str = "
     nets = (
         cidrs.select(*keys, F.col(cidr).alias("cidr"))
         .distinct()
-        .withColumn("lo", cidr_low(F.col("cidr")))
-        .withColumn("hi", cidr_high(F.col("cidr")))
+        .selectExpr("*", f"{cidr_low('cidr')} AS lo", f"{cidr_high('cidr')} AS hi")
+        .selectExpr("*", f"coalesce(lo >> 16, {loose_block('cidr')}) AS home")
     )
-    # texts that are no network are spread over negative blocks
-    loose = -1 - F.pmod(F.xxhash64("cidr"), F.lit(65536))
-    home = F.coalesce(F.shiftright("lo", 16), loose)
-    covered = nets.withColumn("home", home).withColumn(
-        "block", F.explode(F.sequence(F.col("home"), F.coalesce(F.shiftright("hi", 16), F.col("home")))))
+    covered = nets.selectExpr("*", "explode(sequence(home, coalesce(hi >> 16, home))) AS block")
     wider = (
         Window.partitionBy(*keys, "block")
         .orderBy("lo", F.desc("hi"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    reach = F.max("hi").over(wider)
-    kept = covered.withColumn("inside", F.coalesce(reach >= F.col("hi"), F.lit(False)))
-    return kept.where((F.col("block") == F.col("home")) & ~F.col("inside")).select(*keys, "cidr", "lo")
+    kept = covered.withColumn("reach", F.max("hi").over(wider))
+    return kept.where("block = home AND NOT coalesce(reach >= hi, false)").select(*keys, "cidr", "lo")

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.ip import address_block, ip_to_long
 from flowsieve.operators.joins import lookup_join
-from flowsieve.operators.networks import distinct_addresses, ip_networks
+from flowsieve.operators.networks import ADDRESS_TEXT, distinct_addresses, ip_networks
 from flowsieve.schema import key_list
 
 
@@ -31,13 +31,10 @@ def networks_by_block(networks: DataFrame, keys: Sequence[str] = ()) -> DataFram
     )
 
 
-def first_containing(networks: Column, addr: Column) -> Column:
-    holding = F.filter(networks, lambda n: (n["lo"] <= addr) & (addr <= n["hi"]))
-    return F.try_element_at(holding, F.lit(1)).getField("cidr")
-
-
-def host_label(ip: Column) -> Column:
-    return F.concat(ip, F.lit("/32"))
+def _label(ip: str) -> str:
+    """SQL: the first of `networks` that holds `addr`, else 'text/32'."""
+    first = "try_element_at(filter(networks, n -> n.lo <= addr AND addr <= n.hi), 1).cidr"
+    return f"coalesce({first}, {ip} || '/32')"
 
 
 def ip_to_cidr(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
@@ -45,16 +42,14 @@ def ip_to_cidr(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> Data
     keys = key_list(keys)
     blocks = networks_by_block(ip_networks(ips, keys, ip), keys)
     labelled = distinct_addresses(ips, keys, ip).join(blocks, [*keys, "block"], "left")
-    label = F.coalesce(first_containing(F.col("networks"), F.col("addr")), host_label(F.col("ip")))
-    return labelled.select(*keys, "ip", label.alias("cidr"))
+    return labelled.select(*keys, F.expr(ADDRESS_TEXT).alias("ip"), F.expr(_label("loose")).alias("cidr"))
 
 
 def label_column(
     rows: DataFrame, networks: DataFrame, ip: str, label: str, spread_by: Sequence[str], small: bool
 ) -> DataFrame:
     """Add to every row the label of its address, from materialised networks of that side."""
-    blocks = networks_by_block(networks)
-    placed = rows.withColumn("addr", ip_to_long(F.col(ip))).withColumn("block", address_block(F.col(ip), F.col("addr")))
-    joined = lookup_join(placed, blocks, "block", spread_by, small)
-    cidr = F.coalesce(first_containing(F.col("networks"), F.col("addr")), host_label(F.col(ip)))
-    return joined.withColumn(label, cidr).drop("addr", "block", "networks")
+    placed = rows.selectExpr("*", f"{ip_to_long(f'`{ip}`')} AS addr").selectExpr(
+        "*", f"{address_block(f'`{ip}`', 'addr')} AS block")
+    joined = lookup_join(placed, networks_by_block(networks), "block", spread_by, small)
+    return joined.selectExpr(*[f"`{c}`" for c in rows.columns], f"{_label(f'`{ip}`')} AS `{label}`")

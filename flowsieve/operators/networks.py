@@ -15,124 +15,139 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.ip import (
-    address_block,
-    block_size,
-    clear_low_bits,
-    differing_bits,
-    ip_to_long,
-    is_ipv6,
-    long_to_ip,
-)
+from flowsieve.functions.ip import address_block, clear_low_bits, differing_bits, ip_to_long, is_ipv4, is_ipv6, long_to_ip
 from flowsieve.operators.traffic import row_count
 from flowsieve.schema import FLOW_COUNT, key_list
 
+SOURCE, DESTINATION = "source", "destination"
 # Fixed value: the largest step between neighbours of one run.
 MAX_STEP = 256
-SOURCE, DESTINATION = "source", "destination"
 # A run of 2^32 addresses is halved at most 32 times before only single addresses are left.
 MAX_HALVINGS = 33
 
+# SQL: the text of an address as it was read.
+ADDRESS_TEXT = f"coalesce(loose, {long_to_ip('addr')})"
 
-def distinct_addresses(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
-    """Distinct (keys, ip) with numeric address and block; null keys and addresses drop out."""
-    keys = key_list(keys)
-    found = ips.select(*keys, F.col(ip).alias("ip")).dropna().distinct()
-    addr = ip_to_long(F.col("ip"))
-    return found.withColumn("addr", addr).withColumn("block", address_block(F.col("ip"), F.col("addr")))
+_NO_RANKS = "CAST(array() AS ARRAY<BIGINT>)"
+_SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+# whole-partition frames keep the order of their neighbours, so that one window operator serves all
+_WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
-def _runs_in_block(addresses: DataFrame, keys: list[str]) -> DataFrame:
-    in_block = Window.partitionBy(*keys, "block").orderBy("addr")
-    step = F.col("addr") - F.lag("addr").over(in_block)
-    return (
-        addresses.withColumn("opens", F.coalesce(step > MAX_STEP, F.lit(False)))
-        .withColumn("rank", F.row_number().over(in_block).cast("bigint") - 1)
-        .withColumn("run", F.sum(F.col("opens").cast("bigint")).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
-    )
+def _quoted(keys: Sequence[str]) -> list[str]:
+    return [f"`{k}`" for k in keys]
 
 
-def _cut_ranks(border: Column, length: Column) -> Column:
-    """Ranks at which halving a run of `length` addresses cuts on its way to `border`."""
-    none = F.array().cast("array<bigint>")
+def _window(keys: Sequence[str], order: str, frame: str = "") -> str:
+    partition = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    return f"OVER ({partition} ORDER BY {order} {frame})"
 
-    def halve(state: Column, _: Column) -> Column:
-        low, high = state["low"], state["high"]
-        mid = low + F.shiftright(high - low, 1)
-        inside = (border > low) & (border < high)
-        return F.struct(
-            F.when(inside & (border >= mid), mid).otherwise(low).alias("low"),
-            F.when(inside & (border < mid), mid).otherwise(high).alias("high"),
-            F.when(inside, F.concat(state["cuts"], F.array(mid))).otherwise(state["cuts"]).alias("cuts"),
-        )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("low"), length.alias("high"), none.alias("cuts"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_HALVINGS)), start, halve, lambda state: state["cuts"])
-    return F.when((border > 0) & (border < length), walk).otherwise(none)
+def distinct_addresses(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
+    """Distinct addresses by key: (keys, addr, loose, block); null keys and addresses drop out.
+
+    An IPv4 address is only its number, any other text is in `loose`, see ADDRESS_TEXT. Callers
+    that join this with a summary of itself read the same four columns on both sides, so that
+    Spark reuses both shuffles.
+    """
+    found = ips.select(*key_list(keys), F.col(ip).alias("ip"))
+    for name in found.columns:
+        found = found.where(F.col(name).isNotNull())
+    found = found.distinct()
+    keys = _quoted(key_list(keys))
+    numbered = found.selectExpr(*keys, "ip", f"{ip_to_long('ip')} AS addr")
+    return numbered.selectExpr(
+        *keys, "addr", "CASE WHEN addr IS NULL THEN ip END AS loose", f"{address_block('ip', 'addr')} AS block")
 
 
-def _cuts_in_piece(base: Column, size: Column, length: Column, first_rank: Column) -> Column:
-    """Block-local ranks at which the piece [base, base + size) of a run is cut."""
-    cuts = F.array_union(_cut_ranks(base, length), _cut_ranks(base + size, length))
-    within = F.filter(cuts, lambda c: (c > base) & (c < base + size))
-    return F.transform(within, lambda c: c - base + first_rank)
+def _runs_in_block(addresses: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank of each address in its block, and the number of its run in the block."""
+    block = [*_quoted(keys), "block"]
+    in_order = _window(block, "addr")
+    return addresses.selectExpr(
+        "*",
+        f"coalesce(addr - lag(addr) {in_order} > {MAX_STEP}, false) AS opens",
+        f"CAST(row_number() {in_order} AS BIGINT) - 1 AS rank",
+    ).selectExpr("*", f"sum(CAST(opens AS BIGINT)) {_window(block, 'addr', _SO_FAR)} AS run")
+
+
+def _cut_ranks(border: str, length: str) -> str:
+    """SQL: ranks at which halving a run of `length` addresses cuts on its way to `border`."""
+    mid = "s.low + (s.high - s.low) DIV 2"
+    inside = f"{border} > s.low AND {border} < s.high"
+    return f"""CASE WHEN {border} > 0 AND {border} < {length} THEN aggregate(
+      sequence(1, {MAX_HALVINGS}),
+      named_struct('low', 0L, 'high', {length}, 'cuts', {_NO_RANKS}),
+      (s, step) -> named_struct(
+        'low', CASE WHEN {inside} AND {border} >= {mid} THEN {mid} ELSE s.low END,
+        'high', CASE WHEN {inside} AND {border} < {mid} THEN {mid} ELSE s.high END,
+        'cuts', CASE WHEN {inside} THEN concat(s.cuts, array({mid})) ELSE s.cuts END),
+      s -> s.cuts) ELSE {_NO_RANKS} END"""
+
+
+def _cuts_in_piece(base: str, size: str, length: str, first_rank: str) -> str:
+    """SQL: block-local ranks at which the piece [base, base + size) of a run is cut."""
+    cuts = f"array_union({_cut_ranks(base, length)}, {_cut_ranks(f'({base} + {size})', length)})"
+    return (f"transform(filter({cuts}, c -> c > {base} AND c < {base} + {size}), "
+            f"c -> c - {base} + {first_rank})")
 
 
 def _block_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (keys, block): how its runs join the neighbouring blocks, and where they are cut."""
+    names = _quoted(keys)
     blocks = runs.groupBy(*keys, "block").agg(
-        F.min("addr").alias("low"),
-        F.max("addr").alias("high"),
-        F.count("*").alias("size"),
-        (F.max("run") + 1).alias("runs"),
-        F.count_if(F.col("run") == 0).alias("head_size"),
-        F.coalesce(F.max(F.when(F.col("opens"), F.col("rank"))), F.lit(0).cast("bigint")).alias("tail_rank"),
-        F.count_if(F.col("addr").isNull() & ~is_ipv6(F.col("ip"))).alias("broken"),
+        F.expr("min(addr) AS low"),
+        F.expr("max(addr) AS high"),
+        F.expr("count(*) AS size"),
+        F.expr("max(run) + 1 AS runs"),
+        F.expr("count_if(run = 0) AS head_size"),
+        F.expr("coalesce(max(CASE WHEN opens THEN rank END), 0L) AS tail_rank"),
+        F.expr("max(loose IS NULL) AS any_ipv4"),
+        F.expr(f"max(loose IS NOT NULL AND NOT {is_ipv6('loose')}) AS any_broken"),
+    )
+    # joins: the first run continues the last run of the previous block
+    linked = blocks.selectExpr(
+        "*",
+        f"coalesce(low - lag(high) {_window(names, 'block')} <= {MAX_STEP}, false) AS joins",
+        "size - tail_rank AS tail_size",
+        f"max(any_ipv4) {_window(names, 'block', _WHOLE)} AS has_ipv4",
+        f"max(any_broken) {_window(names, 'block', _WHOLE)} AS has_broken",
     )
-    over_blocks = Window.partitionBy(*keys).orderBy("block")
-    so_far = over_blocks.rowsBetween(Window.unboundedPreceding, 0)
-    before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
-    all_blocks = Window.partitionBy(*keys)
-    zero = F.lit(0).cast("bigint")
-    joined = (
-        blocks.withColumn("joins", F.coalesce(F.col("low") - F.lag("high").over(over_blocks) <= MAX_STEP, F.lit(False)))
-        .withColumn("split_head", F.col("joins") & (F.col("runs") > 1))
-        .withColumn("tail_size", F.col("size") - F.col("tail_rank"))
-        # the block in which the last run of this block begins
-        .withColumn("origin", F.max(F.when(~F.col("joins") | (F.col("runs") > 1), F.col("block"))).over(so_far))
-        .withColumn("next_head", F.lead(F.when(F.col("split_head"), F.col("head_size")), 1, 0).over(over_blocks))
-        .withColumn("runs_before", F.coalesce(
-            F.sum(F.col("runs") - F.col("joins").cast("bigint")).over(before), zero))
-        .withColumn("has_ipv4", F.max(F.col("block") >= 0).over(all_blocks))
-        .withColumn("has_broken", F.max(F.col("broken") > 0).over(all_blocks))
+    # origin: the block in which the last run of this block begins
+    chained = linked.selectExpr(
+        "*",
+        f"max(CASE WHEN NOT joins OR runs > 1 THEN block END) {_window(names, 'block', _SO_FAR)} AS origin",
+        f"lead(CASE WHEN joins AND runs > 1 THEN head_size ELSE 0 END, 1, 0L) {_window(names, 'block')} AS next_head",
+        f"coalesce(sum(runs - CAST(joins AS BIGINT)) {_window(names, 'block', _BEFORE)}, 0L) AS runs_before",
     )
-    of_run = Window.partitionBy(*keys, "origin")
-    earlier = of_run.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        joined.withColumn("tail_base", F.coalesce(F.sum("tail_size").over(earlier), zero))
-        .withColumn("tail_run", F.sum(F.col("tail_size") + F.coalesce("next_head", zero)).over(of_run))
-        .withColumn("head_base", F.lag(F.col("tail_base") + F.col("tail_size")).over(over_blocks))
-        .withColumn("head_run", F.lag("tail_run").over(over_blocks))
-        .withColumn("cuts", F.concat(
-            F.when(F.col("split_head"), _cuts_in_piece(
-                F.col("head_base"), F.col("head_size"), F.col("head_run"), zero))
-            .otherwise(F.array().cast("array<bigint>")),
-            _cuts_in_piece(F.col("tail_base"), F.col("tail_size"), F.col("tail_run"), F.col("tail_rank")),
-        ))
-        .select(*keys, "block", "cuts", "joins", "runs_before", "has_ipv4", "has_broken")
+    of_run = [*names, "origin"]
+    ranked = chained.selectExpr(
+        "*",
+        f"coalesce(sum(tail_size) {_window(of_run, 'block', _BEFORE)}, 0L) AS tail_base",
+        f"sum(tail_size + next_head) {_window(of_run, 'block', _WHOLE)} AS tail_run",
     )
+    headed = ranked.selectExpr(
+        "*",
+        f"lag(tail_base + tail_size) {_window(names, 'block')} AS head_base",
+        f"lag(tail_run) {_window(names, 'block')} AS head_run",
+    )
+    head_cuts = f"CASE WHEN joins AND runs > 1 THEN {_cuts_in_piece('head_base', 'head_size', 'head_run', '0L')} ELSE {_NO_RANKS} END"
+    tail_cuts = _cuts_in_piece("tail_base", "tail_size", "tail_run", "tail_rank")
+    return headed.selectExpr(
+        *names, "block", "joins", "runs_before", "has_ipv4", "has_broken", f"concat({head_cuts}, {tail_cuts}) AS cuts")
 
 
 def ip_blocks(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
     """Every distinct IPv4 address with the 0-based number of its run within the keys."""
     keys = key_list(keys)
-    valid = distinct_addresses(ips, keys, ip).where(F.col("addr").isNotNull())
+    valid = distinct_addresses(ips, keys, ip).where("addr IS NOT NULL")
     runs = _runs_in_block(valid, keys)
-    number = F.col("runs_before") + F.col("run") - F.col("joins").cast("bigint")
-    return runs.join(_block_summary(runs, keys), [*keys, "block"]).select(*keys, "ip", "addr", number.alias("run_no"))
+    placed = runs.join(_block_summary(runs, keys), [*keys, "block"])
+    return placed.selectExpr(*_quoted(keys), f"{long_to_ip('addr')} AS ip", "addr", "runs_before + run - CAST(joins AS BIGINT) AS run_no")
 
 
 def ip_networks(
@@ -150,31 +165,29 @@ def ip_networks(
     keys = key_list(keys)
     runs = _runs_in_block(distinct_addresses(ips, keys, ip), keys)
     placed = runs.join(_block_summary(runs, keys), [*keys, "block"])
-    as_host = F.col("addr").isNull()
-    wanted = ~as_host | ~F.col("has_ipv4")
-    if on_invalid == "all_host":
-        wanted = wanted | F.col("has_broken")
-        as_host = as_host | F.col("has_broken")
+    all_host = "has_broken" if on_invalid == "all_host" else "false"
     pieces = (
-        placed.where(wanted)
-        .withColumn("host", F.when(as_host, F.col("ip")))
-        .withColumn("piece", F.size(F.filter("cuts", lambda c: c <= F.col("rank"))))
+        placed.where(f"loose IS NULL OR NOT has_ipv4 OR {all_host}")
+        .selectExpr(
+            *_quoted(keys), "block", "run", "addr",
+            f"CASE WHEN {all_host} THEN {ADDRESS_TEXT} ELSE loose END AS host",
+            "CASE WHEN size(cuts) = 0 THEN 0 ELSE size(filter(cuts, c -> c <= rank)) END AS piece",
+        )
         .groupBy(*keys, "block", "run", "piece", "host")
-        .agg(F.min("addr").alias("first_addr"), F.max("addr").alias("last_addr"))
+        .agg(F.expr("min(addr) AS first_addr"), F.expr("max(addr) AS last_addr"))
     )
-    bits = differing_bits(F.col("first_addr"), F.col("last_addr"))
-    network = pieces.withColumn("bits", F.when(F.col("host").isNull(), bits)).withColumn(
-        "net", clear_low_bits(F.col("first_addr"), F.col("bits")))
-    cidr = F.coalesce(F.concat(F.col("host"), F.lit("/32")),
-                      F.concat(long_to_ip(F.col("net")), F.lit("/"), (32 - F.col("bits")).cast("string")))
-    return network.select(
-        *keys,
-        cidr.alias("cidr"),
-        F.col("net"),
-        (32 - F.col("bits")).alias("plen"),
-        F.col("net").alias("lo"),
-        (F.col("net") + block_size(F.col("bits")) - 1).alias("hi"),
-        F.when(F.col("host").isNull(), F.col("first_addr")).alias("first_addr"),
+    sized = pieces.selectExpr(
+        *_quoted(keys), "host", "CASE WHEN host IS NULL THEN first_addr END AS first_addr",
+        f"CASE WHEN host IS NULL THEN {differing_bits('first_addr', 'last_addr')} END AS bits")
+    network = sized.selectExpr("*", f"{clear_low_bits('first_addr', 'bits')} AS net")
+    return network.selectExpr(
+        *_quoted(keys),
+        f"coalesce(host || '/32', {long_to_ip('net')} || '/' || (32 - bits)) AS cidr",
+        "net",
+        "32 - bits AS plen",
+        "net AS lo",
+        "net + (1L << bits) - 1 AS hi",
+        "first_addr",
     )
 
 
@@ -188,6 +201,6 @@ def both_sides(flows: DataFrame, *carry: str) -> DataFrame:
 def invalid_ips(flows: DataFrame) -> DataFrame:
     """Addresses that folding skips, with side, reason and number of rows."""
     seen = both_sides(flows).groupBy("side", "ip").agg(row_count(flows).alias("rows"))
-    rejected = seen.where(F.col("ip").isNull() | ip_to_long(F.col("ip")).isNull())
-    reason = F.when(F.col("ip").isNull(), "missing").otherwise("not_ipv4")
-    return rejected.select("side", "ip", reason.alias("reason"), "rows")
+    rejected = seen.where(f"ip IS NULL OR NOT {is_ipv4('ip')}")
+    return rejected.selectExpr(
+        "side", "ip", "CASE WHEN ip IS NULL THEN 'missing' ELSE 'not_ipv4' END AS reason", "rows")
