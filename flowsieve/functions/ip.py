@@ -7,8 +7,8 @@ for F.expr or selectExpr.
 from __future__ import annotations
 
 # One decimal octet without leading zero; a whole dotted quad.
-OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-IPV4 = rf"({OCTET}[.]){{3}}{OCTET}"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4 = rf"(?:{OCTET}[.]){{3}}{OCTET}"
 
 _HEX = "[0-9a-fA-F]{1,4}"
 # Texts that are no IPv4 address are spread over this many blocks of their own.
@@ -41,8 +41,9 @@ def is_ipv6(ip: str) -> str:
 
 def ip_to_long(ip: str) -> str:
     """Numeric address, null for anything but a strict dotted quad."""
-    octets = [f"try_cast(get(split({ip}, r'\\.'), {i}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4)]
-    return f"CASE WHEN {is_ipv4(ip)} THEN {' + '.join(octets)} END"
+    octets = [f"try_cast(get(split({ip}, r'\\.'), {i}) AS INT) * {256 ** (3 - i)}L" for i in range(4)]
+    # the check is a term of its own because Spark splits the text only once outside a CASE
+    return f"({' + '.join(octets)} + CASE WHEN {is_ipv4(ip)} THEN 0L END)"
 
 
 def long_to_ip(addr: str) -> str:
@@ -75,7 +76,7 @@ def clear_low_bits(addr: str, bits: str) -> str:
 
 def cidr_low(cidr: str) -> str:
     """First address of 'a.b.c.d/n', null when the text is no IPv4 CIDR."""
-    return clear_low_bits(f"({ip_to_long(_base(cidr))})", _host_bits(cidr))
+    return clear_low_bits(ip_to_long(_base(cidr)), _host_bits(cidr))
 
 
 def cidr_high(cidr: str) -> str:

@@ -37,7 +37,7 @@ def lookup_join(
         return rows.join(F.broadcast(lookup), on, how)
     salts = _salts(rows)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    repeated = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    repeated = lookup.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) AS salt")
     return salted.join(repeated, [*on, "salt"], how).drop("salt")
 
 

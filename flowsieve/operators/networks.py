@@ -135,10 +135,14 @@ def _block_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
         f"lag(tail_base + tail_size) {_window(names, 'block')} AS head_base",
         f"lag(tail_run) {_window(names, 'block')} AS head_run",
     )
-    head_cuts = f"CASE WHEN joins AND runs > 1 THEN {_cuts_in_piece('head_base', 'head_size', 'head_run', '0L')} ELSE {_NO_RANKS} END"
+    head_cuts = _cuts_in_piece("head_base", "head_size", "head_run", "0L")
     tail_cuts = _cuts_in_piece("tail_base", "tail_size", "tail_run", "tail_rank")
+    cuts = f"""concat(CASE WHEN joins AND runs > 1 THEN {head_cuts} ELSE {_NO_RANKS} END,
+                      CASE WHEN tail_run > tail_size THEN {tail_cuts} ELSE {_NO_RANKS} END)"""
+    # a block with no cuts, the usual case, gets null
+    any_cuts = "(joins AND runs > 1) OR tail_run > tail_size"
     return headed.selectExpr(
-        *names, "block", "joins", "runs_before", "has_ipv4", "has_broken", f"concat({head_cuts}, {tail_cuts}) AS cuts")
+        *names, "block", "joins", "runs_before", "has_ipv4", "has_broken", f"CASE WHEN {any_cuts} THEN {cuts} END AS cuts")
 
 
 def ip_blocks(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
@@ -171,7 +175,7 @@ def ip_networks(
         .selectExpr(
             *_quoted(keys), "block", "run", "addr",
             f"CASE WHEN {all_host} THEN {ADDRESS_TEXT} ELSE loose END AS host",
-            "CASE WHEN size(cuts) = 0 THEN 0 ELSE size(filter(cuts, c -> c <= rank)) END AS piece",
+            "CASE WHEN cuts IS NULL THEN 0 ELSE size(filter(cuts, c -> c <= rank)) END AS piece",
         )
         .groupBy(*keys, "block", "run", "piece", "host")
         .agg(F.expr("min(addr) AS first_addr"), F.expr("max(addr) AS last_addr"))
