@@ -10,17 +10,27 @@ from flowsieve.operators.traffic import (
     basic_stats,
     low_occurrence_pairs,
     rare_pairs,
+    summarise_flows,
     top_destination_ips,
     top_destination_ports,
     top_pairs,
     top_source_ips,
     unusual_ports,
 )
+from flowsieve.schema import FLOW_COUNT
+from flowsieve.sources.scratch import materialise
 
 STATS = ("total_log_entries", "unique_source_ips", "unique_destination_ips", "unique_destination_ports")
 FIELDS = ("name", "source_address", "destination_address", "service", "count")
 
 
+def _summarised(flows: DataFrame) -> DataFrame:
+    """Read the log once: the sections work on distinct flows with their counts."""
+    if FLOW_COUNT in flows.columns:
+        return flows
+    return materialise(summarise_flows(flows.select("src_ip", "dst_ip", "dst_port")), "flow_summary")
+
+
 def _section(rows: DataFrame, section: str, place: Column, **fields: Column) -> DataFrame:
     absent = F.lit(None).cast("string")
     return rows.select(
@@ -71,6 +81,7 @@ def report_rows(flows: DataFrame) -> DataFrame:
 
     `low_occurrence_total` is the number of all rare pairs, of which the report lists ten.
     """
+    flows = _summarised(flows)
     total = rare_pairs(flows).agg(F.count("*").alias("count"))
     lean = generate_lean_rule_set(flows)
     return (
@@ -89,7 +100,7 @@ def report_json(flows: DataFrame) -> DataFrame:
         return F.sort_array(F.collect_list(F.when(F.col("section") == section, F.struct("place", *FIELDS))))
 
     # each section has ten rows at most
-    lists = _base_sections(flows).groupBy().agg(*[
+    lists = _base_sections(_summarised(flows)).groupBy().agg(*[
         rows(s).alias(s) for s in (
             "basic_stats", "top_source_ips", "top_destination_ips", "top_destination_ports",
             "top_source_dest_pairs", "unusual_ports", "low_occurrence_pairs", "optimized_single_rule")])

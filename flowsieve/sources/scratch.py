@@ -11,15 +11,15 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; set only where it is unset and the session is local."""
-    folder = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
+    """The session's checkpoint folder; a local session that has none gets a temporary one."""
+    context = spark.sparkContext
+    folder = spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"Set {_CHECKPOINT_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="flowsieve-")
-    spark.conf.set(_CHECKPOINT_DIR, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="flowsieve-"))
+    return context.getCheckpointDir()
 
 
 def new_scratch_path(spark: SparkSession, name: str) -> str:
