@@ -21,7 +21,7 @@ def address_text(networks: DataFrame, keys: Sequence[str] = (), order: str = "fi
     known = F.col(order).isNotNull()
     chunks = (
         networks.withColumn("block", F.when(known, F.shiftright(order, 16)).otherwise(F.lit(65536)))
-        .withColumn("prefix", F.when(known, F.lit("")).otherwise(F.substring("cidr", 1, 3)))
+        .withColumn("prefix", F.when(known, F.lit("")).otherwise(F.substring("cidr", 1, 16)))
         .groupBy(*keys, "block", "prefix")
         .agg(F.sort_array(F.collect_list(F.struct(order, "cidr"))).alias("members"))
         .select(*keys, F.struct("block", "prefix", F.array_join("members.cidr", ", ").alias("text")).alias("chunk"))

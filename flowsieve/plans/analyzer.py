@@ -55,6 +55,15 @@ class FlowAnalyzer:
             "low_occurrence_pairs": traffic.low_occurrence_pairs(self.summary),
         }
 
+    def analyze_times_and_zones(self) -> dict[str, DataFrame]:
+        """Needs the time and zone columns of the full log."""
+        require_columns(self.flows, ("ts", "ingress_zone", "egress_zone"), "flows")
+        return {
+            "traffic_by_hour": traffic.traffic_by_hour(self.flows),
+            "traffic_by_zone": traffic.traffic_by_zone(self.flows),
+            "after_hours": traffic.after_hours(self.flows),
+        }
+
     def optimize_single_rule(self) -> DataFrame:
         return rulesets.aggregate_single_rule(self.summary)
 

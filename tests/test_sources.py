@@ -118,5 +118,6 @@ def test_analyzer(spark, files):
     usage = analyzer.analyze_rule_usage()
     assert [r.rule_name for r in usage["unused_rules"].collect()] == ["dns"]
     assert analyzer.report_rows().where("section = 'low_occurrence_total'").first()["count"] == 2
+    assert analyzer.analyze_times_and_zones()["traffic_by_zone"].first()["count"] == 3
     with pytest.raises(ValueError, match="src_ip"):
         FlowAnalyzer(spark.range(1))
