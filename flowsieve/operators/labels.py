@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.ip import address_block, ip_to_long
 from flowsieve.operators.joins import lookup_join
-from flowsieve.operators.networks import ADDRESS_TEXT, distinct_addresses, ip_networks
+from flowsieve.operators.networks import ADDRESS_TEXT, distinct_addresses, networks_in_blocks
 from flowsieve.schema import key_list
 
 
 def networks_by_block(networks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, /16 block) with its networks in order."""
+    """One row per (keys, /16 block) with its networks in order, from `networks_in_blocks`."""
     keys = key_list(keys)
     entry = F.struct("first_addr", "lo", "hi", "cidr")
     return (
         networks.where(F.col("lo").isNotNull())
-        .groupBy(*keys, F.shiftright("lo", 16).alias("block"))
+        .groupBy(*keys, "block")
         .agg(F.sort_array(F.collect_list(entry)).alias("networks"))
     )
 
@@ -40,7 +40,7 @@ def _label(ip: str) -> str:
 def ip_to_cidr(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
     """Label of every distinct address: its first containing network, else 'text/32'."""
     keys = key_list(keys)
-    blocks = networks_by_block(ip_networks(ips, keys, ip), keys)
+    blocks = networks_by_block(networks_in_blocks(ips, keys, ip), keys)
     labelled = distinct_addresses(ips, keys, ip).join(blocks, [*keys, "block"], "left")
     return labelled.select(*keys, F.expr(ADDRESS_TEXT).alias("ip"), F.expr(_label("loose")).alias("cidr"))
 

@@ -164,6 +164,13 @@ def ip_networks(
     any IPv4 address gets one 'text/32' label per text (net to first_addr are null there). With
     on_invalid='all_host' one text that is no address at all turns its key into such labels.
     """
+    return networks_in_blocks(ips, keys, ip, on_invalid).drop("block")
+
+
+def networks_in_blocks(
+    ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip", on_invalid: str = "skip"
+) -> DataFrame:
+    """`ip_networks` with the /16 block of each network, by which its rows are already partitioned."""
     if on_invalid not in ("skip", "all_host"):
         raise ValueError(f"on_invalid must be 'skip' or 'all_host', not {on_invalid!r}")
     keys = key_list(keys)
@@ -181,11 +188,12 @@ def ip_networks(
         .agg(F.expr("min(addr) AS first_addr"), F.expr("max(addr) AS last_addr"))
     )
     sized = pieces.selectExpr(
-        *_quoted(keys), "host", "CASE WHEN host IS NULL THEN first_addr END AS first_addr",
+        *_quoted(keys), "block", "host", "CASE WHEN host IS NULL THEN first_addr END AS first_addr",
         f"CASE WHEN host IS NULL THEN {differing_bits('first_addr', 'last_addr')} END AS bits")
     network = sized.selectExpr("*", f"{clear_low_bits('first_addr', 'bits')} AS net")
     return network.selectExpr(
         *_quoted(keys),
+        "block",
         f"coalesce(host || '/32', {long_to_ip('net')} || '/' || (32 - bits)) AS cidr",
         "net",
         "32 - bits AS plen",

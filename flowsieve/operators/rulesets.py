@@ -9,7 +9,7 @@ from flowsieve.functions.services import CUSTOM_PREFIX, ports_to_services, servi
 from flowsieve.operators.addresses import address_text, outermost_networks
 from flowsieve.operators.joins import is_small, with_position
 from flowsieve.operators.labels import label_column
-from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, ip_networks
+from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, ip_networks, networks_in_blocks
 from flowsieve.operators.traffic import row_count, summarise_flows
 from flowsieve.schema import FLOW_COUNT
 from flowsieve.sources.scratch import materialise
@@ -51,7 +51,7 @@ def label_flows(flows: DataFrame) -> DataFrame:
     spreads hot /16 blocks over several tasks. Rows without an address take no part.
     """
     flows = flows.dropna(subset=["src_ip", "dst_ip"])
-    networks = materialise(ip_networks(both_sides(flows), "side"), "networks")
+    networks = materialise(networks_in_blocks(both_sides(flows), "side"), "networks")
     small = is_small(networks)
     weight = [FLOW_COUNT] if FLOW_COUNT in flows.columns else []
     rows = flows.select("src_ip", "dst_ip", "dst_port", *weight)
