@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowsieve.llm import minhash
+from flowsieve.llm import minhash, packing, sharding, token_output, warc
+from flowsieve.sources.scratch import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,31 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written matrices read back: per row its documents, segments and a checksum of its ids."""
+    path = new_scratch_path(spark, "token_matrices")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    token_output.write_matrices(table(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
+    return token_output.read_matrices(spark, path).select(
+        "row_id", "n_ids", "doc_ids", "pieces", "starts", "cu_seqlens", "position_resets", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_scratch_path(spark, "archives")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    return warc.page_captures(warc.assemble(warc.read_records(spark, path, payloads=False), payloads=False))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_minhash_near_dedup,)
+    found = (
+        op1_minhash_near_dedup, op3_best_fit_packing, op4_sampled_splitter_sharding, op8_token_matrices, op10_warc_captures,
+    )
     return {query.__name__: query for query in found}

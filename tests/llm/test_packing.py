@@ -1,0 +1,154 @@
+"""Packing and token matrices: nothing lost, nothing overlapping, few rows."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from flowsieve.llm import packing, queries, token_output
+from flowsieve.llm.tokens import ByteTokenizer, WordTokenizer
+
+SF = "/root/testdata/sf0.001"
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ODD = [
+    None, "", "   ", "\x1c\x1d a\x1eb", "don't we'll I'VE 'S", "<|endoftext|>x <|startoftext|>", "İstanbul ΣΑΣ ß", "étude café.",
+    "a b c\x85d", "x.y,z!! (a) [b] #$% 12 345", "日本語 テスト", "word### word$$$ WORD%%%. Word,", "≠ ≯ a≯", "ﬁ fine",
+    " leading  double   space ", "tail\n\n", "a\n b\t c\r\nd", "🙂🙂 ok", "l" * 5000, "long " * 9000,
+]
+
+
+def direct(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids
+
+
+def test_word_memory_gives_the_tokenizers_ids(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ODD
+    got = WordTokenizer(WORDS).encode([t or "" for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [direct(t) for t in texts]
+
+
+def test_byte_tokenizer_round_trip():
+    coder = ByteTokenizer(RANKS, public_tokenizers.PATTERN)
+    long = " ".join(f"w{i} ab\n\ncd  x" for i in range(200_000))
+    for text in [t or "" for t in ODD] + [long]:
+        ids = coder.encode(text)
+        assert coder.decode(ids) == text
+        if len(text) < 100_000:
+            assert ids.tolist() == coder._encoding.encode_ordinary(text)
+
+
+def check_packed(rows, docs, capacity):
+    ids = {d: [*direct(t), 0] for d, t in docs}
+    pieces, places = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == ids.keys()
+    for doc, found in pieces.items():
+        want = [(n, s, len(ids[doc][s : s + capacity]), zlib.crc32(np.array(ids[doc][s : s + capacity], "<u4").tobytes()))
+                for n, s in enumerate(range(0, len(ids[doc]), capacity))]
+        assert sorted(found) == want
+    for found in places.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(places), -(-sum(map(len, ids.values())) // capacity)
+
+
+def test_packing_query(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    used, least = check_packed(queries.op3_best_fit_packing(spark, SF).collect(), docs, 2048)
+    assert used <= least * 1.03 + 1
+
+
+@pytest.mark.parametrize("limit", [1, 3, 1000])
+def test_packing_odd_texts_and_few_open_bins(spark, limit):
+    docs = list(enumerate(ODD))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumns({"bin": F.lit(1), "piece": F.lit("x")})
+    rows = packing.pack_documents(df, WORDS, capacity=64, open_bins=limit, with_ids=True)
+    check_packed(rows.collect(), docs, 64)
+    assert rows.where("crc32(ids) <> ids_crc32").count() == 0
+
+
+def test_packing_repeats_nulls_and_empty(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    rows = packing.pack_documents(df, WORDS).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 3), (1, 3)]
+    assert packing.pack_documents(df.limit(0), WORDS).count() == 0
+
+
+def test_best_fit_takes_the_least_space_and_the_fullest_closes():
+    bins = packing.OpenBins(10, 2, 0)
+    assert [bins.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]
+    assert bins.place(3) == (1, 7)
+    assert bins.place(8) == (2, 0)
+    assert bins.place(9) == (3, 0)  # two are open (spaces 4 and 2): the one with 2 closes
+    assert sorted(bins.rests()) == [(0, 6), (3, 9)]
+
+
+def test_best_fit_decreasing_against_a_scan():
+    rng = random.Random(3)
+    for _ in range(30):
+        capacity = rng.randrange(1, 70)
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(0, 120))]
+        spaces = []
+        for n in sorted(lengths, reverse=True):
+            fit = min((s for s in spaces if s >= n), default=None)
+            if fit is not None:
+                spaces.remove(fit)
+            spaces.append((capacity if fit is None else fit) - n)
+        got = token_output.best_fit_decreasing(lengths, capacity)
+        assert sorted(i for b in got for i in b) == list(range(len(lengths)))
+        assert sorted(capacity - sum(lengths[i] for i in b) for b in got) == sorted(spaces)
+
+
+def unpacked(rows, kind="<u2"):
+    found = {}
+    for r in rows:
+        ids = np.frombuffer(r.ids, kind)
+        assert r.cu_seqlens[-1] == r.n_ids and r.position_resets == r.cu_seqlens[:-1] and not ids[r.n_ids :].any()
+        for doc, piece, start, lo, hi in zip(
+            r.doc_ids, r.pieces, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True
+        ):
+            found.setdefault(doc, []).append((piece, start, ids[lo:hi].tolist()))
+    out = {}
+    for doc, parts in found.items():
+        out[doc] = []
+        for n, (piece, start, ids) in enumerate(sorted(parts)):
+            assert (piece, start) == (n, len(out[doc]))
+            out[doc] += ids
+    return out
+
+
+def test_matrices_hold_every_id(spark, tmp_path, monkeypatch):
+    coder = ByteTokenizer(RANKS, public_tokenizers.PATTERN)
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10_000 + i, t) for i, t in enumerate(ODD)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2).withColumn("ids", F.lit(0))
+    for chunk in (4000, 8 << 20):
+        monkeypatch.setattr(token_output, "CHUNK", chunk)
+        path = str(tmp_path / str(chunk))
+        token_output.write_matrices(df, path, RANKS, public_tokenizers.PATTERN, row_ids=512)
+        rows = token_output.read_matrices(spark, path).collect()
+        assert unpacked(rows) == {d: coder.encode(t).tolist() for d, t in docs if t}
+        assert len({r.row_id for r in rows}) == len(rows)
+        least = -(-sum(r.n_ids for r in rows) // 512)
+        assert len(rows) <= 1.05 * least + 4
+
+
+def test_matrix_query_keeps_every_document(spark):
+    rows = queries.op8_token_matrices(spark, SF).collect()
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where("text <> ''").collect()}
+    assert {d for r in rows for d in r.doc_ids} == docs
+    empty = spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")
+    assert token_output.packed_rows(empty, RANKS, public_tokenizers.PATTERN).count() == 0
