@@ -10,9 +10,11 @@ similarity of 0.8 a pair shares no band with a probability of (1 - 0.8 ** 6) **
    bucket mates overall: for edited copies of one original that is the original. This takes one
    pair per member, not all pairs of the bucket.
 3. Buckets whose members are still in different components are worked through in blocks: their
-   members outside the bucket's largest component meet all members, and pairs of different
-   components whose signatures agree nearly enough go on. No pair inside a component is made.
-4. All pairs are confirmed on full shingle sets; confirmed pairs are the links.
+   members outside the bucket's largest component meet all members inside a task, and pairs of
+   different components whose signatures agree nearly enough go on, packed by the blocks of
+   documents that they are from. No pair inside a component is made.
+4. All pairs are confirmed on full shingle sets; confirmed pairs are the links. The packed ones meet
+   the sets of their two blocks in one task, so no row is made per pair.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BANDS = 48
 PERMUTATIONS = ROWS * BANDS // 2
 # Members of a bucket that meet in one task.
 BLOCK = 2048
+# Documents, and shingles, of a block whose full sets meet those of another block in one task.
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 256, 500_000
 # Share of equal signature values below which a pair is not near 0.8: 4.5 standard deviations of
 # 2 * PERMUTATIONS draws. A pair at exactly 0.8 falls below it with a probability of about 3e-6.
 SIGNATURE_SLACK = 0.106
@@ -145,62 +149,105 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return materialise(linked.select("a", "b").distinct(), "links")
 
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """(head, member) of every bucket."""
+def _headed(buckets: DataFrame) -> DataFrame:
+    """The bucket rows with the head of the bucket and how many bucket mates the head has."""
     mates = buckets.groupBy("node").agg(F.sum("members").alias("mates"))
-    ranked = buckets.select("key", "node").join(mates, "node")
-    heads = ranked.groupBy("key").agg(F.max(F.struct("mates", -F.col("node"))).alias("top"))
-    heads = heads.select("key", (-F.col("top").getField("col2")).alias("head"))
-    return buckets.select("key", "node").join(heads, "key").where("node <> head").select(
+    ranked = buckets.join(mates, "node")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("other"))).alias("top"))
+    heads = heads.select("key", F.col("top.mates").alias("mates"), (-F.col("top.other")).alias("head"))
+    return buckets.join(heads, "key")
+
+
+def _star_pairs(headed: DataFrame) -> DataFrame:
+    """(head, member) of every bucket."""
+    return headed.where("node <> head").select(
         F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
 
-def _open_pairs(buckets: DataFrame, components: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs that share a bucket but no component, and whose signatures agree nearly enough."""
-    placed = buckets.where("members > 2").join(components, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component"))
+def _homes(headed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The block of every node (node, n_shingles): nodes that have the same most popular head are near each other."""
+    liked = headed.groupBy("node").agg(F.max(F.struct("mates", (-F.col("head")).alias("head"))).alias("top"))
+    near = liked.select("node", F.col("top.head").alias("head")).join(nodes, "node")
+    blocks = near.groupBy("head").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    return near.join(blocks, "head").select("node", F.xxhash64("head", block).alias("home"))
+
+
+def _open_links(
+    headed: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Links between documents that share a bucket but no component."""
+    placed = headed.where("members > 2").join(components, "node", "left").select(
+        "key", "node", "mates", "head", F.coalesce("component", "node").alias("component"))
     by_component = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = by_component.groupBy("key").agg(
         F.count("*").alias("parts"), F.sum("n").alias("members"),
         F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
     split = split.select("key", "members", F.col("largest.component").alias("main"))
     rows = materialise(placed.join(split, "key"), "open_buckets")
-    nodes = rows.select(F.col("node").alias("doc_id")).distinct()
-    marks = materialise(_signature_rows(docs.join(nodes, "doc_id", "left_semi"), words), "signatures")
+    homes = materialise(_homes(rows, nodes), "homes")
+    chosen = docs.join(homes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    marks = materialise(_signature_rows(chosen, words), "signatures")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")
     spread = rows.withColumn("blocks", blocks)
     members = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("minor", F.lit(False))
     minors = spread.where("component <> main").withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("minor", F.lit(True))
     fields = ("key", "block", "minor", "component", "node")
-    # marks are joined before minors are repeated: a hot bucket is many rows here, not one task
-    met = members.select(*fields).unionByName(minors.select(*fields)).join(marks, "node")
+    met = members.select(*fields).unionByName(minors.select(*fields)).join(homes, "node").join(marks, "node")
     least = int(2 * PERMUTATIONS * (percent / 100 - SIGNATURE_SLACK))
 
-    def run(table: pa.Table) -> pa.Table:
+    def meet(table: pa.Table) -> pa.Table:
         minor = table["minor"].to_numpy()
-        node = table["node"].to_numpy()
-        component = table["component"].to_numpy()
+        node, home, component = (table[c].to_numpy() for c in ("node", "home", "component"))
         bucket = table["key"][0].as_py()
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), dtype=np.int64).reshape(-1, BANDS)
         marks = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint16).reshape(len(keys), -1)
         rest = np.flatnonzero(~minor)
         keys_rest, marks_rest = keys[rest], marks[rest]
-        first, second = [], []
+        found = [np.zeros((4, 0), dtype=np.int64)]
         for i in np.flatnonzero(minor):
-            # a pair of two minor members meets twice; the one with the smaller id reports it
             near = (marks_rest == marks[i]).sum(axis=1) >= least
             near &= component[rest] != component[i]
             at = np.flatnonzero(near)
             # of all the buckets that both are in, the first reports the pair
             shared = (keys_rest[at] == keys[i]).argmax(axis=1)
-            at = at[keys_rest[at, shared] == bucket]
-            first.append(np.minimum(node[i], node[rest[at]]))
-            second.append(np.maximum(node[i], node[rest[at]]))
-        pairs = np.unique(np.stack([np.concatenate(first), np.concatenate(second)]), axis=1) if first else np.zeros((2, 0), dtype=np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-    return materialise(met.groupBy("key", "block").applyInArrow(run, "a long, b long").distinct(), "open_pairs")
+            at = rest[at[keys_rest[at, shared] == bucket]]
+            pair = np.stack([np.full(len(at), home[i]), home[at], np.full(len(at), node[i]), node[at]])
+            found.append(np.where(pair[0] <= pair[1], pair, pair[[1, 0, 3, 2]]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        cuts = np.flatnonzero(np.any(pairs[:2, 1:] != pairs[:2, :-1], axis=0)) + 1 if pairs.size else []
+        parts = [p for p in np.split(pairs, cuts, axis=1) if p.size]
+        return pa.table({
+            "home_a": pa.array([int(p[0, 0]) for p in parts], pa.int64()), "home_b": pa.array([int(p[1, 0]) for p in parts], pa.int64()),
+            "pairs": pa.array([np.ascontiguousarray(p[2:].T).tobytes() for p in parts], pa.binary())})
+
+    packed = materialise(
+        met.groupBy("key", "block").applyInArrow(meet, "home_a long, home_b long, pairs binary"), "open_pairs")
+    sets = materialise(_full_sets(chosen, words).join(homes, "node"), "open_sets")
+    ways = packed.select(F.col("home_a").alias("from_a"), F.col("home_b").alias("from_b")).distinct()
+    both = ways.select("*", F.explode(F.array_distinct(F.array("from_a", "from_b"))).alias("home"))
+    needed = both.join(sets, "home").select("from_a", "from_b", "node", "shingles")
+
+    def confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        listed = sets["shingles"].combine_chunks()
+        values, offsets = listed.values.to_numpy(), listed.offsets.to_numpy()
+        own = {n: values[offsets[i] : offsets[i + 1]] for i, n in enumerate(sets["node"].to_pylist())}
+        wanted = np.unique(np.frombuffer(b"".join(pairs["pairs"].to_pylist()), dtype=np.int64).reshape(-1, 2), axis=0)
+        linked = []
+        for a, b in wanted.tolist():
+            x, y = own[a], own[b]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            merged = np.sort(np.concatenate([x, y]))
+            common = int((merged[1:] == merged[:-1]).sum())
+            if 100 * common >= percent * (len(merged) - common):
+                linked.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
+
+    links = packed.groupBy("home_a", "home_b").cogroup(needed.groupBy("from_a", "from_b")).applyInArrow(confirm, "a long, b long")
+    return materialise(links, "open_links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,9 +273,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     sizes = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = materialise(banded.join(sizes, "key"), "buckets")
 
-    links = _confirmed(materialise(_star_pairs(buckets), "star_pairs"), named, words, percent)
+    headed = materialise(_headed(buckets), "headed_buckets")
+    links = _confirmed(materialise(_star_pairs(headed), "star_pairs"), named, words, percent)
     components = materialise(connected_components(links), "components")
-    more = _confirmed(_open_pairs(buckets, components, named, words, percent), named, words, percent)
+    nodes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    more = _open_links(headed, components, nodes, named, words, percent)
     copies = known.join(classes, ["low", "high", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("node").alias("a"))
     # rows that share an id but not their text tie two classes together
     ties = copies.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("last")).where("a < last")

@@ -64,6 +64,7 @@ def test_query_matches_all_pairs(spark):
 
 def test_edited_copies_and_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK_DOCUMENTS", 5)
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     other = [f"v{rng.randrange(400)}" for _ in range(60)]
