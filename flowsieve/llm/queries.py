@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import minhash, packing, sharding, token_output, warc
+from flowsieve.llm import minhash, packing, sharding, token_output, toxicity, warc
 from flowsieve.sources.scratch import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written matrices read back: per row its documents, segments and a checksum of its ids."""
     path = new_scratch_path(spark, "token_matrices")
@@ -47,6 +51,6 @@ def op10_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_minhash_near_dedup, op3_best_fit_packing, op4_sampled_splitter_sharding, op8_token_matrices, op10_warc_captures,
+        op1_minhash_near_dedup, op3_best_fit_packing, op4_sampled_splitter_sharding, op7_toxicity_trees, op8_token_matrices, op10_warc_captures,
     )
     return {query.__name__: query for query in found}
