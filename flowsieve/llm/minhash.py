@@ -77,19 +77,20 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, sets, sizes) of slices of (id, text) batches."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """(other columns, sets, sizes) of slices of batches whose last column is the text."""
     hasher = WordHasher()
     for batch in batches:
-        for part in slices(batch, 1):
-            yield part.column(0), *shingle_sets(*hasher.words(part.column(1)), words)
+        text = batch.num_columns - 1
+        for part in slices(batch, text):
+            yield part.columns[:text], *shingle_sets(*hasher.words(part.column(text)), words)
 
 
 def _sketch(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, low, high, bands) of every document; low and high identify its set."""
 
     def run(batches):
-        for ids, sets, sizes in _sets(batches, words):
+        for (ids,), sets, sizes in _sets(batches, words):
             full = sizes > 0
             starts = (np.cumsum(sizes) - sizes)[full]
             low, high = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
@@ -107,46 +108,70 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Of (node, home, text)."""
+
     def run(batches):
-        for ids, sets, sizes in _sets(batches, words):
+        for (nodes, homes), sets, sizes in _sets(batches, words):
             yield pa.RecordBatch.from_arrays(
-                [ids, _lists(sets.view(np.int64), sizes, pa.int64())], names=["node", "shingles"])
+                [nodes, homes, _lists(sets.view(np.int64), sizes, pa.int64())], names=["node", "home", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "home", "text").mapInArrow(run, "node long, home long, shingles array<long>")
 
 
-def _signature_rows(docs: DataFrame, words: int) -> DataFrame:
-    """Band keys and the low 16 bits of every signature value."""
+def _marks(sets: DataFrame) -> DataFrame:
+    """Band keys and the low 16 bits of every signature value of (node, shingles)."""
 
     def run(batches):
-        for ids, sets, sizes in _sets(batches, words):
-            found = signatures(sets, sizes)
-            keys = band_keys(found)
-            short = found.astype(np.uint16)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([k.tobytes() for k in keys], pa.binary()),
-                 pa.array([s.tobytes() for s in short], pa.binary())], names=["node", "keys", "signature"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                listed = part.column(1)
+                sizes = np.diff(listed.offsets.to_numpy())
+                found = signatures(listed.flatten().to_numpy().view(np.uint64), sizes)
+                keys, short = band_keys(found), found.astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([k.tobytes() for k in keys], pa.binary()),
+                     pa.array([s.tobytes() for s in short], pa.binary())], names=["node", "keys", "signature"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, keys binary, signature binary")
+
+
+def _confirmed(packed: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links (a, b) among pairs packed by the blocks of both documents: (home_a, home_b, pairs binary)."""
+    ways = packed.select(F.col("home_a").alias("from_a"), F.col("home_b").alias("from_b")).distinct()
+    both = ways.select("*", F.explode(F.array_distinct(F.array("from_a", "from_b"))).alias("home"))
+    needed = both.join(sets, "home").select("from_a", "from_b", "node", "shingles")
 
-    return docs.mapInArrow(run, "node long, keys binary, signature binary")
+    def confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        own: dict[int, list[np.ndarray]] = {}
+        for chunk in sets.to_batches():
+            listed = chunk.column("shingles")
+            values, offsets = listed.values.to_numpy(), listed.offsets.to_numpy()
+            for i, node in enumerate(chunk.column("node").to_pylist()):
+                own.setdefault(node, []).append(values[offsets[i] : offsets[i + 1]])
+        wanted = np.unique(np.frombuffer(b"".join(pairs["pairs"].to_pylist()), dtype=np.int64).reshape(-1, 2), axis=0)
+        linked = [(a, b) for a, b in wanted.tolist() if any(similar(x, y) for x in own[a] for y in own[b])]
+        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        merged = np.sort(np.concatenate([x, y]))
+        common = int((merged[1:] == merged[:-1]).sum())
+        return 100 * common >= percent * (len(merged) - common)
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(_full_sets(docs.join(ids, "doc_id", "left_semi"), words), "shingle_sets")
-    sets = sets.withColumn("n", F.size("shingles").cast("long"))
+    links = packed.groupBy("home_a", "home_b").cogroup(needed.groupBy("from_a", "from_b")).applyInArrow(confirm, "a long, b long")
+    return materialise(links, name)
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("shingles").alias(f"set_{name}"))
 
-    sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    possible = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-    both = possible.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    linked = both.select("a", "b", "n_a", "n_b", common.alias("common")).where(
-        100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return materialise(linked.select("a", "b").distinct(), "links")
+def _packs(pairs: np.ndarray) -> pa.Table:
+    """Pairs (home, home, node, node) as one row per two blocks."""
+    pairs = np.unique(np.where(pairs[0] <= pairs[1], pairs, pairs[[1, 0, 3, 2]]), axis=1)
+    cuts = np.flatnonzero(np.any(pairs[:2, 1:] != pairs[:2, :-1], axis=0)) + 1 if pairs.size else []
+    parts = [p for p in np.split(pairs, cuts, axis=1) if p.size]
+    return pa.table({
+        "home_a": pa.array([int(p[0, 0]) for p in parts], pa.int64()), "home_b": pa.array([int(p[1, 0]) for p in parts], pa.int64()),
+        "pairs": pa.array([np.ascontiguousarray(p[2:].T).tobytes() for p in parts], pa.binary())})
 
 
 def _headed(buckets: DataFrame) -> DataFrame:
@@ -158,10 +183,18 @@ def _headed(buckets: DataFrame) -> DataFrame:
     return buckets.join(heads, "key")
 
 
-def _star_pairs(headed: DataFrame) -> DataFrame:
-    """(head, member) of every bucket."""
-    return headed.where("node <> head").select(
-        F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+def _star_pairs(headed: DataFrame, homes: DataFrame) -> DataFrame:
+    """(head, member) of every bucket, packed."""
+    pairs = headed.where("node <> head").select("head", "node").distinct()
+    placed = pairs.join(homes.select("node", F.col("home").alias("home_b")), "node").join(
+        homes.select(F.col("node").alias("head"), F.col("home").alias("home_a")), "head")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _packs(np.stack([c.to_numpy() for c in batch.columns])).to_batches()
+
+    return placed.select("home_a", "home_b", "head", "node").mapInArrow(run, "home_a long, home_b long, pairs binary")
 
 
 def _homes(headed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -174,21 +207,17 @@ def _homes(headed: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.join(blocks, "head").select("node", F.xxhash64("head", block).alias("home"))
 
 
-def _open_links(
-    headed: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int
-) -> DataFrame:
-    """Links between documents that share a bucket but no component."""
+def _open_pairs(headed: DataFrame, components: DataFrame, homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a bucket but no component, and whose signatures agree nearly enough, packed."""
     placed = headed.where("members > 2").join(components, "node", "left").select(
-        "key", "node", "mates", "head", F.coalesce("component", "node").alias("component"))
+        "key", "node", F.coalesce("component", "node").alias("component"))
     by_component = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = by_component.groupBy("key").agg(
         F.count("*").alias("parts"), F.sum("n").alias("members"),
         F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
     split = split.select("key", "members", F.col("largest.component").alias("main"))
     rows = materialise(placed.join(split, "key"), "open_buckets")
-    homes = materialise(_homes(rows, nodes), "homes")
-    chosen = docs.join(homes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    marks = materialise(_signature_rows(chosen, words), "signatures")
+    marks = materialise(_marks(sets.join(rows.select("node").distinct(), "node", "left_semi")), "signatures")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")
     spread = rows.withColumn("blocks", blocks)
     members = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("minor", F.lit(False))
@@ -214,40 +243,10 @@ def _open_links(
             # of all the buckets that both are in, the first reports the pair
             shared = (keys_rest[at] == keys[i]).argmax(axis=1)
             at = rest[at[keys_rest[at, shared] == bucket]]
-            pair = np.stack([np.full(len(at), home[i]), home[at], np.full(len(at), node[i]), node[at]])
-            found.append(np.where(pair[0] <= pair[1], pair, pair[[1, 0, 3, 2]]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        cuts = np.flatnonzero(np.any(pairs[:2, 1:] != pairs[:2, :-1], axis=0)) + 1 if pairs.size else []
-        parts = [p for p in np.split(pairs, cuts, axis=1) if p.size]
-        return pa.table({
-            "home_a": pa.array([int(p[0, 0]) for p in parts], pa.int64()), "home_b": pa.array([int(p[1, 0]) for p in parts], pa.int64()),
-            "pairs": pa.array([np.ascontiguousarray(p[2:].T).tobytes() for p in parts], pa.binary())})
-
-    packed = materialise(
-        met.groupBy("key", "block").applyInArrow(meet, "home_a long, home_b long, pairs binary"), "open_pairs")
-    sets = materialise(_full_sets(chosen, words).join(homes, "node"), "open_sets")
-    ways = packed.select(F.col("home_a").alias("from_a"), F.col("home_b").alias("from_b")).distinct()
-    both = ways.select("*", F.explode(F.array_distinct(F.array("from_a", "from_b"))).alias("home"))
-    needed = both.join(sets, "home").select("from_a", "from_b", "node", "shingles")
+            found.append(np.stack([np.full(len(at), home[i]), home[at], np.full(len(at), node[i]), node[at]]))
+        return _packs(np.concatenate(found, axis=1))
 
-    def confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        listed = sets["shingles"].combine_chunks()
-        values, offsets = listed.values.to_numpy(), listed.offsets.to_numpy()
-        own = {n: values[offsets[i] : offsets[i + 1]] for i, n in enumerate(sets["node"].to_pylist())}
-        wanted = np.unique(np.frombuffer(b"".join(pairs["pairs"].to_pylist()), dtype=np.int64).reshape(-1, 2), axis=0)
-        linked = []
-        for a, b in wanted.tolist():
-            x, y = own[a], own[b]
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            merged = np.sort(np.concatenate([x, y]))
-            common = int((merged[1:] == merged[:-1]).sum())
-            if 100 * common >= percent * (len(merged) - common):
-                linked.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
-
-    links = packed.groupBy("home_a", "home_b").cogroup(needed.groupBy("from_a", "from_b")).applyInArrow(confirm, "a long, b long")
-    return materialise(links, "open_links")
+    return materialise(met.groupBy("key", "block").applyInArrow(meet, "home_a long, home_b long, pairs binary"), "open_pairs")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,10 +273,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     buckets = materialise(banded.join(sizes, "key"), "buckets")
 
     headed = materialise(_headed(buckets), "headed_buckets")
-    links = _confirmed(materialise(_star_pairs(headed), "star_pairs"), named, words, percent)
+    sizes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    homes = materialise(_homes(headed, sizes), "homes")
+    # the one shuffle of texts; the same plan at every size
+    chosen = named.join(homes.hint("merge"), named["doc_id"] == homes["node"])
+    sets = materialise(_full_sets(chosen, words), "shingle_sets")
+    links = _confirmed(materialise(_star_pairs(headed, homes), "star_pairs"), sets, percent, "links")
     components = materialise(connected_components(links), "components")
-    nodes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    more = _open_links(headed, components, nodes, named, words, percent)
+    more = _confirmed(_open_pairs(headed, components, homes, sets, percent), sets, percent, "open_links")
     copies = known.join(classes, ["low", "high", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("node").alias("a"))
     # rows that share an id but not their text tie two classes together
     ties = copies.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("last")).where("a < last")
