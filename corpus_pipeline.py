@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of
+`documents`. Rows without a doc_id pass the filters.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,55 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402,F401
+from pyspark.sql import functions as F  # noqa: E402
 
-from flowsieve.llm import minhash  # noqa: E402
+from flowsieve.llm import decontaminate, minhash, packing, toxicity  # noqa: E402
 from flowsieve.sources.scratch import materialise  # noqa: E402
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. The model learns from the labelled documents of its input."""
+    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = scored.where("predicted = 1").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group stays: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of every near-duplicate group stays, the one with the smallest id.
+
+    Five-word shingles and a similarity of 0.8 or more. Of rows with one doc_id one stays.
+    """
+    groups = minhash.near_duplicates(docs)
+    removed = groups.where("NOT kept").select("doc_id").distinct()
+    kept = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialise(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated_ids")
+    if not repeated.count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(again)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of the remaining documents goes in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+# trees, hashes and tokenizers are beyond SQL; tests compare every stage with a brute-force version
 ORACLE_SQL = None
 
 

@@ -2,6 +2,67 @@
 
 from __future__ import annotations
 
+from flowsieve.llm.hamming import BITS
+from flowsieve.llm.warc import LEAST_REVISIT_BYTES
+
+PREFERENCES = """
+WITH turns AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (
+    SELECT pair_id, max({'turn': turn, 'text': text}) AS l FROM turns WHERE role = 'assistant' GROUP BY pair_id
+),
+rejected AS (
+    SELECT t.pair_id, turn, role, text FROM turns t LEFT JOIN last USING (pair_id) WHERE l IS NULL OR turn < l.turn
+    UNION ALL
+    SELECT a.pair_id, a.l.turn, 'assistant', b.l.text FROM last a JOIN last b ON b.pair_id = a.pair_id + 1
+),
+a AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM turns),
+b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM rejected),
+differs AS (
+    SELECT pair_id, min(place) FILTER (
+        a.pair_id IS NULL OR b.pair_id IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) AS at
+    FROM a FULL JOIN b USING (pair_id, place) GROUP BY pair_id
+),
+parts AS (
+    SELECT pair_id, CASE WHEN at IS NULL OR place < at THEN 'prompt' ELSE 'chosen' END AS part, place, role, text, at
+    FROM a JOIN differs USING (pair_id)
+    UNION ALL
+    SELECT pair_id, 'rejected', place, role, text, at FROM b JOIN differs USING (pair_id) WHERE place >= at
+),
+rendered AS (
+    SELECT pair_id, part, place - CASE WHEN part = 'prompt' THEN 0 ELSE at END AS place, role,
+        '<|start|>' || coalesce(role, '') || chr(10) AS header, coalesce(text, '') || '<|end|>' || chr(10) AS body
+    FROM parts
+),
+placed AS (
+    SELECT *, coalesce(sum(length(header) + length(body)) OVER (
+        PARTITION BY pair_id, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM rendered
+)
+SELECT pair_id, part, place, role, header || body AS rendered, start, start + length(header) AS loss_start,
+    CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(body) ELSE 0 END::BIGINT AS loss_length
+FROM placed
+"""
+
+TOP_K = f"""
+WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (
+    SELECT q.vec_id AS query_id, v.vec_id,
+        list_sum(list_transform(range(1, {BITS + 1}), i -> ((coalesce(q.e[i], 0) > 0) <> (coalesce(v.e[i], 0) > 0))::INT))::BIGINT AS distance
+    FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+CAPTURES = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+l AS (SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= {LEAST_REVISIT_BYTES} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < last THEN last END AS refers_to
+FROM d LEFT JOIN l USING (payload_digest)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preference_formatting": PREFERENCES, "op6_hamming_top_k": TOP_K, "op10_warc_captures": CAPTURES}

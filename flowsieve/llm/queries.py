@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import minhash, packing, sharding, token_output, toxicity, warc
-from flowsieve.sources.scratch import new_scratch_path
+from flowsieve.llm import decontaminate, hamming, lattice_lm, minhash, packing, preference, sharding, token_output, toxicity, warc
+from flowsieve.sources.scratch import materialise, new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,6 +34,17 @@ def op4_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_preferences(*preference.swapped_answers(table(spark, sf_dir, "conversations")))
+
+
+def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest binary codes of every vector whose id is divisible by 100."""
+    coded = materialise(hamming.codes(table(spark, sf_dir, "embeddings")), "vector_codes")
+    wanted = coded.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("query_code"))
+    return hamming.nearest(coded, wanted, k=10)
+
+
 def op7_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +58,10 @@ def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_id", "n_ids", "doc_ids", "pieces", "starts", "cu_seqlens", "position_resets", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_scratch_path(spark, "archives")
     warc.write_captures(table(spark, sf_dir, "pages"), path)
@@ -51,6 +70,7 @@ def op10_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_minhash_near_dedup, op3_best_fit_packing, op4_sampled_splitter_sharding, op7_toxicity_trees, op8_token_matrices, op10_warc_captures,
+        op1_minhash_near_dedup, op2_lattice_likelihood, op3_best_fit_packing, op4_sampled_splitter_sharding, op5_preference_formatting, op6_hamming_top_k,
+        op7_toxicity_trees, op8_token_matrices, op9_template_decontamination, op10_warc_captures,
     )
     return {query.__name__: query for query in found}
