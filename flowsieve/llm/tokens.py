@@ -40,13 +40,11 @@ class WordTokenizer:
             return word, ""
         return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-            self._parts.clear()
-        split = {w: self._split(w) for w in words if w not in self._words}
-        new = list({p for pair in split.values() for p in pair if p} - self._parts.keys())
-        for part, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+    def _learn(self, new: set[str]) -> None:
+        split = {w: self._split(w) for w in new}
+        parts = {p for pair in split.values() for p in pair}.difference(self._parts)
+        listed = [p for p in parts if p]
+        for part, found in zip(listed, self._tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
             self._parts[part] = np.array(found.ids, dtype="<u4").tobytes()
         self._parts[""] = b""
         for word, (stem, rest) in split.items():
@@ -56,10 +54,10 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         # str.split() also splits at four control characters that are no white space in Unicode
         listed = [_SPACE.split(t) if _CONTROL.search(t) else t.split() for t in texts]
-        need = {w for words in listed for w in words}
-        self._learn(need)
-        if not need <= self._words.keys():  # forgotten in between
-            self._learn(need)
+        if len(self._words) > REMEMBERED:
+            self._words.clear()
+            self._parts.clear()
+        self._learn(set().union(*listed).difference(self._words))
         ids = self._words.__getitem__
         return [b"".join(map(ids, words)) for words in listed]
 

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from flowsieve.llm import packing, queries, token_output
 from flowsieve.llm.tokens import ByteTokenizer, WordTokenizer
@@ -23,10 +24,11 @@ ODD = [
 ]
 
 
-def direct(text):
-    from tokenizers import Tokenizer
+TOKENIZER = Tokenizer.from_file(WORDS)
+
 
-    return Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids
+def direct(text):
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_memory_gives_the_tokenizers_ids(spark):
