@@ -8,23 +8,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.ip import cidr_high, cidr_low, loose_block
+from flowsieve.operators.joins import with_position
 from flowsieve.schema import key_list
 
 
+# Members of a chunk of an address list.
+CHUNK = 1000
+
+
+def address_rows(networks: DataFrame, keys: Sequence[str] = (), order: str = "first_addr", name: str = "address_rows") -> DataFrame:
+    """The address list of each key as rows (keys, pos, cidr): address order, other labels last, pos from 0.
+
+    `networks` has distinct CIDRs per key. Runs a job.
+    """
+    keys = key_list(keys)
+    placed = with_position(networks.select(*keys, order, "cidr"), [*keys, F.col(order).asc_nulls_last(), "cidr"], "row_no", name)
+    first = placed.groupBy(*keys).agg(F.min("row_no").alias("first_row"))
+    joined = placed.join(first, keys) if keys else placed.withColumn("first_row", F.lit(0).cast("bigint"))
+    return joined.select(*keys, (F.col("row_no") - F.col("first_row")).alias("pos"), "cidr")
+
+
 def address_text(networks: DataFrame, keys: Sequence[str] = (), order: str = "first_addr") -> DataFrame:
     """One row per key: its distinct CIDRs joined with ', ' in address order, other labels last.
 
-    Works in two steps. The first joins the few hundred networks of one /16 block (or the labels
-    with equal first characters), so the second only sees one text per block.
+    A last step for results whose record is one text: the text grows with the list, up to the 2 GB
+    that a value may have, and nothing is cut. `address_rows` has the same lists without that limit.
+    Rows are sorted by ranges and joined CHUNK at a time before the chunks of a key meet.
     """
     keys = key_list(keys)
-    known = F.col(order).isNotNull()
+    by = [*keys, F.col(order).asc_nulls_last(), "cidr"]
+    # the id is (partition << 33) + row number, and range partitions follow each other in order
+    row = networks.select(*keys, order, "cidr").repartitionByRange(*by).sortWithinPartitions(*by).withColumn(
+        "row_id", F.monotonically_increasing_id())
     chunks = (
-        networks.withColumn("block", F.when(known, F.shiftright(order, 16)).otherwise(F.lit(65536)))
-        .withColumn("prefix", F.when(known, F.lit("")).otherwise(F.substring("cidr", 1, 16)))
-        .groupBy(*keys, "block", "prefix")
-        .agg(F.sort_array(F.collect_list(F.struct(order, "cidr"))).alias("members"))
-        .select(*keys, F.struct("block", "prefix", F.array_join("members.cidr", ", ").alias("text")).alias("chunk"))
+        row.withColumn("part", F.shiftright("row_id", 33))
+        .withColumn("chunk", F.floor(F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1)) / CHUNK))
+        .groupBy(*keys, "part", "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("row_id", "cidr"))).alias("members"))
+        .select(*keys, F.struct("part", "chunk", F.array_join("members.cidr", ", ").alias("text")).alias("chunk"))
     )
     return chunks.groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_list("chunk")).getField("text"), ", ").alias("addresses"))

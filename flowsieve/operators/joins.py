@@ -10,35 +10,24 @@ from pyspark.sql import functions as F
 from flowsieve.schema import key_list
 from flowsieve.sources.scratch import materialise
 
-# A lookup table of at most this many entries is broadcast (about 10 MB of networks).
-BROADCAST_ENTRIES = 100_000
+# A lookup table of at most this many bytes is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
-def is_small(table: DataFrame, entries: int = BROADCAST_ENTRIES) -> bool:
-    """Whether a materialised table may be broadcast. Counting it reads file footers only."""
-    return table.count() <= entries
+def is_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table of texts may be broadcast: by the bytes of its texts and 32 a row."""
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in table.dtypes if kind == "string"]
+    size = sum(texts, F.lit(32)).cast("bigint")
+    return table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= limit
 
 
-def _salts(table: DataFrame) -> int:
-    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(partitions // 4, 4), 256)
-
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str] | str, spread_by: Sequence[str], small: bool, how: str = "left"
-) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str] | str, small: bool, how: str = "left") -> DataFrame:
     """Join many rows to a lookup table that is unique in `on`.
 
-    A small lookup is broadcast. Otherwise the rows of one key are spread over several tasks by
-    a hash of `spread_by`, and the lookup is repeated once per salt.
+    A small lookup is broadcast. Otherwise both sides are shuffled by `on`, and Spark splits the
+    partitions in which a hot key has gathered many rows.
     """
-    on = key_list(on)
-    if small:
-        return rows.join(F.broadcast(lookup), on, how)
-    salts = _salts(rows)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    repeated = lookup.selectExpr("*", f"explode(sequence(0L, {salts - 1}L)) AS salt")
-    return salted.join(repeated, [*on, "salt"], how).drop("salt")
+    return rows.join(F.broadcast(lookup) if small else lookup, key_list(on), how)
 
 
 def with_position(df: DataFrame, order: Sequence, position: str, name: str) -> DataFrame:

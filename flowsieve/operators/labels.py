@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.ip import address_block, ip_to_long
-from flowsieve.operators.joins import lookup_join
 from flowsieve.operators.networks import ADDRESS_TEXT, distinct_addresses, networks_in_blocks
 from flowsieve.schema import key_list
 
@@ -43,13 +41,3 @@ def ip_to_cidr(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> Data
     blocks = networks_by_block(networks_in_blocks(ips, keys, ip), keys)
     labelled = distinct_addresses(ips, keys, ip).join(blocks, [*keys, "block"], "left")
     return labelled.select(*keys, F.expr(ADDRESS_TEXT).alias("ip"), F.expr(_label("loose")).alias("cidr"))
-
-
-def label_column(
-    rows: DataFrame, networks: DataFrame, ip: str, label: str, spread_by: Sequence[str], small: bool
-) -> DataFrame:
-    """Add to every row the label of its address, from materialised networks of that side."""
-    placed = rows.selectExpr("*", f"{ip_to_long(f'`{ip}`')} AS addr").selectExpr(
-        "*", f"{address_block(f'`{ip}`', 'addr')} AS block")
-    joined = lookup_join(placed, networks_by_block(networks), "block", spread_by, small)
-    return joined.selectExpr(*[f"`{c}`" for c in rows.columns], f"{_label(f'`{ip}`')} AS `{label}`")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.services import CUSTOM_PREFIX, ports_to_services, services_text, text_or_any
 from flowsieve.operators.addresses import address_text, outermost_networks
-from flowsieve.operators.joins import is_small, with_position
-from flowsieve.operators.labels import label_column
-from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, ip_networks, networks_in_blocks
-from flowsieve.operators.traffic import row_count, summarise_flows
+from flowsieve.operators.joins import is_small, lookup_join, with_position
+from flowsieve.operators.labels import ip_to_cidr
+from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, ip_networks
+from flowsieve.operators.traffic import merged_once, row_count, summarise_flows
 from flowsieve.schema import FLOW_COUNT
 from flowsieve.sources.scratch import materialise
 
@@ -20,7 +20,8 @@ RULE_FIELDS = ("rule_name", "source_address", "destination_address", "service",
 
 
 def aggregate_single_rule(flows: DataFrame) -> DataFrame:
-    """One rule that covers the whole log: its networks, services and row count."""
+    """One rule that covers the whole log: its networks, services and row count. Runs a job that reads the log."""
+    flows = merged_once(flows)
     networks = ip_networks(both_sides(flows), "side")
     addresses = address_text(networks, "side").select("side", "addresses", F.lit(0).cast("bigint").alias("rows"))
     by_port = flows.groupBy("dst_port").agg(row_count(flows).alias("rows"))
@@ -46,23 +47,19 @@ def aggregate_single_rule(flows: DataFrame) -> DataFrame:
 def label_flows(flows: DataFrame) -> DataFrame:
     """Row counts and ports by (source network, destination network).
 
-    With few networks every log row is labelled in the scan and only (network pair, port) counts
-    are shuffled. With many, rows are first merged per (source, destination, port), and the join
-    spreads hot /16 blocks over several tasks. Rows without an address take no part.
+    Rows are merged per (source, destination, port) first, and every distinct address is labelled
+    once; the merged rows then take their two labels by an equi-join on the address. The labels
+    are broadcast if their table is small. Otherwise a hot address is a skewed key of a plain join,
+    which Spark splits at run time. Rows without an address take no part. Runs a job.
     """
     flows = flows.dropna(subset=["src_ip", "dst_ip"])
-    networks = materialise(networks_in_blocks(both_sides(flows), "side"), "networks")
-    small = is_small(networks)
     weight = [FLOW_COUNT] if FLOW_COUNT in flows.columns else []
-    rows = flows.select("src_ip", "dst_ip", "dst_port", *weight)
-    if not small:
-        rows = summarise_flows(rows)
-    for side, ip, other, label in (
-        (SOURCE, "src_ip", "dst_ip", "src_cidr"),
-        (DESTINATION, "dst_ip", "src_ip", "dst_cidr"),
-    ):
-        of_side = networks.where(F.col("side") == side).drop("side")
-        rows = label_column(rows, of_side, ip, label, [ip, other, "dst_port"], small)
+    rows = materialise(summarise_flows(flows.select("src_ip", "dst_ip", "dst_port", *weight)), "merged_flows")
+    labels = materialise(ip_to_cidr(both_sides(rows), "side"), "labels")
+    small = is_small(labels)
+    for side, ip, label in ((SOURCE, "src_ip", "src_cidr"), (DESTINATION, "dst_ip", "dst_cidr")):
+        of_side = labels.where(F.col("side") == side).select(F.col("ip").alias(ip), F.col("cidr").alias(label))
+        rows = lookup_join(rows, of_side, ip, small)
     by_port = rows.groupBy("src_cidr", "dst_cidr", "dst_port").agg(row_count(rows).alias("rows"))
     return by_port.groupBy("src_cidr", "dst_cidr").agg(
         F.sum("rows").alias("log_count"),
@@ -83,14 +80,20 @@ def generate_cidr_pair_rules(flows: DataFrame) -> DataFrame:
     )
 
 
-def _busiest(rules: DataFrame) -> DataFrame:
-    return rules.orderBy(F.desc("log_count"), "rule_idx").limit(TOP_RULES)
+def _kept(rules: DataFrame) -> DataFrame:
+    """The rules that stay: all of seven or fewer, else the six busiest."""
+    first = rules.orderBy(F.desc("log_count"), "rule_idx").limit(MAX_RULES + 1)
+    # eight rows at most
+    total = F.count("*").over(Window.partitionBy(F.lit(0)))
+    place = F.row_number().over(Window.orderBy(F.desc("log_count"), "rule_idx"))
+    return first.withColumn("total", total).withColumn("kept_place", place).where(
+        (F.col("total") <= MAX_RULES) | (F.col("kept_place") <= TOP_RULES)).drop("total", "kept_place")
 
 
 def rule_tail(rules: DataFrame) -> DataFrame:
-    """All rules but the six busiest."""
-    # the broadcast side has six rows at most
-    return rules.join(F.broadcast(_busiest(rules).select("rule_idx")), "rule_idx", "left_anti")
+    """The rules that are merged: all but the six busiest, and none of seven or fewer."""
+    # the broadcast side has seven rows at most
+    return rules.join(F.broadcast(_kept(rules).select("rule_idx")), "rule_idx", "left_anti")
 
 
 def _listed(text: str) -> Column:
@@ -144,11 +147,14 @@ def cap_rules_to_seven(rules: DataFrame) -> DataFrame:
     `rules` has rule_idx and the five rule fields. Adds `place`, the 1-based order of the result:
     by count after a merge, by rule_idx otherwise.
     """
-    tail = rule_tail(rules)
+    return _capped(_kept(rules), rule_tail(rules))
+
+
+def _capped(kept: DataFrame, tail: DataFrame) -> DataFrame:
+    """The kept rules and, if there is a tail, its catch-all."""
     totals = tail.agg(
         F.count("*").alias("merged"),
         F.sum("log_count").alias("log_sum"),
-        F.min(F.struct("rule_idx", *RULE_FIELDS)).alias("only"),
     )
     networks = address_text(outermost_networks(tail_addresses(tail), "side"), "side", order="lo")
     texts = networks.select(F.col("side").alias("part"), F.col("addresses").alias("text")).unionByName(
@@ -162,25 +168,14 @@ def cap_rules_to_seven(rules: DataFrame) -> DataFrame:
     joined = parts.agg(
         F.max("merged").alias("merged"),
         F.max("log_sum").alias("log_sum"),
-        F.max("only").alias("only"),
         text_or_any(text(SOURCE)).alias("source_address"),
         text_or_any(text(DESTINATION)).alias("destination_address"),
         text_or_any(text("service")).alias("service"),
     ).where("merged > 0")
-    alone = F.col("merged") == 1
-
-    def field(name, merged):
-        return F.when(alone, F.col("only").getField(name)).otherwise(merged).alias(name)
-
     last = joined.select(
-        field("rule_idx", F.lit(None).cast("bigint")),
-        field("rule_name", F.lit("catch_all_tail")),
-        field("source_address", F.col("source_address")),
-        field("destination_address", F.col("destination_address")),
-        field("service", F.col("service")),
-        field("log_count", F.col("log_sum")),
-    )
-    capped = _busiest(rules).select("rule_idx", *RULE_FIELDS).unionByName(last)
+        F.lit(None).cast("bigint").alias("rule_idx"), F.lit("catch_all_tail").alias("rule_name"), "source_address",
+        "destination_address", "service", F.col("log_sum").alias("log_count"))
+    capped = kept.select("rule_idx", *RULE_FIELDS).unionByName(last)
     # seven rows at most reach these windows
     merged = F.max(F.col("rule_idx").isNull()).over(Window.partitionBy(F.lit(0)))
     order = Window.orderBy("last", F.when(F.col("is_merged"), -F.col("log_count")), "rule_idx")
@@ -193,5 +188,22 @@ def cap_rules_to_seven(rules: DataFrame) -> DataFrame:
 
 
 def generate_lean_rule_set(flows: DataFrame) -> DataFrame:
-    """At most seven rules that cover the traffic."""
-    return cap_rules_to_seven(generate_cidr_pair_rules(flows))
+    """At most seven rules that cover the traffic.
+
+    The same as `cap_rules_to_seven` over `generate_cidr_pair_rules`, without numbering all pairs:
+    only the rules that stay have numbers in their names, and such a number is the count of pairs
+    that sort before. Runs its jobs when called.
+    """
+    pairs = materialise(label_flows(flows), "cidr_pairs")
+    first = pairs.orderBy(F.desc("log_count"), "src_cidr", "dst_cidr").limit(MAX_RULES + 1).collect()
+    kept = first if len(first) <= MAX_RULES else first[:TOP_RULES]
+    pair = F.struct("src_cidr", "dst_cidr")
+    keys = [F.struct(F.lit(r.src_cidr).alias("src_cidr"), F.lit(r.dst_cidr).alias("dst_cidr")) for r in kept]
+    # one pass: a count for each of seven pairs at most
+    before = pairs.agg(F.lit(0), *[F.count(F.when(pair < key, 1)) for key in keys]).first()[1:]
+    number = F.coalesce(*[F.when(pair == key, F.lit(n)) for key, n in zip(keys, before, strict=True)], F.lit(-1)).cast("bigint")
+    rules = pairs.withColumn("rule_idx", number).select(
+        "rule_idx", F.concat(F.lit("cidr_pair_rule_"), F.col("rule_idx").cast("string")).alias("rule_name"),
+        F.col("src_cidr").alias("source_address"), F.col("dst_cidr").alias("destination_address"),
+        services_text(F.col("ports")).alias("service"), "log_count")
+    return _capped(rules.where("rule_idx >= 0"), rules.where("rule_idx < 0"))

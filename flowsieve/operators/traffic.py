@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.services import is_named_port
 from flowsieve.schema import FLOW_COUNT
+from flowsieve.sources.scratch import materialise
 
 TOP = 10
 # Fixed value: a pair seen fewer times than this is rare.
@@ -29,6 +30,11 @@ def summarise_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy(*keys).agg(row_count(flows).alias(FLOW_COUNT))
 
 
+def merged_once(flows: DataFrame) -> DataFrame:
+    """The summary of `flows` as a written table, so that a log is read once; a summary stays as it is."""
+    return flows if FLOW_COUNT in flows.columns else materialise(summarise_flows(flows), "flow_summary")
+
+
 def basic_stats(flows: DataFrame) -> DataFrame:
     return flows.agg(
         row_count(flows).alias("total_log_entries"),

@@ -11,7 +11,7 @@ from flowsieve.functions.services import ANY, services_text, text_or_any
 from flowsieve.operators.addresses import address_text
 from flowsieve.operators.joins import is_small, lookup_join
 from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, ip_networks
-from flowsieve.operators.traffic import row_count
+from flowsieve.operators.traffic import merged_once, row_count
 from flowsieve.sources.scratch import materialise
 
 REMOVE_UNUSED = "Consider removing this unused rule"
@@ -53,8 +53,10 @@ def permissive_rules(flows: DataFrame, rules: DataFrame) -> DataFrame:
 def rule_patterns(flows: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct sources, destinations and ports of every used rule, and its port list.
 
-    The address lists, which grow with the log, are rows of `rule_pattern_values`.
+    The address lists, which grow with the log, are rows of `rule_pattern_values`. Runs a job that
+    reads the log.
     """
+    flows = merged_once(flows)
     patterns = _of_rules(flows).groupBy("rule_name").agg(
         F.count_distinct("src_ip").alias("unique_source_ips"),
         F.count_distinct("dst_ip").alias("unique_destination_ips"),
@@ -81,7 +83,7 @@ def rule_pattern_values(flows: DataFrame, rules: DataFrame) -> DataFrame:
         F.lit("destination_ports"), F.col("dst_port").cast("string"),
     )
     values = _of_rules(flows).select("rule_name", fields.alias("field", "value")).dropna().distinct()
-    return lookup_join(values, names, "rule_name", ["field", "value"], is_small(names), "left_semi")
+    return lookup_join(values, names, "rule_name", is_small(names), "left_semi")
 
 
 def port_services(flows: DataFrame, to_services: Callable[[Column], Column] = services_text) -> DataFrame:
@@ -89,9 +91,14 @@ def port_services(flows: DataFrame, to_services: Callable[[Column], Column] = se
     return _port_lists(flows).select("rule_name", to_services(F.col("destination_ports")).alias("service"))
 
 
+def networks_by_rule_addresses(flows: DataFrame) -> DataFrame:
+    """(rule_name, side, ip) of the log rows that name a rule."""
+    return both_sides(_of_rules(flows), "rule_name")
+
+
 def networks_by_rule(flows: DataFrame, group_ips: Grouping = ip_networks) -> DataFrame:
     """Networks of every rule and side: (rule_name, side, cidr, first_addr, ...)."""
-    return group_ips(both_sides(_of_rules(flows), "rule_name"), ["rule_name", "side"])
+    return group_ips(networks_by_rule_addresses(flows), ["rule_name", "side"])
 
 
 def _traffic_of_rules(
@@ -116,7 +123,8 @@ def _traffic_of_rules(
 def log_based_rules(
     flows: DataFrame, group_ips: Grouping = ip_networks, to_services: Callable[[Column], Column] = services_text
 ) -> DataFrame:
-    """A rule and a recommendation for every rule name in the log, without a rule table."""
+    """A rule and a recommendation for every rule name in the log, without a rule table. Runs a job that reads the log."""
+    flows = merged_once(flows)
     rule = _traffic_of_rules(flows, flows, group_ips, to_services).select(
         "rule_name",
         text_or_any(F.col("seen_sources")).alias("source_address"),
@@ -144,7 +152,12 @@ def generate_optimized_rules(
     rules and for those with nothing to advise. Without a rule table see `log_based_rules`.
     """
     if rules is None:
-        return log_based_rules(flows, group_ips, to_services)
+        found = log_based_rules(flows, group_ips, to_services)
+        fields = ("rule_name", "source_address", "destination_address", "service")
+        return found.select(
+            "rule_name", F.lit(None).cast(found.select(F.struct(*fields)).schema[0].dataType).alias("original_rule"), "recommendation",
+            F.struct(*fields).alias("optimized_rule"))
+    flows = merged_once(flows)
     seen = {
         "source_address": ("seen_sources", "Restrict source address to "),
         "destination_address": ("seen_destinations", "Restrict destination address to "),

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.operators import graph, report, rulesets, traffic, usage
+from flowsieve.operators import addresses, graph, networks, report, rulesets, traffic, usage
 from flowsieve.schema import require_columns
 from flowsieve.sources.scratch import materialise
 from flowsieve.sources.sinks import write_json_report
@@ -23,6 +23,7 @@ class FlowAnalyzer:
     def __init__(self, flows: DataFrame, rules: DataFrame | None = None):
         require_columns(flows, ("src_ip", "dst_ip", "dst_port"), "flows")
         if rules is not None:
+            require_columns(flows, ("rule_name",), "flows, which a rule table is compared with")
             check_rule_names(rules)
         self.flows = flows
         self.rules = rules
@@ -31,6 +32,7 @@ class FlowAnalyzer:
     def from_files(
         cls, spark: SparkSession, log_path: str, rule_path: str | None = None, fmt: str = "csv"
     ) -> FlowAnalyzer:
+        # load_rules has checked the names
         rules = load_rules(spark, rule_path, fmt) if rule_path else None
         return cls(load_logs(spark, log_path, fmt), rules)
 
@@ -73,7 +75,17 @@ class FlowAnalyzer:
     def generate_lean_rule_set(self) -> DataFrame:
         return rulesets.generate_lean_rule_set(self.summary)
 
+    def address_lists(self) -> dict[str, DataFrame]:
+        """The address lists behind the rule texts, as rows of any number."""
+        folded = networks.ip_networks(networks.both_sides(self.summary), "side")
+        lists = {"single_rule_networks": addresses.address_rows(folded, "side")}
+        if "rule_name" in self.flows.columns:
+            lists["rule_networks"] = addresses.address_rows(usage.networks_by_rule(self.summary), ["rule_name", "side"])
+        return lists
+
     def analyze_rule_usage(self) -> dict[str, DataFrame]:
+        if self.rules is None:
+            raise ValueError("analyze_rule_usage needs a rule table")
         return {
             "unused_rules": usage.unused_rules(self.summary, self.rules),
             "permissive_rules": usage.permissive_rules(self.summary, self.rules),
@@ -82,6 +94,8 @@ class FlowAnalyzer:
         }
 
     def generate_optimized_rules(self) -> DataFrame:
+        """One schema with and without a rule table; without one original_rule is null."""
+        require_columns(self.flows, ("rule_name",), "flows")
         return usage.generate_optimized_rules(self.summary, self.rules)
 
     def chart_data(self) -> dict[str, DataFrame]:

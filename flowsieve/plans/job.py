@@ -6,22 +6,34 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from flowsieve.operators import networks
 from flowsieve.plans.analyzer import FlowAnalyzer
+from flowsieve.sources.scratch import scratch_scope
+from flowsieve.sources.tables import invalid_values
 
 
 def run(
     spark: SparkSession, log_file: str, output_dir: str, rule_file: str | None = None, fmt: str = "csv",
     report_tables: bool = False,
 ) -> None:
-    analyzer = FlowAnalyzer.from_files(spark, log_file, rule_file, fmt)
     out = output_dir.rstrip("/")
-    analyzer.write_chart_data(f"{out}/visualizations")
-    analyzer.generate_report(f"{out}/analysis_report")
-    analyzer.generate_lean_rule_set().write.json(f"{out}/lean_rules")
-    if report_tables:
-        analyzer.report_rows().write.parquet(f"{out}/report_rows")
-    if analyzer.rules is not None or "rule_name" in analyzer.flows.columns:
-        analyzer.generate_optimized_rules().write.json(f"{out}/optimized_rules")
+    with scratch_scope(spark):
+        analyzer = FlowAnalyzer.from_files(spark, log_file, rule_file, fmt)
+        analyzer.write_chart_data(f"{out}/visualizations")
+        analyzer.generate_report(f"{out}/analysis_report")
+        analyzer.generate_lean_rule_set().write.json(f"{out}/lean_rules")
+        tables = analyzer.address_lists() | {
+            "invalid_ips": networks.invalid_ips(analyzer.summary), "invalid_values": invalid_values(spark, log_file, fmt)}
+        if {"ts", "ingress_zone", "egress_zone"} <= set(analyzer.flows.columns):
+            tables |= analyzer.analyze_times_and_zones()
+        if analyzer.rules is not None:
+            tables |= analyzer.analyze_rule_usage()
+        for name, rows in tables.items():
+            rows.write.parquet(f"{out}/{name}")
+        if report_tables:
+            analyzer.report_rows().write.parquet(f"{out}/report_rows")
+        if "rule_name" in analyzer.flows.columns:
+            analyzer.generate_optimized_rules().write.json(f"{out}/optimized_rules")
 
 
 def main(argv: list[str] | None = None) -> None:

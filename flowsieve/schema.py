@@ -57,6 +57,9 @@ NULL_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Fixed value: the largest port number.
+LARGEST_PORT = 65_535
+
 # Optional multiplicity of a flow row: present after `summarise_flows`, absent in a raw log.
 FLOW_COUNT = "flow_count"
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# folders that this process has named, in order
+_named: list[str] = []
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -23,7 +27,26 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def new_scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_folder(spark).rstrip('/')}/flowsieve-{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_folder(spark).rstrip('/')}/flowsieve-{uuid.uuid4().hex}"
+    _named.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that are written inside, also after a failure.
+
+    Results that still read such a table must be written before the scope ends. Only folders that
+    were named inside are removed, so scopes must not run beside each other in one process.
+    """
+    start = len(_named)
+    try:
+        yield
+    finally:
+        for folder in _named[start:]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _named[start:]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

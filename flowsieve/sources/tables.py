@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.schema import (
+    LARGEST_PORT,
     LOG_COLUMNS,
     NULL_TEXTS,
     REQUIRED_LOG_COLUMNS,
@@ -31,30 +32,69 @@ def _text(name: str) -> Column:
 
 
 def _whole_number(value: Column, to: str) -> Column:
+    """The number that a text states; one with a fraction other than zero is none."""
     # "443.0" is what a CSV holds once the column has been float for a while
-    return F.coalesce(value.try_cast(to), value.try_cast("double").try_cast(to))
+    whole = F.regexp_extract(value, r"^\s*([+-]?\d+)(?:\.0*)?\s*$", 1)
+    return whole.try_cast(to)
+
+
+def _port(value: Column) -> Column:
+    number = _whole_number(value, "int")
+    return F.when(number.between(0, LARGEST_PORT), number)
+
+
+def _utc_of(instant: Column) -> Column:
+    """The UTC wall-clock time of an instant, whatever the session's zone."""
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    since = F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
 
 
 def _utc(value: Column) -> Column:
-    return F.regexp_replace(value, "Z$", "").try_cast("timestamp_ntz")
+    """A time with an offset is converted to UTC; one without is taken as UTC."""
+    zoned = value.rlike(r"(Z|[+-]\d{2}:?\d{2})\s*$") & value.rlike(r"\d:\d")
+    return F.when(zoned, _utc_of(value.try_cast("timestamp"))).otherwise(value.try_cast("timestamp_ntz"))
+
+
+def _time(raw: DataFrame, name: str) -> Column:
+    kind = raw.schema[name].dataType.typeName()
+    if kind == "timestamp_ntz":
+        return F.col(name)
+    if kind == "timestamp":
+        return _utc_of(F.col(name))
+    return _utc(_text(name))
 
 
 def load_logs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read a minimal or full flow log; extra columns pass through unchanged."""
+    """Read a minimal or full flow log; extra columns pass through unchanged.
+
+    Times become UTC without a zone. Ports are whole numbers from 0 to LARGEST_PORT; any other
+    text is null and still counts as a log row. `invalid_values` lists such texts.
+    """
     raw = _read(spark, path, fmt)
     require_columns(raw, REQUIRED_LOG_COLUMNS, path)
     logs = raw.toDF(*[LOG_COLUMNS.get(c, c) for c in raw.columns])
     casts = {}
     for name in set(LOG_COLUMNS.values()) & set(logs.columns):
         if name == "dst_port":
-            casts[name] = _whole_number(_text(name), "int")
+            casts[name] = _port(_text(name))
         elif name == "ts":
-            casts[name] = F.col(name) if fmt == "parquet" else _utc(_text(name))
+            casts[name] = _time(logs, name)
         else:
             casts[name] = _text(name)
     return logs.withColumns(casts)
 
 
+def invalid_values(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Port and time texts of a log that the reader turns into null: (column, text, rows)."""
+    raw = _read(spark, path, fmt)
+    raw = raw.toDF(*[LOG_COLUMNS.get(c, c) for c in raw.columns])
+    read = {name: parse for name, parse in (("dst_port", lambda n: _port(_text(n))), ("ts", lambda n: _time(raw, n))) if name in raw.columns}
+    fields = [F.struct(F.lit(n).alias("column"), _text(n).alias("text"), parse(n).isNull().alias("bad")) for n, parse in read.items()]
+    cells = raw.select(F.explode(F.array(*fields)).alias("cell")).select("cell.*").where("bad AND text IS NOT NULL")
+    return cells.groupBy("column", "text").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def load_rules(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read a rule table and check that every rule name occurs once."""
     raw = _read(spark, path, fmt)

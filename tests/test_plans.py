@@ -48,7 +48,15 @@ def test_label_lookup_is_an_equi_join(spark, flows, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for plan in plans:
         assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
-    assert "salt" in plans[0]
+    # the lookup by block stands above distinct addresses, never above log rows
+    assert "filter(networks" not in plans[0]
+
+
+@pytest.mark.parametrize("name", ["single_rule", "log_based_rules", "optimized_rules", "rule_patterns"])
+def test_the_log_is_read_by_one_job(spark, name):
+    plan = _plan(__spark_entry__.queries()[name](spark, SF)).split("== Initial Plan ==")[0]
+    # what is left to do starts from the written summary
+    assert "ReadSchema: struct<event_id" not in plan and "user_id" not in plan
 
 
 def test_top_lists_never_sort_the_whole_result(flows):

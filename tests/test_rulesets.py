@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from flowsieve.operators import joins, rulesets
+from flowsieve.operators import addresses, joins, rulesets
 from flowsieve.operators.addresses import outermost_networks
 from flowsieve.operators.traffic import summarise_flows
 from tests import brute
@@ -106,7 +106,7 @@ def test_pair_rules_match_the_model(skewed):
     assert _found(flows) == _model(rows)
 
 
-def test_salted_join_gives_the_same_rules(skewed, monkeypatch):
+def test_large_lookup_gives_the_same_rules(skewed, monkeypatch):
     rows, flows = skewed
     monkeypatch.setattr(rulesets, "is_small", lambda table: False)
     assert _found(flows) == _model(rows)
@@ -153,3 +153,22 @@ def test_positions_are_a_total_order(spark):
     placed = joins.with_position(rows, ["k"], "pos", "positions").orderBy("pos").collect()
     assert [r.pos for r in placed] == list(range(10_000))
     assert [r.k for r in placed] == sorted(r.k for r in placed)
+
+
+def test_nothing_is_merged_at_seven(spark, make_flows):
+    for pairs, tail in ((7, 0), (8, 2)):
+        flows = make_flows([("10.0.0.1", f"172.{16 + i}.0.1", 80) for i in range(pairs) for _ in range(i + 1)])
+        rules = rulesets.generate_cidr_pair_rules(flows)
+        assert rulesets.rule_tail(rules).count() == tail
+        assert (rulesets.catch_all_labels(rules).count() > 0) == (tail > 0)
+        assert (rulesets.catch_all_networks(rules).count() > 0) == (tail > 0)
+        got = {tuple(r) for r in rulesets.generate_lean_rule_set(flows).collect()}
+        assert got == {tuple(r) for r in rulesets.cap_rules_to_seven(rules).collect()} and len(got) == 7
+
+
+def test_long_lists_are_joined_in_chunks(spark):
+    labels = spark.range(200_000).selectExpr("'a' AS k", "CAST(NULL AS BIGINT) AS first_addr", "'2001:db8:85a3:8d3::' || lpad(id, 6, '0') AS cidr")
+    text = addresses.address_text(labels, "k").first().addresses
+    assert text == ", ".join(f"2001:db8:85a3:8d3::{i:06d}" for i in range(200_000))
+    rows = addresses.address_rows(labels.limit(5000), "k")
+    assert [r.pos for r in rows.orderBy("cidr").collect()] == list(range(5000))

@@ -6,7 +6,7 @@ containment join. Both are fine at check scale and say directly what the result
 
 from __future__ import annotations
 
-from workload.views import DIRTY_FLOWS, FLOWS, RULES, WIDE_FLOWS
+from workload.views import DIRTY_FLOWS, FLOWS, HOST_FLOWS, RULES, WIDE_FLOWS, few_pairs_log
 
 _NAMED = "(80, 443, 22, 3389, 21, 25, 53, 123, 161, 3306, 1433)"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -242,6 +242,21 @@ _LOG_RULES = """SELECT *, 'Optimize source address to ' || source_address || ';
                coalesce(svc, 'any') AS service, log_count FROM seen)"""
 
 
+def _capped(log: str, suffix: str) -> dict[str, str]:
+    out = {}
+    out["lean_rules" + suffix] = _with(f"SELECT {_LEAN_FIELDS} FROM lean", log, *_PAIRS, *_CAP, recursive=True)
+    out["catch_all_networks" + suffix] = _with(
+        "SELECT side, cidr FROM tail_nets x WHERE NOT EXISTS (SELECT 1 FROM tail_nets y WHERE y.side = x.side "
+        "AND y.lo <= x.lo AND y.hi >= x.hi AND y.plen < x.plen)", log, *_PAIRS,
+        *_CAP[:4], recursive=True)
+    out["catch_all_labels" + suffix] = _with(
+        "SELECT side, row_number() OVER (PARTITION BY side ORDER BY log_count DESC, idx) - 1 AS pos, cidr || '/32' AS address "
+        "FROM (SELECT 'source' AS side, source_address AS cidr, log_count, idx FROM tail "
+        "UNION ALL SELECT 'destination', destination_address, log_count, idx FROM tail)",
+        log, *_PAIRS, *_CAP[:2], recursive=True)
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     flows, wide, dirty = _log(FLOWS), _log(WIDE_FLOWS), _log(DIRTY_FLOWS)
     by_source = _networks("SELECT 0 AS k, src_ip AS ip FROM flows")
@@ -275,8 +290,8 @@ def oracle_sql() -> dict[str, str]:
             f"FROM ({_USAGE}) WHERE risky_permissive = 'permissive' AND log_count > 0", flows, _RULE_TABLE),
         "rule_patterns": _with(
             "SELECT rule_name, count(DISTINCT src_ip) AS unique_source_ips, count(DISTINCT dst_ip) AS unique_destination_ips, "
-            "count(DISTINCT dst_port) AS unique_destination_ports, string_agg(DISTINCT CAST(dst_port AS VARCHAR), ',' "
-            "ORDER BY CAST(dst_port AS VARCHAR)) AS destination_ports FROM flows WHERE rule_name IN "
+            "count(DISTINCT dst_port) AS unique_destination_ports, array_to_string(list_sort(list(DISTINCT dst_port) "
+            "FILTER (WHERE dst_port IS NOT NULL)), ',') AS destination_ports FROM flows WHERE rule_name IN "
             "(SELECT rule_name FROM rules) GROUP BY rule_name", dirty, _RULE_TABLE),
         "rule_pattern_values": _with(
             "SELECT DISTINCT rule_name, field, value FROM (SELECT rule_name, 'source_ips' AS field, src_ip AS value FROM flows "
@@ -318,14 +333,30 @@ def oracle_sql() -> dict[str, str]:
         out["cidr_pair_rules" + suffix] = _with(
             "SELECT rule_name, source_address, destination_address, service, log_count FROM named_rules",
             log, *_PAIRS, recursive=True)
-        out["lean_rules" + suffix] = _with(f"SELECT {_LEAN_FIELDS} FROM lean", log, *_PAIRS, *_CAP, recursive=True)
-        out["catch_all_networks" + suffix] = _with(
-            "SELECT side, cidr FROM tail_nets x WHERE NOT EXISTS (SELECT 1 FROM tail_nets y WHERE y.side = x.side "
-            "AND y.lo <= x.lo AND y.hi >= x.hi AND y.plen < x.plen)", log, *_PAIRS,
-            *(c.replace("total > 7 AND ", "") for c in _CAP[:4]), recursive=True)
-        out["catch_all_labels" + suffix] = _with(
-            "SELECT side, row_number() OVER (PARTITION BY side ORDER BY log_count DESC, idx) - 1 AS pos, cidr || '/32' AS address "
-            "FROM (SELECT 'source' AS side, source_address AS cidr, log_count, idx FROM tail "
-            "UNION ALL SELECT 'destination', destination_address, log_count, idx FROM tail)",
-            log, *_PAIRS, *(c.replace("total > 7 AND ", "") for c in _CAP[:2]), recursive=True)
+        out |= _capped(log, suffix)
+        in_order = "ORDER BY first NULLS LAST, cidr) - 1 AS pos, cidr"
+        out["single_rule_networks" + suffix] = _with(
+            f"SELECT k AS side, row_number() OVER (PARTITION BY k {in_order} FROM nets", log, _SIDES, *_NETS_BY_SIDE, recursive=True)
+        out["rule_networks" + suffix] = _with(
+            f"SELECT split_part(k, '|', 1) AS rule_name, split_part(k, '|', 2) AS side, row_number() OVER (PARTITION BY k {in_order} FROM nets",
+            log, _SIDES, *_RULE_TEXTS[:-4], recursive=True)
+    for pairs, suffix in ((7, "_seven"), (8, "_eight")):
+        out |= _capped(_log(few_pairs_log(pairs)), suffix)
+    labels = "SELECT DISTINCT rule_name, side, ip || '/32' AS cidr FROM s"
+    of_rules = ("s AS (SELECT rule_name, 'source' AS side, src_ip AS ip FROM flows UNION ALL "
+                "SELECT rule_name, 'destination', dst_ip FROM flows)")
+    host = _log(HOST_FLOWS)
+    by_rule = "SELECT split_part(k, '|', 1) AS rule_name, split_part(k, '|', 2) AS side, cidr FROM nets"
+    # a key without IPv4 has its texts as labels, any other its networks
+    has_ipv4 = f"EXISTS (SELECT 1 FROM s t WHERE t.rule_name = s.rule_name AND t.side = s.side AND {_is_ipv4('t.ip')})"
+    out["networks_without_ipv4"] = _with(
+        f"{labels} WHERE ip IS NOT NULL AND NOT {has_ipv4} UNION ALL {by_rule} WHERE lo IS NOT NULL",
+        host, _SIDES, of_rules, *_RULE_TEXTS[:-4], recursive=True)
+    # one text that is no address at all, neither IPv4 nor IPv6, turns its key into labels
+    broken = (f"EXISTS (SELECT 1 FROM s t WHERE t.rule_name = s.rule_name AND t.side = s.side AND t.ip IS NOT NULL "
+              f"AND NOT {_is_ipv4('t.ip')} AND t.ip NOT LIKE '%:%')")
+    out["networks_all_host"] = _with(
+        f"{labels} WHERE ip IS NOT NULL AND rule_name IS NOT NULL AND {broken} UNION ALL {by_rule} s WHERE NOT EXISTS ("
+        f"SELECT 1 FROM s t WHERE t.rule_name = split_part(k, '|', 1) AND t.side = split_part(k, '|', 2) AND t.ip IS NOT NULL "
+        f"AND NOT {_is_ipv4('t.ip')} AND t.ip NOT LIKE '%:%')", _log(DIRTY_FLOWS), _SIDES, of_rules, *_RULE_TEXTS[:-4], recursive=True)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.operators import graph, labels, networks, report, rulesets, traffic, usage
+from flowsieve.operators import addresses, graph, labels, networks, report, rulesets, traffic, usage
 from flowsieve.sources.scratch import new_scratch_path
 from flowsieve.sources.sinks import extract_minimal_fields, minimal_fields, write_log_csv
 from flowsieve.sources.tables import load_logs
@@ -28,8 +28,7 @@ def _minimal_fields_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule_patterns(flows: DataFrame, rules: DataFrame) -> DataFrame:
-    as_text = F.sort_array(F.col("destination_ports").cast("array<string>"))
-    return usage.rule_patterns(flows, rules).withColumn("destination_ports", F.array_join(as_text, ","))
+    return usage.rule_patterns(flows, rules).withColumn("destination_ports", F.array_join("destination_ports", ","))
 
 
 def _optimized_rules(flows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -105,10 +104,27 @@ def queries() -> dict[str, Query]:
         out["ip_to_cidr" + suffix] = on(view, lambda f: labels.ip_to_cidr(networks.both_sides(f), "side"))
         out["single_rule" + suffix] = on(view, rulesets.aggregate_single_rule)
         out["cidr_pair_rules" + suffix] = on(view, lambda f: _rules_only(rulesets.generate_cidr_pair_rules(f)))
-        out["lean_rules" + suffix] = on(view, lambda f: rulesets.generate_lean_rule_set(f).withColumn(
-            "place", F.col("place").cast("bigint")))
-        out["catch_all_networks" + suffix] = on(view, lambda f: rulesets.catch_all_networks(
-            rulesets.generate_cidr_pair_rules(f)).drop("lo"))
-        out["catch_all_labels" + suffix] = on(view, lambda f: rulesets.catch_all_labels(
-            rulesets.generate_cidr_pair_rules(f)))
+        out |= _capped(view, suffix)
+    for pairs, suffix in ((rulesets.MAX_RULES, "_seven"), (rulesets.MAX_RULES + 1, "_eight")):
+        out |= _capped(lambda spark, sf_dir, pairs=pairs: views.few_pairs(spark, sf_dir, pairs), suffix)
+    for suffix, view in (("", flows), ("_wide", wide), ("_dirty", dirty)):
+        out["single_rule_networks" + suffix] = on(view, lambda f: addresses.address_rows(
+            networks.ip_networks(networks.both_sides(f), "side"), "side"))
+        out["rule_networks" + suffix] = on(view, lambda f: addresses.address_rows(
+            usage.networks_by_rule(f), ["rule_name", "side"]))
+    out["networks_without_ipv4"] = on(views.host_flows, lambda f: usage.networks_by_rule(f).select("rule_name", "side", "cidr"))
+    out["networks_all_host"] = on(dirty, lambda f: networks.ip_networks(
+        usage.networks_by_rule_addresses(f), ["rule_name", "side"], on_invalid="all_host").select("rule_name", "side", "cidr"))
     return out
+
+
+def _capped(view: Callable, suffix: str) -> dict[str, Query]:
+    def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rulesets.generate_cidr_pair_rules(view(spark, sf_dir))
+
+    return {
+        "lean_rules" + suffix: lambda spark, sf_dir: rulesets.generate_lean_rule_set(view(spark, sf_dir)).withColumn(
+            "place", F.col("place").cast("bigint")),
+        "catch_all_networks" + suffix: lambda spark, sf_dir: rulesets.catch_all_networks(rules(spark, sf_dir)).drop("lo"),
+        "catch_all_labels" + suffix: lambda spark, sf_dir: rulesets.catch_all_labels(rules(spark, sf_dir)),
+    }

@@ -52,6 +52,18 @@ DIRTY_FLOWS = f"""SELECT event_id, ts,
        CASE WHEN event_id % 89 = 5 THEN NULL ELSE rule_name END AS rule_name
   FROM ({FLOWS}) AS clean"""
 
+# A log without any IPv4 address at one side of some rules.
+HOST_FLOWS = f"""SELECT event_id, ts, 'host-' || CAST(event_id % 40 AS VARCHAR(3)) AS src_ip, collector, dst_port,
+       CASE WHEN rule_name = 'click' AND event_id % 3 = 0 THEN 'db-' || CAST(event_id % 9 AS VARCHAR(3)) ELSE dst_ip END AS dst_ip,
+       egress_zone, ingress_zone, rule_name FROM ({FLOWS}) AS clean"""
+
+
+def few_pairs_log(pairs: int) -> str:
+    return f"""SELECT event_id, ts, '10.0.0.1' AS src_ip, collector, dst_port,
+       '172.' || CAST(16 + event_id % {pairs} AS VARCHAR(3)) || '.0.1' AS dst_ip, egress_zone, ingress_zone, rule_name
+  FROM ({FLOWS}) AS clean"""
+
+
 RULES = """SELECT name AS rule_name, CAST(0 AS BIGINT) AS hits, priority, 'Traffic of ' || name AS description,
        CAST(NULL AS VARCHAR(10)) AS recommended_action, 'internal' AS source_zone,
        CASE WHEN name = 'click' OR priority > 5 THEN 'any' ELSE '192.168.0.0/16' END AS source_address,
@@ -59,8 +71,8 @@ RULES = """SELECT name AS rule_name, CAST(0 AS BIGINT) AS hits, priority, 'Traff
        CASE WHEN name IN ('click', 'view') OR priority > 5 THEN 'any' ELSE '10.0.0.0/8' END AS destination_address,
        'any' AS application,
        CASE WHEN name IN ('click', 'purchase') OR priority > 5 THEN 'any' ELSE 'http' END AS service,
-       'any' AS url_category, 'allow' AS action, 'default' AS profile_group, 'log-start, log-end' AS options,
-       CAST('2025-03-15' AS DATE) AS modified_date, CAST('2024-10-01' AS DATE) AS created_date,
+       'any' AS url_category, 'allow' AS action, 'default' AS profile_group, 'log both ends' AS options,
+       CAST('2023-06-30' AS DATE) AS modified_date, CAST('2022-02-11' AS DATE) AS created_date,
        CASE WHEN name IN ('click', 'signup') THEN 'risky' WHEN name = 'error' THEN 'normal'
             ELSE 'permissive' END AS risky_permissive,
        'egress' AS ingress_egress
@@ -93,5 +105,14 @@ def dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, DIRTY_FLOWS, "events")
 
 
+def few_pairs(spark: SparkSession, sf_dir: str, pairs: int) -> DataFrame:
+    """A log whose addresses fold into exactly `pairs` network pairs."""
+    return _run(spark, sf_dir, few_pairs_log(pairs), "events")
+
+
+def host_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, HOST_FLOWS, "events")
+
+
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, RULES, "events", "region")
