@@ -118,7 +118,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         looks = open_queries.select("query_id", "query_code", F.explode(F.array(*[
             F.struct(F.lit(n).alias("segment"), _segment(F.col("query_code"), n).alias("own")) for n in range(SEGMENTS)])).alias("s"))
         looks = looks.select("query_id", "query_code", "s.segment", F.explode(F.transform(masks, lambda m: F.col("s.own").bitwiseXOR(m))).alias("value"))
-        seen = looks.join(index, ["segment", "value"]).select("query_id", "query_code", "code", "ids").distinct()
+        # looks and index are many times larger than the tables they are made from, so neither may be broadcast by estimate
+        seen = looks.join(index.hint("merge"), ["segment", "value"]).select("query_id", "query_code", "code", "ids").distinct()
         found = seen.select("query_id", distance(F.col("query_code"), F.col("code")).alias("distance"), F.explode("ids").alias("vec_id"))
         found = found.where("vec_id <> query_id").select("query_id", "vec_id", "distance")
         if best is not None:
@@ -143,7 +144,7 @@ def _scan_all(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     parts = None
     for block in range(2 * blocks):
         some = numbered.where(F.col("block") == block)
-        near = _scan(entries, some, k).join(entries, "code").select("query_id", "distance", F.explode("ids").alias("vec_id"))
+        near = _scan(entries, some, k).join(entries.hint("merge"), "code").select("query_id", "distance", F.explode("ids").alias("vec_id"))
         best = materialise(_best(near.where("vec_id <> query_id"), k), "scanned")
         parts = best if parts is None else parts.unionByName(best)
     return parts.select("query_id", "vec_id", "distance", "rank")
