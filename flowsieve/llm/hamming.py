@@ -7,9 +7,11 @@ has been seen, because some segment of such a code is within r. A query is done
 verified distance is at most that. The order is by distance, then by id.
 
 Equal codes are one entry of the index with their k + 1 smallest ids, which is all that a result
-can need of them, so a code that a third of all rows share is one entry. A query that still is
-not done when one lookup round would cost more than all entries is compared with all entries, in
-blocks of queries.
+can need of them, so a code that a third of all rows share is one entry. The entries with one value
+of a segment are a bucket, kept in blocks of about BUCKET entries. A lookup meets each block of its
+bucket, verifies all entries there and hands on the k nearest, so the rows made grow with the
+lookups and not with the buckets. A query that still is not done when one lookup round would cost
+more than all entries is compared with all entries, in blocks of queries.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from flowsieve.sources.scratch import materialise
 BITS, SEGMENT_BITS = 64, 16
 SEGMENTS = BITS // SEGMENT_BITS
 QUERIES_PER_BLOCK = 2048
+# Entries of one block of a bucket, about.
+BUCKET = 1024
+_QUERY = ("query_id", "query_code")
 
 
 def codes(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -66,85 +71,129 @@ def _smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query among (query_id, vec_id, distance)."""
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+def _first_k(found: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first k rows of each query, with their rank from 1."""
+    ranks = F.row_number().over(Window.partitionBy(*_QUERY).orderBy(*order)).cast("long")
+    return found.withColumn("rank", ranks).where(F.col("rank") <= k)
 
 
-def _scan(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, code, distance) of the nearest k + 1 codes of each query in each partition of `entries`."""
-    listed = queries.toPandas()  # at most QUERIES_PER_BLOCK rows of 16 bytes
-    ids, wanted = listed["query_id"].to_numpy(np.int64), listed["query_code"].to_numpy(np.int64).view(np.uint64)
+def _near_codes(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest codes of each query; `first` is the code's smallest id that is not the query's own.
+
+    Each code has such an id, so no vector of another code is among the k nearest.
+    """
+    return _first_k(found.distinct(), k, "distance", "first").drop("rank")
+
+
+def _vectors(near: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """The k nearest vectors of each query among those of its nearest codes."""
+    found = near.join(entries, "code").select(*_QUERY, "distance", F.explode("ids").alias("vec_id"))
+    return _first_k(found.where("vec_id <> query_id"), k, "distance", "vec_id")
+
+
+def _buckets(light: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index (segment, value, block, entries), and the buckets of several blocks (segment, value, blocks)."""
+    by_value = light.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("segment"), _segment(F.col("code"), n).alias("value")) for n in range(SEGMENTS)])).alias("s"),
+        "code", "first", "second").select("s.segment", "s.value", "code", "first", "second")
+    sizes = by_value.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
+    large = materialise(sizes.select("segment", "value", F.ceil(F.col("n") / BUCKET).alias("blocks")), "large_buckets")
+    block = F.pmod(F.xxhash64("code"), F.coalesce("blocks", F.lit(1)))
+    placed = by_value.join(F.broadcast(large), ["segment", "value"], "left").withColumn("block", block)
+    listed = placed.groupBy("segment", "value", "block").agg(F.collect_list(F.struct("code", "first", "second")).alias("entries"))
+    return materialise(listed, "buckets"), large
+
+
+def _look_up(queries: DataFrame, radius: int, buckets: DataFrame, large: DataFrame, k: int) -> DataFrame:
+    """(query_id, query_code, distance, first, code) of the nearest codes in each block at `radius` from a segment.
+
+    `large` has a row per segment and value at most, SEGMENTS << SEGMENT_BITS, so it is broadcast.
+    """
+    masks = F.array(*[F.lit(m) for m in _masks(radius)])
+    own = queries.select(*_QUERY, "far", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("segment"), _segment(F.col("query_code"), n).alias("own")) for n in range(SEGMENTS)])).alias("s"))
+    looks = own.select(*_QUERY, "far", "s.segment", F.explode(F.transform(masks, lambda m: F.col("s.own").bitwiseXOR(m))).alias("value"))
+    spread = looks.join(F.broadcast(large), ["segment", "value"], "left").withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
+    # lookups are many times larger than the table they are made from, so they may not be broadcast by estimate
+    met = spread.join(buckets.hint("merge"), ["segment", "value", "block"])
+    away = lambda e: distance(F.col("query_code"), e["code"])
+    other = lambda e: F.when(e["first"] == F.col("query_id"), e["second"]).otherwise(e["first"])
+    wanted = F.filter("entries", lambda e: other(e).isNotNull() & (away(e) <= F.coalesce("far", F.lit(BITS))))
+    sorted_ = F.sort_array(F.transform(wanted, lambda e: F.struct(away(e).alias("distance"), other(e).alias("first"), e["code"].alias("code"))))
+    return met.select(*_QUERY, F.explode(F.slice(sorted_, 1, k)).alias("n")).select(*_QUERY, "n.distance", "n.first", "n.code")
+
+
+def _scan(light: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The same of all codes: the k nearest of each query in each task."""
+    listed = queries.select(*_QUERY).toPandas()  # at most about QUERIES_PER_BLOCK rows of 16 bytes
+    ids, wanted = listed["query_id"].to_numpy(np.int64), listed["query_code"].to_numpy(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((3, 0), dtype=np.int64)] * len(ids)
         for batch in batches:
-            mine = batch.column(0).to_numpy().view(np.uint64)
-            out = [np.zeros((3, 0), dtype=np.int64)]
-            for query, code in zip(ids, wanted, strict=True):
-                d = np.bitwise_count(mine ^ code).astype(np.int64)
-                # ties at the border stay: their ids decide later
-                border = np.partition(d, k)[k] if len(d) > k + 1 else BITS
+            codes, first, second = (batch.column(n).fill_null(-1).to_numpy() for n in range(3))
+            single = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            for q, (query, code) in enumerate(zip(ids, wanted, strict=True)):
+                d = np.bitwise_count((codes ^ code).view(np.uint64)).astype(np.int64)
+                own = first == query
+                d[own & single] = BITS + 1
+                border = min(BITS, np.partition(d, k - 1)[k - 1]) if len(d) > k else BITS
                 at = np.flatnonzero(d <= border)
-                out.append(np.stack([np.full(len(at), query), mine[at].view(np.int64), d[at]]))
-            q, c, d = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(d)], names=["query_id", "code", "distance"])
+                both = np.concatenate([held[q], np.stack([d[at], np.where(own[at], second[at], first[at]), codes[at]])], axis=1)
+                held[q] = both[:, np.lexsort((both[1], both[0]))[:k]]
+        counts = [h.shape[1] for h in held]
+        d, first, codes = np.concatenate([np.zeros((3, 0), dtype=np.int64), *held], axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, counts)), pa.array(np.repeat(wanted, counts)), pa.array(d), pa.array(first), pa.array(codes)],
+            names=[*_QUERY, "distance", "first", "code"])
 
-    return entries.select("code").mapInArrow(run, "query_id long, code long, distance long")
+    return light.mapInArrow(run, "query_id long, query_code long, distance long, first long, code long")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k rows (vec_id, code) nearest to each query (query_id, query_code), the query's own id left out.
 
     Returns (query_id, rank, vec_id, distance), rank from 1. Fewer rows than k give fewer results.
-    Ids that repeat with equal codes are one row, and with different codes are ranked each. Runs
-    its jobs when called.
+    Ids that repeat with equal codes are one row, and with different codes are ranked each; a query
+    id with several codes is answered for each. Runs its jobs when called.
     """
     entries = materialise(_smallest_ids(rows, k + 1), "codes")
     total = entries.count()
-    open_queries = materialise(queries.select("query_id", "query_code").distinct(), "queries")
-    index = entries.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("segment"), _segment(F.col("code"), n).alias("value")) for n in range(SEGMENTS)])).alias("s"),
-        "code", "ids").select("s.segment", "s.value", "code", "ids")
-    best = done = None
+    light = entries.select("code", F.col("ids")[0].alias("first"), F.try_element_at("ids", F.lit(2)).alias("second"))
+    buckets, large = _buckets(light)
+    open_queries = materialise(queries.select(*_QUERY, F.lit(None).cast("long").alias("far")).distinct(), "queries")
+    near = done = None
     for radius in range(SEGMENT_BITS + 1):
         if not open_queries.count():
             break
         if SEGMENTS * comb(SEGMENT_BITS, radius) > max(total, 1024):
-            scanned = _scan_all(entries, open_queries, k)
+            scanned = _vectors(_scan_all(light, open_queries, k), entries, k)
             done = scanned if done is None else done.unionByName(scanned)
             break
-        masks = F.array(*[F.lit(m) for m in _masks(radius)])
-        looks = open_queries.select("query_id", "query_code", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("segment"), _segment(F.col("query_code"), n).alias("own")) for n in range(SEGMENTS)])).alias("s"))
-        looks = looks.select("query_id", "query_code", "s.segment", F.explode(F.transform(masks, lambda m: F.col("s.own").bitwiseXOR(m))).alias("value"))
-        # looks and index are many times larger than the tables they are made from, so neither may be broadcast by estimate
-        seen = looks.join(index.hint("merge"), ["segment", "value"]).select("query_id", "query_code", "code", "ids").distinct()
-        found = seen.select("query_id", distance(F.col("query_code"), F.col("code")).alias("distance"), F.explode("ids").alias("vec_id"))
-        found = found.where("vec_id <> query_id").select("query_id", "vec_id", "distance")
-        if best is not None:
-            found = found.unionByName(best.join(open_queries, "query_id", "left_semi").select("query_id", "vec_id", "distance")).distinct()
-        best = materialise(_best(found, k), "nearest")
+        found = _look_up(open_queries, radius, buckets, large, k)
+        if near is not None:
+            found = found.unionByName(near.join(open_queries.select(*_QUERY), [*_QUERY], "left_semi"))
+        near = materialise(_near_codes(found, k), "near_codes")
+        best = materialise(_vectors(near, entries, k), "nearest")
         covered = SEGMENTS * (radius + 1) - 1
-        finished = best.groupBy("query_id").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(
-            (F.col("n") == k) & (F.col("far") <= covered)).select("query_id")
-        finished = materialise(finished, "finished")
-        part = best.join(finished, "query_id", "left_semi")
+        full = best.groupBy(*_QUERY).agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") == k)
+        full = materialise(full.drop("n"), "full")
+        part = best.join(full.where(F.col("far") <= covered), [*_QUERY], "left_semi")
         done = part if done is None else done.unionByName(part)
-        open_queries = materialise(open_queries.join(finished, "query_id", "left_anti"), "queries")
+        left = open_queries.drop("far").join(full, [*_QUERY], "left").where(F.col("far").isNull() | (F.col("far") > covered))
+        open_queries = materialise(left, "queries")
     if done is None:
         return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).cast("long").alias("rank"), "vec_id", F.lit(0).cast("long").alias("distance"))
     return done.select("query_id", "rank", "vec_id", "distance")
 
 
-def _scan_all(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """All open queries against all entries, block by block."""
-    blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
-    numbered = materialise(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))), "scan_queries")
+def _scan_all(light: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The nearest codes of all open queries among all entries, block by block."""
+    blocks = 2 * max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+    numbered = materialise(queries.withColumn("block", F.pmod(F.xxhash64(*_QUERY), F.lit(blocks))), "scan_queries")
     parts = None
-    for block in range(2 * blocks):
-        some = numbered.where(F.col("block") == block)
-        near = _scan(entries, some, k).join(entries.hint("merge"), "code").select("query_id", "distance", F.explode("ids").alias("vec_id"))
-        best = materialise(_best(near.where("vec_id <> query_id"), k), "scanned")
-        parts = best if parts is None else parts.unionByName(best)
-    return parts.select("query_id", "vec_id", "distance", "rank")
+    for block in range(blocks):
+        near = materialise(_near_codes(_scan(light, numbered.where(F.col("block") == block), k), k), "scanned")
+        parts = near if parts is None else parts.unionByName(near)
+    return parts

@@ -38,6 +38,17 @@ def test_clusters_hot_codes_and_far_queries(spark, k):
     assert {tuple(r) for r in got.collect()} == brute(rows, queries, k)
 
 
+def test_buckets_of_several_blocks_and_repeated_query_ids(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BUCKET", 16)
+    rng = random.Random(3)
+    # all codes share one segment; an id has three codes near each other
+    rows = [(i, (rng.getrandbits(47) << 16) | 5) for i in range(1500)] + [(40, 5), (40, (1 << 20) | 5), (40, (1 << 30) | 5)]
+    queries = [(40, 5), (40, (1 << 30) | 5), rows[100], rows[200]]
+    got = hamming.nearest(spark.createDataFrame(rows, "vec_id long, code long"), spark.createDataFrame(queries, "query_id long, query_code long"), 4)
+    assert {tuple(r) for r in got.collect()} == brute(rows, queries, 4)
+    assert got.count() == 16
+
+
 def test_few_rows_and_odd_vectors(spark):
     vectors = [(1, [1.0, -1.0]), (2, [0.5, None]), (3, [float("nan"), 2.0]), (None, [1.0]), (4, None), (5, [])]
     coded = hamming.codes(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
