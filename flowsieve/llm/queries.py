@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import decontaminate, hamming, lattice_lm, minhash, packing, preference, sharding, substring, token_output, toxicity, warc
+from flowsieve.llm import decontaminate, hamming, lattice_lm, lexical, minhash, packing, phrases, preference, sharding, substring, token_output, toxicity, warc
 from flowsieve.sources.scratch import materialise, new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,18 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.find_collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_minhash_near_dedup, op2_lattice_likelihood, op3_best_fit_packing, op4_sampled_splitter_sharding, op5_preference_formatting, op6_hamming_top_k,
-        op7_toxicity_trees, op8_token_matrices, op9_template_decontamination, op10_warc_captures, op11_substring_dedup,
+        op7_toxicity_trees, op8_token_matrices, op9_template_decontamination, op10_warc_captures, op11_substring_dedup, op12_ranked_lexical_search,
+        op13_phrase_collocations,
     )
     return {query.__name__: query for query in found}

@@ -14,7 +14,7 @@ SQL = oracles.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("conversations", "embeddings", "pages"):
+    for table in ("benchmark", "conversations", "documents", "embeddings", "pages"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = queries.queries()[name](spark, SF)
     want = duck.sql(SQL[name])
@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, name):
     assert rows == sorted((tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), key=str)
 
 
-def test_all_ten_are_registered():
+def test_all_thirteen_are_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(SQL) <= set(names)
