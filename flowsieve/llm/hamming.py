@@ -1,23 +1,25 @@
 """Exact nearest codes by multi-index hashing with growing radii.
 
-A vector's code has a bit per dimension, set where the value is positive. Codes are cut into
-SEGMENTS of 16 bits, and every segment has an index by value. In round r a query looks up the
-values at distance r from each of its segments. After it, every code within SEGMENTS * (r + 1) - 1
-has been seen, because some segment of such a code is within r. A query is done when its k-th
-verified distance is at most that. The order is by distance, then by id.
-
-Equal codes are one entry of the index with their k + 1 smallest ids, which is all that a result
-can need of them, so a code that a third of all rows share is one entry. The entries with one value
-of a segment are a bucket, kept in blocks of about BUCKET entries. A lookup meets each block of its
-bucket, verifies all entries there and hands on the k nearest, so the rows made grow with the
-lookups and not with the buckets. A query that still is not done when one lookup round would cost
-more than all entries is compared with all entries, in blocks of queries.
+A vector's code has a bit per dimension, set where the value is positive. Equal codes are one entry with
+their k + 1 smallest ids, which is all that a result can need of them, so a code that a third of all
+rows share is one entry.
+
+Entries are indexed in the tasks, at most BUCKET of them in one index, so nothing is shuffled by value
+and no value is hot. An index cuts codes into segments of about log2(entries) bits, and has for each
+segment the entries sorted by its value. A query looks up the values at distance 0 from each of its
+segments, then those at distance 1, one segment after the other. When the first j + 1 of s
+segments have been searched up to radius r and the others up to r - 1, every code within s * r + j
+has been seen, because a code that has not differs in r + 1 bits in each of the first and in r in each
+other segment. A query ends when its k-th verified distance is at most that, and never by a scan. The
+distances found in one index bound the radii in the task's next one. The order is by distance, then
+by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 
 from flowsieve.sources.scratch import materialise
 
-BITS, SEGMENT_BITS = 64, 16
-SEGMENTS = BITS // SEGMENT_BITS
-QUERIES_PER_BLOCK = 2048
-# Entries of one block of a bucket, about.
-BUCKET = 1024
+BITS = 64
+# Queries that the tasks hold at once, with k results each; more of them are answered in further passes.
+QUERIES_PER_PASS = 1 << 18
+# Entries of one index.
+BUCKET = 1 << 17
 _QUERY = ("query_id", "query_code")
 
 
@@ -47,18 +49,6 @@ def codes(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") ->
     return rows.select("vec_id", fits.alias("code"))
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)).cast("long")
-
-
-def _segment(code: Column, number: int) -> Column:
-    return F.shiftrightunsigned(code, SEGMENT_BITS * number).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
-
-
-def _masks(radius: int) -> list[int]:
-    return [m for m in range(1 << SEGMENT_BITS) if m.bit_count() == radius]
-
-
 def _smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
     """(code, ids): the `keep` smallest ids of every code, first of parts of a code, then of their results."""
 
@@ -91,57 +81,111 @@ def _vectors(near: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     return _first_k(found.where("vec_id <> query_id"), k, "distance", "vec_id")
 
 
-def _buckets(light: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index (segment, value, block, entries), and the buckets of several blocks (segment, value, blocks)."""
-    by_value = light.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("segment"), _segment(F.col("code"), n).alias("value")) for n in range(SEGMENTS)])).alias("s"),
-        "code", "first", "second").select("s.segment", "s.value", "code", "first", "second")
-    sizes = by_value.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
-    large = materialise(sizes.select("segment", "value", F.ceil(F.col("n") / BUCKET).alias("blocks")), "large_buckets")
-    block = F.pmod(F.xxhash64("code"), F.coalesce("blocks", F.lit(1)))
-    placed = by_value.join(F.broadcast(large), ["segment", "value"], "left").withColumn("block", block)
-    listed = placed.groupBy("segment", "value", "block").agg(F.collect_list(F.struct("code", "first", "second")).alias("entries"))
-    return materialise(listed, "buckets"), large
-
-
-def _look_up(queries: DataFrame, radius: int, buckets: DataFrame, large: DataFrame, k: int) -> DataFrame:
-    """(query_id, query_code, distance, first, code) of the nearest codes in each block at `radius` from a segment.
-
-    `large` has a row per segment and value at most, SEGMENTS << SEGMENT_BITS, so it is broadcast.
-    """
-    masks = F.array(*[F.lit(m) for m in _masks(radius)])
-    own = queries.select(*_QUERY, "far", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("segment"), _segment(F.col("query_code"), n).alias("own")) for n in range(SEGMENTS)])).alias("s"))
-    looks = own.select(*_QUERY, "far", "s.segment", F.explode(F.transform(masks, lambda m: F.col("s.own").bitwiseXOR(m))).alias("value"))
-    spread = looks.join(F.broadcast(large), ["segment", "value"], "left").withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
-    # lookups are many times larger than the table they are made from, so they may not be broadcast by estimate
-    met = spread.join(buckets.hint("merge"), ["segment", "value", "block"])
-    away = lambda e: distance(F.col("query_code"), e["code"])
-    other = lambda e: F.when(e["first"] == F.col("query_id"), e["second"]).otherwise(e["first"])
-    wanted = F.filter("entries", lambda e: other(e).isNotNull() & (away(e) <= F.coalesce("far", F.lit(BITS))))
-    sorted_ = F.sort_array(F.transform(wanted, lambda e: F.struct(away(e).alias("distance"), other(e).alias("first"), e["code"].alias("code"))))
-    return met.select(*_QUERY, F.explode(F.slice(sorted_, 1, k)).alias("n")).select(*_QUERY, "n.distance", "n.first", "n.code")
-
-
-def _scan(light: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same of all codes: the k nearest of each query in each task."""
-    listed = queries.select(*_QUERY).toPandas()  # at most about QUERIES_PER_BLOCK rows of 16 bytes
-    ids, wanted = listed["query_id"].to_numpy(np.int64), listed["query_code"].to_numpy(np.int64)
+class Index:
+    """Distinct codes by the values of their segments."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.segments = max(2, ceil(BITS / max(4, log2(max(len(codes), 2)))))
+        width = -(-BITS // self.segments)
+        self.cuts = [(lo, min(lo + width, BITS) - lo) for lo in range(0, BITS, width)]
+        self.tables = []
+        for lo, bits in self.cuts:
+            values = self._values(codes, lo, bits)
+            starts = np.zeros((1 << bits) + 1, dtype=np.int64)
+            np.cumsum(np.bincount(values, minlength=1 << bits), out=starts[1:])
+            self.tables.append((np.argsort(values, kind="stable"), starts))
+        self.masks: dict[tuple[int, int], np.ndarray] = {}
+
+    @staticmethod
+    def _values(codes: np.ndarray, lo: int, bits: int) -> np.ndarray:
+        return ((codes >> np.uint64(lo)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def _at_radius(self, bits: int, radius: int) -> np.ndarray:
+        if (bits, radius) not in self.masks:
+            self.masks[bits, radius] = np.array([sum(1 << place for place in places) for places in combinations(range(bits), radius)], dtype=np.int64)
+        return self.masks[bits, radius]
+
+    def look_up(self, code: np.uint64, number: int, radius: int) -> np.ndarray:
+        """Places of the codes whose segment `number` is at `radius` from the query's."""
+        lo, bits = self.cuts[number]
+        order, starts = self.tables[number]
+        values = int(self._values(code, lo, bits)) ^ self._at_radius(bits, radius)
+        begins, sizes = starts[values], starts[values + 1] - starts[values]
+        held = sizes > 0
+        begins, sizes = begins[held], sizes[held]
+        ends = np.cumsum(sizes)
+        return order[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])] if len(ends) else order[:0]
+
+    def nearest(self, code: np.uint64, k: int, far: int, drop: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of all codes that can be among the k nearest, ties included.
+
+        Codes beyond the distance `far` are not asked for, nor is the one at the place `drop`.
+        """
+        seen = np.zeros(len(self.codes), dtype=bool)
+        if drop >= 0:
+            seen[drop] = True
+        counts = np.zeros(BITS + 1, dtype=np.int64)
+        places, distances, left = [], [], len(self.codes) - (drop >= 0)
+        for radius in range(max(bits for _, bits in self.cuts) + 1):
+            for number, (_, bits) in enumerate(self.cuts):
+                if radius <= bits:
+                    found = self.look_up(code, number, radius)
+                    found = found[~seen[found]]
+                    seen[found] = True
+                    left -= len(found)
+                    away = np.bitwise_count(self.codes[found] ^ code).astype(np.int64)
+                    close = away <= far
+                    places.append(found[close])
+                    distances.append(away[close])
+                    counts += np.bincount(away, minlength=BITS + 1)
+                    reached = np.flatnonzero(np.cumsum(counts) >= k)
+                    if len(reached):
+                        far = min(far, int(reached[0]))
+                if far <= len(self.cuts) * radius + number or not left:
+                    places, distances = np.concatenate(places), np.concatenate(distances)
+                    near = distances <= far
+                    return places[near], distances[near]
+        raise AssertionError("all radii cover all codes")
+
+
+def _search(light: DataFrame, listed: np.ndarray, k: int) -> DataFrame:
+    """The k nearest codes of each query among those of each task: (query_id, query_code, distance, first, code)."""
+    ids, wanted = listed[:, 0], listed[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros((3, 0), dtype=np.int64)] * len(ids)
-        for batch in batches:
-            codes, first, second = (batch.column(n).fill_null(-1).to_numpy() for n in range(3))
-            single = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            for q, (query, code) in enumerate(zip(ids, wanted, strict=True)):
-                d = np.bitwise_count((codes ^ code).view(np.uint64)).astype(np.int64)
-                own = first == query
-                d[own & single] = BITS + 1
-                border = min(BITS, np.partition(d, k - 1)[k - 1]) if len(d) > k else BITS
-                at = np.flatnonzero(d <= border)
-                both = np.concatenate([held[q], np.stack([d[at], np.where(own[at], second[at], first[at]), codes[at]])], axis=1)
+
+        def answer(entries: pa.Table) -> None:
+            codes, first, second = (entries.column(n).fill_null(0).to_numpy() for n in range(3))
+            single = entries.column(2).is_null().to_numpy()
+            index = Index(codes.view(np.uint64))
+            by_first = np.argsort(first, kind="stable")
+            of_first = first[by_first]
+            for q in range(len(ids)):
+                far = int(held[q][0, -1]) if held[q].shape[1] == k else BITS
+                # codes that only the query itself has are none of its neighbours; mostly there is one at most
+                own = by_first[np.searchsorted(of_first, ids[q]) : np.searchsorted(of_first, ids[q], side="right")]
+                alone = own[single[own]]
+                at, d = index.nearest(wanted[q : q + 1].view(np.uint64)[0], k + max(0, len(alone) - 1), far, int(alone[0]) if len(alone) else -1)
+                if len(alone) > 1:
+                    other = ~np.isin(at, alone)
+                    at, d = at[other], d[other]
+                both = np.concatenate([held[q], np.stack([d, np.where(first[at] == ids[q], second[at], first[at]), codes[at]])], axis=1)
                 held[q] = both[:, np.lexsort((both[1], both[0]))[:k]]
+
+        waiting, size = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, BUCKET - size)
+                waiting.append(part)
+                size += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if size == BUCKET:
+                    answer(pa.Table.from_batches(waiting))
+                    waiting, size = [], 0
+        if size:
+            answer(pa.Table.from_batches(waiting))
         counts = [h.shape[1] for h in held]
         d, first, codes = np.concatenate([np.zeros((3, 0), dtype=np.int64), *held], axis=1)
         yield pa.RecordBatch.from_arrays(
@@ -156,44 +200,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Returns (query_id, rank, vec_id, distance), rank from 1. Fewer rows than k give fewer results.
     Ids that repeat with equal codes are one row, and with different codes are ranked each; a query
-    id with several codes is answered for each. Runs its jobs when called.
+    id with several codes is answered for each. Queries go to the tasks 16 bytes each,
+    QUERIES_PER_PASS at a time. Runs its jobs when called.
     """
     entries = materialise(_smallest_ids(rows, k + 1), "codes")
-    total = entries.count()
     light = entries.select("code", F.col("ids")[0].alias("first"), F.try_element_at("ids", F.lit(2)).alias("second"))
-    buckets, large = _buckets(light)
-    open_queries = materialise(queries.select(*_QUERY, F.lit(None).cast("long").alias("far")).distinct(), "queries")
-    near = done = None
-    for radius in range(SEGMENT_BITS + 1):
-        if not open_queries.count():
-            break
-        if SEGMENTS * comb(SEGMENT_BITS, radius) > max(total, 1024):
-            scanned = _vectors(_scan_all(light, open_queries, k), entries, k)
-            done = scanned if done is None else done.unionByName(scanned)
-            break
-        found = _look_up(open_queries, radius, buckets, large, k)
-        if near is not None:
-            found = found.unionByName(near.join(open_queries.select(*_QUERY), [*_QUERY], "left_semi"))
-        near = materialise(_near_codes(found, k), "near_codes")
-        best = materialise(_vectors(near, entries, k), "nearest")
-        covered = SEGMENTS * (radius + 1) - 1
-        full = best.groupBy(*_QUERY).agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") == k)
-        full = materialise(full.drop("n"), "full")
-        part = best.join(full.where(F.col("far") <= covered), [*_QUERY], "left_semi")
-        done = part if done is None else done.unionByName(part)
-        left = open_queries.drop("far").join(full, [*_QUERY], "left").where(F.col("far").isNull() | (F.col("far") > covered))
-        open_queries = materialise(left, "queries")
-    if done is None:
-        return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).cast("long").alias("rank"), "vec_id", F.lit(0).cast("long").alias("distance"))
-    return done.select("query_id", "rank", "vec_id", "distance")
-
-
-def _scan_all(light: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The nearest codes of all open queries among all entries, block by block."""
-    blocks = 2 * max(1, -(-queries.count() // QUERIES_PER_BLOCK))
-    numbered = materialise(queries.withColumn("block", F.pmod(F.xxhash64(*_QUERY), F.lit(blocks))), "scan_queries")
-    parts = None
-    for block in range(blocks):
-        near = materialise(_near_codes(_scan(light, numbered.where(F.col("block") == block), k), k), "scanned")
-        parts = near if parts is None else parts.unionByName(near)
-    return parts
+    asked = materialise(queries.select(*_QUERY).dropna().distinct(), "queries")
+    passes = max(1, -(-asked.count() // QUERIES_PER_PASS))
+    near = None
+    for turn in range(passes):
+        part = asked.where(F.pmod(F.xxhash64(*_QUERY), F.lit(passes)) == turn)
+        listed = part.toPandas().to_numpy(np.int64)
+        found = _near_codes(_search(light, listed, k), k)
+        near = found if near is None else near.unionByName(found)
+    return _vectors(materialise(near, "near_codes"), entries, k).select("query_id", "rank", "vec_id", "distance")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from flowsieve.llm import hamming
@@ -58,3 +59,33 @@ def test_few_rows_and_odd_vectors(spark):
     assert {tuple(r) for r in hamming.nearest(coded, wanted).collect()} == brute(rows, [(1, 1)], 10)
     assert hamming.nearest(coded.limit(0), wanted).count() == 0
     assert hamming.nearest(coded, wanted.limit(0)).count() == 0
+
+
+def test_every_query_ends_by_proof_and_few_codes_are_compared():
+    draw = np.random.default_rng(1)
+    centres = draw.integers(0, 1 << 63, 500, dtype=np.uint64)
+    codes = np.unique(centres[draw.integers(0, 500, 20_000)] ^ (np.uint64(1) << draw.integers(0, 64, 20_000).astype(np.uint64))
+                      ^ (np.uint64(1) << draw.integers(0, 64, 20_000).astype(np.uint64)))
+    index = hamming.Index(codes)
+    compared = []
+    look_up = index.look_up
+    index.look_up = lambda *a: compared.append(len(found := look_up(*a))) or found
+    for code in [*codes[::900], *draw.integers(0, 1 << 63, 3, dtype=np.uint64)]:
+        for far in (hamming.BITS, 9, 0):
+            compared.clear()
+            at, d = index.nearest(code, 5, far)
+            true = np.bitwise_count(codes ^ code).astype(int)
+            border = min(far, np.partition(true, 4)[4])
+            assert sorted(at.tolist()) == np.flatnonzero(true <= border).tolist() and (true[at] == d).all()
+            if border <= 4:
+                assert sum(compared) < len(codes) // 20
+
+
+def test_queries_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "QUERIES_PER_PASS", 3)
+    monkeypatch.setattr(hamming, "BUCKET", 40)
+    rng = random.Random(9)
+    rows = [(i, rng.getrandbits(20)) for i in range(300)] + [(i, 77) for i in range(300, 340)] + [(5, 1), (5, 2), (5, 4)]
+    queries = [rows[i] for i in (0, 5, 17, 100, 301, 339, 340, 341, 342)]
+    got = hamming.nearest(spark.createDataFrame(rows, "vec_id long, code long"), spark.createDataFrame(queries, "query_id long, query_code long"), 6)
+    assert {tuple(r) for r in got.collect()} == brute(rows, queries, 6) and got.count() == 6 * len(queries)
