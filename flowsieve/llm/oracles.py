@@ -7,30 +7,35 @@ from flowsieve.llm.phrases import BEST, LEAST_COUNT, LONGEST
 from flowsieve.llm.warc import LEAST_REVISIT_BYTES
 
 PREFERENCES = """
-WITH turns AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-last AS (
-    SELECT pair_id, max({'turn': turn, 'text': text}) AS l FROM turns WHERE role = 'assistant' GROUP BY pair_id
+WITH turns AS (
+    SELECT conv_id AS pair_id, turn, role, text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
 ),
+last AS (SELECT pair_id, max(place) AS place FROM turns WHERE role = 'assistant' GROUP BY pair_id),
+answers AS (SELECT pair_id, turn, text, row_number() OVER (ORDER BY pair_id) - 1 AS nth, count(*) OVER () AS total
+    FROM turns JOIN last USING (pair_id, place)),
 rejected AS (
-    SELECT t.pair_id, turn, role, text FROM turns t LEFT JOIN last USING (pair_id) WHERE l IS NULL OR turn < l.turn
+    SELECT t.pair_id, turn, role, text FROM turns t LEFT JOIN last l USING (pair_id) WHERE l.place IS NULL OR t.place < l.place
     UNION ALL
-    SELECT a.pair_id, a.l.turn, 'assistant', b.l.text FROM last a JOIN last b ON b.pair_id = a.pair_id + 1
+    SELECT a.pair_id, a.turn, 'assistant', b.text FROM answers a JOIN answers b ON b.nth = (a.nth + 1) % a.total WHERE a.total > 1
 ),
-a AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM turns),
-b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS LAST, role, text) - 1 AS place FROM rejected),
+a AS (SELECT * FROM turns),
+b AS (SELECT *, row_number() OVER (
+    PARTITION BY pair_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM rejected),
 differs AS (
     SELECT pair_id, min(place) FILTER (
-        a.pair_id IS NULL OR b.pair_id IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) AS at
+        a.pair_id IS NULL OR b.pair_id IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) AS first
     FROM a FULL JOIN b USING (pair_id, place) GROUP BY pair_id
 ),
 parts AS (
-    SELECT pair_id, CASE WHEN at IS NULL OR place < at THEN 'prompt' ELSE 'chosen' END AS part, place, role, text, at
+    SELECT pair_id, CASE WHEN first IS NULL OR place < first THEN 'prompt' ELSE 'chosen' END AS part, place, role, text, first
     FROM a JOIN differs USING (pair_id)
     UNION ALL
-    SELECT pair_id, 'rejected', place, role, text, at FROM b JOIN differs USING (pair_id) WHERE place >= at
+    SELECT pair_id, 'rejected', place, role, text, first FROM b JOIN differs USING (pair_id) WHERE place >= first
 ),
 rendered AS (
-    SELECT pair_id, part, place - CASE WHEN part = 'prompt' THEN 0 ELSE at END AS place, role,
+    SELECT pair_id, part, place - CASE WHEN part = 'prompt' THEN 0 ELSE first END AS place, role,
         '<|start|>' || coalesce(role, '') || chr(10) AS header, coalesce(text, '') || '<|end|>' || chr(10) AS body
     FROM parts
 ),
@@ -48,7 +53,7 @@ TOP_K = f"""
 WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 d AS (
     SELECT q.vec_id AS query_id, v.vec_id,
-        list_sum(list_transform(range(1, {BITS + 1}), i -> ((coalesce(q.e[i], 0) > 0) <> (coalesce(v.e[i], 0) > 0))::INT))::BIGINT AS distance
+        list_sum(list_transform(range(1, {BITS + 1}), lambda i: ((coalesce(q.e[i], 0) > 0) <> (coalesce(v.e[i], 0) > 0))::INT))::BIGINT AS distance
     FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)

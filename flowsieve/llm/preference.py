@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsieve.operators.joins import with_position
+
 LEARNED_ROLE = "assistant"
 
 
@@ -71,14 +73,22 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def swapped_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected conversations from (conv_id, turn, role, text): every conversation is chosen
-    over itself with the last answer of the conversation with the next id in place of its own."""
+    """Chosen and rejected conversations from (conv_id, turn, role, text).
+
+    Every conversation is chosen over the turns before its last answer, followed by the last answer of
+    the conversation that comes next: the one with the next id that occurs and has an answer, and
+    after the last of them the first. Turns are in the order of `format_preferences`. A conversation
+    without an answer is rejected as it is, so it only has a prompt. One that is alone with its answer
+    has no rejected turn in the place of that answer. Runs a job that reads the answers.
+    """
     turns = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text").where("pair_id IS NOT NULL")
-    answer = F.struct(F.col("turn"), F.col("text"))
-    last = turns.where(F.col("role") == LEARNED_ROLE).groupBy("pair_id").agg(F.max(answer).alias("last"))
-    before = turns.join(last, "pair_id", "left").where("last IS NULL OR turn < last.turn").select("pair_id", "turn", "role", "text")
-    following = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last.text").alias("text"))
-    # the other answer takes the place of the own one
-    other = last.join(following, "pair_id").select(
-        "pair_id", F.col("last.turn").alias("turn"), F.lit(LEARNED_ROLE).alias("role"), following["text"].alias("text"))
-    return turns, before.unionByName(other)
+    placed = _placed(turns, "pair_id")
+    answered = placed.where(F.col("role") == LEARNED_ROLE)
+    # one row per conversation, by ascending id without one global order
+    last = answered.groupBy("pair_id").agg(F.max(F.struct("place", "turn", "text")).alias("last"))
+    ordered = with_position(last, ["pair_id"], "at", "answers")
+    answers = ordered.count()
+    before = placed.join(last, "pair_id", "left").where("last IS NULL OR place < last.place").select("pair_id", "turn", "role", "text")
+    own = ordered.where(F.lit(answers > 1)).select("pair_id", F.col("last.turn").alias("turn"), F.pmod(F.col("at") + 1, F.lit(max(answers, 1))).alias("at"))
+    other = own.join(ordered.select("at", F.col("last.text").alias("text")), "at")
+    return turns, before.unionByName(other.select("pair_id", "turn", F.lit(LEARNED_ROLE).alias("role"), "text"))
