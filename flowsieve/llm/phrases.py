@@ -3,8 +3,8 @@
 A phrase can only be frequent if the phrase without its last word and the one without its first word
 are (Apriori). So phrases are found level by level:
 
-1. All words are counted per language. Texts are then written once as sequences of 64-bit word keys, in
-   which every word that is not frequent is a break, like the end of a piece.
+1. All words are counted per language. Texts are then written once as sequences of the numbers of
+   frequent words, in which every other word is a break, like the end of a piece.
 2. A level's frequent phrases form a double-array trie, which is broadcast. In every task numpy
    advances the states of all positions of a sequence at once, one array operation per word. Where
    the states at a position and at the next one both accept, a phrase that is longer by one word
@@ -13,8 +13,8 @@ are (Apriori). So phrases are found level by level:
    bincount, and the counts of all tasks are summed. These are the counts that the scores use.
 
 A trie holds at most TRIE_PHRASES phrases. If a level has more, they are divided by their first word and
-each part passes over the sequences by itself. Which words are frequent is broadcast as 8 bytes a
-word up to SIEVE_WORDS of them; beyond that sequences keep all words, and the tries do the rest.
+each part passes over the sequences by itself. Frequent words are numbered and broadcast as 8 bytes each,
+up to SIEVE_WORDS of them; beyond that sequences have all words as 64-bit keys, and the tries do the rest.
 Scores, cuts and the choice of the best are joins and integer arithmetic in Spark.
 """
 
@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.text import SEGMENT, WordHasher, mix, slices, text_bytes
+from flowsieve.llm.text import WordHasher, mix, slices, text_bytes
+from flowsieve.operators.joins import with_position
 from flowsieve.sources.scratch import materialise, new_scratch_path
 
 LONGEST = 5
@@ -35,8 +36,8 @@ LEAST_COUNT = 100
 BEST = 2000
 TRIE_PHRASES = 1 << 20
 SIEVE_WORDS = 1 << 23
-# Keys of one sequence row, and positions whose states advance together.
-ROW_KEYS = 1 << 19
+# Words of one sequence row, whose states advance together.
+ROW_WORDS = 1 << 18
 
 _CUTS = b".,;:!?\n\v\f\r"
 _WORD = re.compile(rb"[^ \t.,;:!?\n\v\f\r]+")
@@ -107,30 +108,37 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _sequences(texts: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """Rows of up to ROW_KEYS keys as binary; 0 is a break. `frequent` has the sorted keys that stay."""
+    """Rows of up to ROW_WORDS words as binary; 0 is a break.
+
+    `frequent` has the sorted keys of the words that stay, which are numbered from 1 by 32 bits; without
+    it a word stands as its key.
+    """
+    kind = np.uint64 if frequent is None else np.uint32
 
     def run(batches):
         hasher = PieceHasher()
         for whole in batches:
             for batch in slices(whole, 1):
-                _, keys, _, pieces = _keys(batch, hasher)
-                stays = np.ones(len(keys), dtype=bool) if frequent is None else _at(frequent, keys) > 0
+                _, words, _, pieces = _keys(batch, hasher)
+                if frequent is not None:
+                    words = _at(frequent, words.view(np.int64))
+                stays = words > 0
                 # a word that opens a piece, or follows one that was left out, has a break before it
-                opens = np.ones(len(keys), dtype=bool)
+                opens = np.ones(len(words), dtype=bool)
                 opens[1:] = (pieces[1:] != pieces[:-1]) | ~stays[:-1]
-                keys, opens = keys[stays], opens[stays]
-                out = np.zeros(len(keys) + int(opens.sum()), dtype=np.uint64)
-                out[np.arange(len(keys)) + np.cumsum(opens)] = keys
+                words, opens = words[stays], opens[stays]
+                out = np.zeros(len(words) + int(opens.sum()), dtype=kind)
+                out[np.arange(len(words)) + np.cumsum(opens)] = words
                 breaks = np.flatnonzero(out == 0)
                 at = 0
                 while at < len(out):
                     # rows end at breaks, so no phrase is divided
-                    later = np.searchsorted(breaks, at + ROW_KEYS)
+                    later = np.searchsorted(breaks, at + ROW_WORDS)
                     end = int(breaks[later]) if later < len(breaks) else len(out)
-                    yield pa.RecordBatch.from_arrays([pa.array([out[at:end].tobytes()], pa.binary())], names=["keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array([out[at:end].tobytes()], pa.binary())], names=["words"])
                     at = end
 
-    return texts.mapInArrow(run, "keys binary")
+    return texts.mapInArrow(run, "words binary")
 
 
 def _at(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -144,14 +152,14 @@ def _at(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class DoubleArrayTrie:
     """Phrases as sequences of word codes. State s goes to t = base[s] + code if check[t] is s.
 
-    The root's children are the codes themselves. Nodes with several children look for the first base
+    A trie numbers its own words from 1; the root's children are these numbers. Nodes with several children look for the first base
     at which all of them are free; nodes with one child then share out the places that are left.
     """
 
     ROOT = -1
 
     def __init__(self, phrases: np.ndarray):
-        """`phrases` has a row of keys per phrase, shorter ones padded with 0 at the end."""
+        """`phrases` has a row of words per phrase, shorter ones padded with 0 at the end."""
         self.vocabulary = np.unique(phrases[phrases > 0])
         codes = _at(self.vocabulary, phrases.reshape(-1)).reshape(phrases.shape)
         size = len(self.vocabulary)
@@ -203,14 +211,14 @@ class DoubleArrayTrie:
                 return int(firsts[np.argmax(fits)] - codes[0])
             at, step = at + step, min(step * 2, 4096)
 
-    def walk(self, keys: np.ndarray):
+    def walk(self, words: np.ndarray):
         """For every length from 1, the states of the phrases that start at each position, 0 where there is none."""
-        codes = _at(self.vocabulary, keys)
+        codes = _at(self.vocabulary, words)
         state = np.where(self.check[codes] == self.ROOT, codes, 0)
         yield state
         for level in range(1, self.depth):
-            following = np.zeros(len(keys), dtype=np.int64)
-            alive = np.flatnonzero(state[: len(keys) - level])
+            following = np.zeros(len(words), dtype=np.int64)
+            alive = np.flatnonzero(state[: len(words) - level])
             code = codes[alive + level]
             target = self.base[state[alive]] + code
             good = (code > 0) & (target < len(self.check))
@@ -220,33 +228,42 @@ class DoubleArrayTrie:
             yield state
 
 
-def _proposed(sequences: DataFrame, trie: DoubleArrayTrie | None, both: bool, least: int) -> list[tuple[int, int]]:
-    """(accepting state or key, next key) of the phrases that are frequent, with one word more than the trie's."""
+def _counted_pairs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs with the number of each."""
+    if first.dtype.itemsize == 8 and last.dtype.itemsize == 8:
+        firsts, first = np.unique(first, return_inverse=True)
+        lasts, last = np.unique(last, return_inverse=True)
+        pairs, counts = np.unique(first.astype(np.int64) << 32 | last, return_counts=True)
+        return firsts[pairs >> 32].view(np.int64), lasts[pairs & 0xFFFFFFFF].view(np.int64), counts
+    pairs, counts = np.unique(first.astype(np.uint64) << np.uint64(32) | last, return_counts=True)
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
+
+
+def _proposed(sequences: DataFrame, trie: DoubleArrayTrie | None, both: bool, least: int, kind: type) -> DataFrame:
+    """(first, last) of the phrases that are frequent: an accepting state of the trie, or a word, and the next word."""
     length = trie.depth if trie else 1
 
     def run(batches):
         for batch in batches:
             for cell in batch.column(0):
-                keys = np.frombuffer(cell.as_buffer(), dtype=np.uint64)
+                words = np.frombuffer(cell.as_buffer(), dtype=kind)
                 if trie:
-                    *_, state = trie.walk(keys)
+                    *_, state = trie.walk(words)
                     good = state[:-length] > 0
-                    good &= (state[1 : len(keys) - length + 1] > 0) if both else (keys[length:] > 0)
+                    good &= (state[1 : len(words) - length + 1] > 0) if both else (words[length:] > 0)
+                    # states are below 2 ** 32: a trie has few phrases
+                    state = state.astype(kind)
                 else:
-                    state, good = keys, (keys[:-1] > 0) & (keys[1:] > 0)
+                    state, good = words, (words[:-1] > 0) & (words[1:] > 0)
                 at = np.flatnonzero(good)
-                first, own = np.unique(state[at], return_inverse=True)
-                last, other = np.unique(keys[at + length], return_inverse=True)
-                pairs, counts = np.unique(own.astype(np.int64) * max(len(last), 1) + other, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[pairs // max(len(last), 1)].view(np.int64)), pa.array(last[pairs % max(len(last), 1)].view(np.int64)), pa.array(counts)],
-                    names=["first", "last", "n"])
+                columns = _counted_pairs(state[at], words[at + length])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["first", "last", "n"])
 
     found = sequences.mapInArrow(run, "first long, last long, n long").groupBy("first", "last").agg(F.sum("n").alias("n"))
     return found.where(F.col("n") >= least).select("first", "last")
 
 
-def _tries(phrases: DataFrame, length: int):
+def _tries(phrases: DataFrame, length: int, kind: type):
     """Tries of at most TRIE_PHRASES phrases or so, by first word; each with its phrases in order, and how many there are."""
     parts = max(1, -(-phrases.count() // TRIE_PHRASES))
     for part in range(parts):
@@ -258,35 +275,35 @@ def _tries(phrases: DataFrame, length: int):
             listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
             sizes = np.diff(listed.offsets.to_numpy())
             keys[np.arange(length) < sizes[:, None]] = listed.flatten().to_numpy()
-            yield DoubleArrayTrie(keys.view(np.uint64)), keys, parts
+            yield DoubleArrayTrie(keys.view(np.uint64).astype(kind)), keys, parts
 
 
-def _next_level(sequences: DataFrame, shorter: DataFrame | None, length: int, least: int) -> DataFrame:
+def _next_level(sequences: DataFrame, shorter: DataFrame | None, length: int, least: int, kind: type) -> DataFrame:
     """(keys) of the frequent phrases of `length` words, from those with one word less."""
     spark = sequences.sparkSession
     if shorter is None:
-        return materialise(_proposed(sequences, None, True, least).select(F.array("first", "last").alias("keys")), f"phrases_{length}")
+        return materialise(_proposed(sequences, None, True, least, kind).select(F.array("first", "last").alias("keys")), f"phrases_{length}")
     path, written = new_scratch_path(spark, f"phrases_{length}"), []
-    for trie, keys, parts in _tries(shorter, length - 1):
+    for trie, keys, parts in _tries(shorter, length - 1, kind):
         names = spark.createDataFrame(pa.table({"first": trie.accepting, "keys": pa.array(list(keys), pa.list_(pa.int64()))}))
-        found = _proposed(sequences, trie, parts == 1, least).join(names, "first")
+        found = _proposed(sequences, trie, parts == 1, least, kind).join(names, "first")
         written.append(f"{path}/{len(written)}")
         found.select(F.concat("keys", F.array("last")).alias("keys")).write.parquet(written[-1])
-    kind = "keys array<bigint>"
-    return spark.read.schema(kind).parquet(*written) if written else spark.createDataFrame([], kind)
+    columns = "keys array<bigint>"
+    return spark.read.schema(columns).parquet(*written) if written else spark.createDataFrame([], columns)
 
 
-def _counted(sequences: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+def _counted(sequences: DataFrame, phrases: DataFrame, longest: int, kind: type) -> DataFrame:
     """(keys, a): the phrases with the number of their occurrences, by bincount of accepting states."""
     spark = sequences.sparkSession
     path, written = new_scratch_path(spark, "phrase_counts"), []
-    for trie, keys, _ in _tries(phrases, longest):
+    for trie, keys, _ in _tries(phrases, longest, kind):
 
         def run(batches, trie=trie):
             totals = np.zeros(len(trie.check), dtype=np.int64)
             for batch in batches:
                 for cell in batch.column(0):
-                    for state in trie.walk(np.frombuffer(cell.as_buffer(), dtype=np.uint64)):
+                    for state in trie.walk(np.frombuffer(cell.as_buffer(), dtype=kind)):
                         totals += np.bincount(state, minlength=len(totals))
             totals[0] = 0
             held = np.flatnonzero(totals)
@@ -296,8 +313,8 @@ def _counted(sequences: DataFrame, phrases: DataFrame, longest: int) -> DataFram
         sums = sequences.mapInArrow(run, "state long, n long").groupBy("state").agg(F.sum("n").alias("a"))
         written.append(f"{path}/{len(written)}")
         sums.join(names, "state").select("keys", "a").write.parquet(written[-1])
-    kind = "keys array<bigint>, a bigint"
-    return spark.read.schema(kind).parquet(*written) if written else spark.createDataFrame([], kind)
+    columns = "keys array<bigint>, a bigint"
+    return spark.read.schema(columns).parquet(*written) if written else spark.createDataFrame([], columns)
 
 
 def _parts(places: Column, width: Column) -> Column:
@@ -331,18 +348,20 @@ def find_collocations(
     texts = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).alias("text"))
     words = materialise(_word_counts(texts), "word_counts")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = words.where(F.col("n") >= least)
-    sieve = None
+    # numbered from 1 in the order of their keys
+    frequent = with_position(words.where(F.col("n") >= least), ["key"], "at", "frequent_words").withColumn("at", F.col("at") + 1)
+    sieve, kind = None, np.uint64
     if frequent.count() <= SIEVE_WORDS:
-        sieve = np.sort(frequent.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+        sieve, kind = np.sort(frequent.select("key").toPandas()["key"].to_numpy(np.int64)), np.uint32
     sequences = materialise(_sequences(texts, sieve), "sequences")
+    frequent = frequent.withColumn("key", F.col("key" if sieve is None else "at")).drop("at")
     levels: list[DataFrame] = []
     for length in range(2, longest + 1):
-        levels.append(_next_level(sequences, levels[-1] if levels else None, length, least))
+        levels.append(_next_level(sequences, levels[-1] if levels else None, length, least, kind))
     phrases = levels[0]
     for level in levels[1:]:
         phrases = phrases.unionByName(level)
-    counted = materialise(_counted(sequences, phrases, longest), "phrases")
+    counted = materialise(_counted(sequences, phrases, longest, kind), "phrases")
 
     size = F.size("keys")
     cuts = F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.struct(

@@ -64,7 +64,7 @@ def test_random_texts(spark, monkeypatch, tries):
 
 def test_without_the_sieve_and_with_a_limit(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SIEVE_WORDS", 0)
-    monkeypatch.setattr(phrases, "ROW_KEYS", 50)
+    monkeypatch.setattr(phrases, "ROW_WORDS", 50)
     docs = corpus(2, 200)
     assert found(spark, docs, least=5, best=9) == brute(docs, 5, 9)
 
