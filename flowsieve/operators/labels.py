@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.operators.networks import ADDRESS_TEXT, distinct_addresses, networks_in_blocks
+from flowsieve.functions.ip import ip_to_long
+from flowsieve.operators.networks import ADDRESS_TEXT, distinct_addresses, folded_sources, networks_in_blocks, placed_addresses
 from flowsieve.schema import key_list
 
 
@@ -35,9 +36,30 @@ def _label(ip: str) -> str:
     return f"coalesce({first}, {ip} || '/32')"
 
 
+def labels_from_blocks(ips: DataFrame, blocks: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
+    """Label of every distinct address by `networks_by_block`."""
+    keys = key_list(keys)
+    return _labelled(distinct_addresses(ips, keys, ip), blocks, keys)
+
+
+def _labelled(addresses: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    return addresses.join(blocks, [*keys, "block"], "left").select(
+        *keys, F.expr(ADDRESS_TEXT).alias("ip"), F.expr(_label("loose")).alias("cidr"))
+
+
+def labelled_sources(table: DataFrame) -> DataFrame:
+    """`ip_to_cidr` of the sources of a log table that `write_log_table` has bucketed by block: addresses stay where they are."""
+    return _labelled(placed_addresses(table), networks_by_block(folded_sources(table)), [])
+
+
+def label_by_block(rows: DataFrame, blocks: DataFrame, ip: str, label: str) -> DataFrame:
+    """Rows with the label of their address `ip`, by a broadcast of `networks_by_block` that is small."""
+    placed = rows.selectExpr("*", f"{ip_to_long(ip)} AS addr").withColumn("block", F.expr("addr >> 16"))
+    joined = placed.join(F.broadcast(blocks.select("block", "networks")), "block", "left")
+    return joined.withColumn(label, F.expr(_label(ip))).drop("block", "addr", "networks")
+
+
 def ip_to_cidr(ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip") -> DataFrame:
     """Label of every distinct address: its first containing network, else 'text/32'."""
     keys = key_list(keys)
-    blocks = networks_by_block(networks_in_blocks(ips, keys, ip), keys)
-    labelled = distinct_addresses(ips, keys, ip).join(blocks, [*keys, "block"], "left")
-    return labelled.select(*keys, F.expr(ADDRESS_TEXT).alias("ip"), F.expr(_label("loose")).alias("cidr"))
+    return labels_from_blocks(ips, networks_by_block(networks_in_blocks(ips, keys, ip), keys), keys, ip)

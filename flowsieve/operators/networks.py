@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowsieve.functions.ip import address_block, clear_low_bits, differing_bits, ip_to_long, is_ipv4, is_ipv6, long_to_ip
-from flowsieve.operators.traffic import row_count
+from flowsieve.operators.counts import grouped_counts, row_count
 from flowsieve.schema import FLOW_COUNT, key_list
+from flowsieve.sources.scratch import materialise
 
 SOURCE, DESTINATION = "source", "destination"
 # Fixed value: the largest step between neighbours of one run.
@@ -167,14 +168,33 @@ def ip_networks(
     return networks_in_blocks(ips, keys, ip, on_invalid).drop("block")
 
 
+def observe_rejects(ips: DataFrame, observation: Observation, ip: str = "ip") -> DataFrame:
+    """`ips` unchanged; whatever job reads it counts on its way what folding skips.
+
+    `observation` then has `rows`, `missing` and `not_ipv4`, in log rows also for a summary.
+    """
+    weight = F.col(FLOW_COUNT) if FLOW_COUNT in ips.columns else F.lit(1).cast("bigint")
+
+    def rows(where: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.expr(where), weight)), F.lit(0).cast("bigint"))
+
+    return ips.observe(
+        observation, rows("true").alias("rows"), rows(f"`{ip}` IS NULL").alias("missing"),
+        rows(f"`{ip}` IS NOT NULL AND NOT {is_ipv4(f'`{ip}`')}").alias("not_ipv4"))
+
+
 def networks_in_blocks(
     ips: DataFrame, keys: Sequence[str] = (), ip: str = "ip", on_invalid: str = "skip"
 ) -> DataFrame:
     """`ip_networks` with the /16 block of each network, by which its rows are already partitioned."""
+    keys = key_list(keys)
+    return _folded(distinct_addresses(ips, keys, ip), keys, on_invalid)
+
+
+def _folded(addresses: DataFrame, keys: list[str], on_invalid: str) -> DataFrame:
     if on_invalid not in ("skip", "all_host"):
         raise ValueError(f"on_invalid must be 'skip' or 'all_host', not {on_invalid!r}")
-    keys = key_list(keys)
-    runs = _runs_in_block(distinct_addresses(ips, keys, ip), keys)
+    runs = _runs_in_block(addresses, keys)
     placed = runs.join(_block_summary(runs, keys), [*keys, "block"])
     all_host = "has_broken" if on_invalid == "all_host" else "false"
     pieces = (
@@ -203,6 +223,18 @@ def networks_in_blocks(
     )
 
 
+def placed_addresses(table: DataFrame, ip: str = "src_ip", block: str = "src_block") -> DataFrame:
+    """`distinct_addresses` of a log table that `write_log_table` has bucketed by block: no shuffle."""
+    found = table.select(F.col(ip).alias("ip"), F.col(block).alias("block")).where("ip IS NOT NULL").distinct()
+    numbered = found.selectExpr("ip", "block", f"{ip_to_long('ip')} AS addr")
+    return numbered.selectExpr("addr", "CASE WHEN addr IS NULL THEN ip END AS loose", "block")
+
+
+def folded_sources(table: DataFrame, on_invalid: str = "skip") -> DataFrame:
+    """`ip_networks` of the sources of a bucketed log table; only one row per block is shuffled."""
+    return _folded(placed_addresses(table), [], on_invalid)
+
+
 def both_sides(flows: DataFrame, *carry: str) -> DataFrame:
     """Two rows per flow: (side, ip) for its source and its destination, in one scan."""
     carry = [*carry, *(c for c in (FLOW_COUNT,) if c in flows.columns)]
@@ -210,6 +242,21 @@ def both_sides(flows: DataFrame, *carry: str) -> DataFrame:
     return flows.select(*carry, sides.alias("side", "ip"))
 
 
+def count_sides_and_ports(flows: DataFrame, *carry: str) -> tuple[DataFrame, DataFrame]:
+    """(carry, side, ip, flow_count) and (carry, dst_port, flow_count) of a log.
+
+    A log is read once and only its distinct addresses and ports are written; a summary is used as it
+    is. Runs a job that reads a log.
+    """
+    if FLOW_COUNT in flows.columns:
+        return both_sides(flows, *carry), flows.select(*carry, "dst_port", FLOW_COUNT)
+    sets = {SOURCE: [*carry, "src_ip"], DESTINATION: [*carry, "dst_ip"], "port": [*carry, "dst_port"]}
+    counted = materialise(grouped_counts(flows, sets), "sides_and_ports")
+    sides = counted.where(F.col("section").isin(SOURCE, DESTINATION)).select(
+        *carry, F.col("section").alias("side"), F.coalesce("src_ip", "dst_ip").alias("ip"), FLOW_COUNT)
+    return sides, counted.where("section = 'port'").select(*carry, "dst_port", FLOW_COUNT)
+
+
 def invalid_ips(flows: DataFrame) -> DataFrame:
     """Addresses that folding skips, with side, reason and number of rows."""
     seen = both_sides(flows).groupBy("side", "ip").agg(row_count(flows).alias("rows"))

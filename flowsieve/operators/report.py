@@ -21,6 +21,8 @@ from flowsieve.schema import FLOW_COUNT
 from flowsieve.sources.scratch import materialise
 
 STATS = ("total_log_entries", "unique_source_ips", "unique_destination_ips", "unique_destination_ports")
+# Fixed value: unusual ports of the short preview.
+PREVIEW = 5
 FIELDS = ("name", "source_address", "destination_address", "service", "count")
 
 
@@ -53,10 +55,10 @@ def _stats_rows(flows: DataFrame) -> DataFrame:
     return _section(rows, "basic_stats", F.col("place"), name=F.col("name"), count=F.col("count"))
 
 
-def _base_sections(flows: DataFrame) -> DataFrame:
+def _base_sections(flows: DataFrame, single: DataFrame | None = None) -> DataFrame:
     pairs = low_occurrence_pairs(flows)
     in_text_order = F.row_number().over(Window.orderBy("src_ip", "dst_ip"))
-    single = aggregate_single_rule(flows)
+    single = aggregate_single_rule(flows) if single is None else single
     sections = [
         _stats_rows(flows),
         _ranked(top_source_ips(flows), "top_source_ips", "src_ip"),
@@ -79,28 +81,36 @@ def _base_sections(flows: DataFrame) -> DataFrame:
 def report_rows(flows: DataFrame) -> DataFrame:
     """All report tables as rows: section, place and the fields that the section has.
 
-    `low_occurrence_total` is the number of all rare pairs, of which the report lists ten.
+    `low_occurrence_total` is the number of all rare pairs, of which the report lists ten at most;
+    `low_occurrence_listed` is how many it lists. `unusual_ports_preview` has the first PREVIEW of
+    the unusual ports.
     """
     flows = _summarised(flows)
     total = rare_pairs(flows).agg(F.count("*").alias("count"))
+    listed = low_occurrence_pairs(flows).agg(F.count("*").alias("count"))
     lean = generate_lean_rule_set(flows)
     return (
         _base_sections(flows)
         .unionByName(_section(total, "low_occurrence_total", F.lit(1), count=F.col("count")))
+        .unionByName(_section(listed, "low_occurrence_listed", F.lit(1), count=F.col("count")))
+        .unionByName(_ranked(unusual_ports(flows, PREVIEW), "unusual_ports_preview", "dst_port"))
         .unionByName(_section(
             lean, "lean_rules", F.col("place"), name=F.col("rule_name"), source_address=F.col("source_address"),
             destination_address=F.col("destination_address"), service=F.col("service"), count=F.col("log_count")))
     )
 
 
-def report_json(flows: DataFrame) -> DataFrame:
-    """The report as one JSON text; anomaly sections without rows are left out."""
+def report_json(flows: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """The report as one JSON text; anomaly sections without rows are left out.
+
+    `single` is the rule that it shows, by default `aggregate_single_rule` of the flows.
+    """
 
     def rows(section: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("section") == section, F.struct("place", *FIELDS))))
 
     # each section has ten rows at most
-    lists = _base_sections(_summarised(flows)).groupBy().agg(*[
+    lists = _base_sections(_summarised(flows), single).groupBy().agg(*[
         rows(s).alias(s) for s in (
             "basic_stats", "top_source_ips", "top_destination_ips", "top_destination_ports",
             "top_source_dest_pairs", "unusual_ports", "low_occurrence_pairs", "optimized_single_rule")])

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.services import CUSTOM_PREFIX, ports_to_services, services_text, text_or_any
 from flowsieve.operators.addresses import address_text, outermost_networks
+from flowsieve.operators.containment import BY_NETWORK, ip_to_given_networks
 from flowsieve.operators.joins import is_small, lookup_join, with_position
-from flowsieve.operators.labels import ip_to_cidr
-from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, ip_networks
-from flowsieve.operators.traffic import merged_once, row_count, summarise_flows
+from flowsieve.operators.labels import label_by_block, labels_from_blocks, networks_by_block
+from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, count_sides_and_ports, ip_networks, networks_in_blocks
+from flowsieve.operators.counts import row_count
+from flowsieve.operators.traffic import summarise_flows
 from flowsieve.schema import FLOW_COUNT
 from flowsieve.sources.scratch import materialise
 
@@ -20,10 +22,26 @@ RULE_FIELDS = ("rule_name", "source_address", "destination_address", "service",
 
 
 def aggregate_single_rule(flows: DataFrame) -> DataFrame:
-    """One rule that covers the whole log: its networks, services and row count. Runs a job that reads the log."""
-    flows = merged_once(flows)
-    networks = ip_networks(both_sides(flows), "side")
-    addresses = address_text(networks, "side").select("side", "addresses", F.lit(0).cast("bigint").alias("rows"))
+    """One rule that covers the whole log: its networks, services and row count. Runs a job that reads a log."""
+    sides, ports = count_sides_and_ports(flows)
+    return single_rule_of(ip_networks(sides, "side"), ports)
+
+
+def single_rule_of(networks: DataFrame, flows: DataFrame, inline: int | None = None) -> DataFrame:
+    """`aggregate_single_rule` from networks (side, cidr, first_addr) and the ports of the flows.
+
+    Of a side with more than `inline` networks the text only says how many there are, so that no
+    record grows with the log.
+    """
+    listed = networks
+    if inline is not None:
+        # two rows
+        sizes = networks.groupBy("side").agg(F.count(F.lit(1)).alias("size"))
+        sized = networks.join(F.broadcast(sizes), "side")
+        counted = sizes.where(F.col("size") > inline).select(
+            "side", F.concat(F.col("size").cast("string"), F.lit(" networks")).alias("cidr"), F.lit(0).cast("bigint").alias("first_addr"))
+        listed = sized.where(F.col("size") <= inline).select("side", "cidr", "first_addr").unionByName(counted)
+    addresses = address_text(listed, "side").select("side", "addresses", F.lit(0).cast("bigint").alias("rows"))
     by_port = flows.groupBy("dst_port").agg(row_count(flows).alias("rows"))
     # at most one row per port
     traffic = by_port.agg(
@@ -44,22 +62,42 @@ def aggregate_single_rule(flows: DataFrame) -> DataFrame:
     )
 
 
-def label_flows(flows: DataFrame) -> DataFrame:
+def label_flows(flows: DataFrame, networks: DataFrame | None = None, order: str = BY_NETWORK) -> DataFrame:
     """Row counts and ports by (source network, destination network).
 
-    Rows are merged per (source, destination, port) first, and every distinct address is labelled
-    once; the merged rows then take their two labels by an equi-join on the address. The labels
-    are broadcast if their table is small. Otherwise a hot address is a skewed key of a plain join,
-    which Spark splits at run time. Rows without an address take no part. Runs a job.
+    Rows are merged per (source, destination, port) first. Without `networks` they are labelled with
+    the networks that their own addresses fold into. Those are kept by /16 block; a small table of
+    blocks is broadcast and rows take their labels where they are. Otherwise every distinct address
+    is labelled once and rows take their two labels by an equi-join on the address, whose hot keys
+    Spark splits at run time.
+
+    `networks` are the caller's own: (cidr), or (side, cidr) to tell sources from destinations, with
+    the `order` of `ip_to_given_networks`. Rows without an address take no part. Runs a job.
     """
     flows = flows.dropna(subset=["src_ip", "dst_ip"])
     weight = [FLOW_COUNT] if FLOW_COUNT in flows.columns else []
     rows = materialise(summarise_flows(flows.select("src_ip", "dst_ip", "dst_port", *weight)), "merged_flows")
-    labels = materialise(ip_to_cidr(both_sides(rows), "side"), "labels")
+    sides = ((SOURCE, "src_ip", "src_cidr"), (DESTINATION, "dst_ip", "dst_cidr"))
+    if networks is None:
+        folded = materialise(networks_in_blocks(both_sides(rows), "side"), "networks")
+        blocks = networks_by_block(folded, "side")
+        if is_small(folded):
+            for side, ip, label in sides:
+                rows = label_by_block(rows, blocks.where(F.col("side") == side), ip, label)
+            return _by_pair(rows)
+        labels = materialise(labels_from_blocks(both_sides(rows), blocks, "side"), "labels")
+    else:
+        by_side = ["side"] if "side" in networks.columns else []
+        labels = materialise(
+            ip_to_given_networks(both_sides(rows), networks, "side", order=order, network_keys=by_side), "labels")
     small = is_small(labels)
-    for side, ip, label in ((SOURCE, "src_ip", "src_cidr"), (DESTINATION, "dst_ip", "dst_cidr")):
+    for side, ip, label in sides:
         of_side = labels.where(F.col("side") == side).select(F.col("ip").alias(ip), F.col("cidr").alias(label))
         rows = lookup_join(rows, of_side, ip, small)
+    return _by_pair(rows)
+
+
+def _by_pair(rows: DataFrame) -> DataFrame:
     by_port = rows.groupBy("src_cidr", "dst_cidr", "dst_port").agg(row_count(rows).alias("rows"))
     return by_port.groupBy("src_cidr", "dst_cidr").agg(
         F.sum("rows").alias("log_count"),
@@ -67,9 +105,9 @@ def label_flows(flows: DataFrame) -> DataFrame:
     )
 
 
-def generate_cidr_pair_rules(flows: DataFrame) -> DataFrame:
-    """One rule per network pair, numbered in text order of the pair."""
-    numbered = with_position(label_flows(flows), ["src_cidr", "dst_cidr"], "rule_idx", "cidr_pairs")
+def generate_cidr_pair_rules(flows: DataFrame, networks: DataFrame | None = None, order: str = BY_NETWORK) -> DataFrame:
+    """One rule per network pair, numbered in text order of the pair; `networks` as in `label_flows`."""
+    numbered = with_position(label_flows(flows, networks, order), ["src_cidr", "dst_cidr"], "rule_idx", "cidr_pairs")
     return numbered.select(
         "rule_idx",
         F.concat(F.lit("cidr_pair_rule_"), F.col("rule_idx").cast("string")).alias("rule_name"),
@@ -141,23 +179,28 @@ def _catch_all_services(tail: DataFrame) -> DataFrame:
     return known.select(F.array_join(labels, ", ").alias("text"))
 
 
-def cap_rules_to_seven(rules: DataFrame) -> DataFrame:
+def cap_rules_to_seven(rules: DataFrame, compat: bool = False) -> DataFrame:
     """Keep the six busiest rules and merge the others; seven rules or fewer stay as they are.
 
     `rules` has rule_idx and the five rule fields. Adds `place`, the 1-based order of the result:
-    by count after a merge, by rule_idx otherwise.
+    by count after a merge, by rule_idx otherwise. With `compat` the catch-all's addresses are in the
+    literal form of `catch_all_labels`, joined to one text each; that runs a job.
     """
-    return _capped(_kept(rules), rule_tail(rules))
+    literal = None
+    if compat:
+        literal = address_text(catch_all_labels(rules).withColumnRenamed("address", "cidr"), "side", order="pos")
+    return _capped(_kept(rules), rule_tail(rules), literal)
 
 
-def _capped(kept: DataFrame, tail: DataFrame) -> DataFrame:
-    """The kept rules and, if there is a tail, its catch-all."""
+def _capped(kept: DataFrame, tail: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """The kept rules and, if there is a tail, its catch-all with these (side, addresses) or its outermost networks."""
     totals = tail.agg(
         F.count("*").alias("merged"),
         F.sum("log_count").alias("log_sum"),
     )
-    networks = address_text(outermost_networks(tail_addresses(tail), "side"), "side", order="lo")
-    texts = networks.select(F.col("side").alias("part"), F.col("addresses").alias("text")).unionByName(
+    if addresses is None:
+        addresses = address_text(outermost_networks(tail_addresses(tail), "side"), "side", order="lo")
+    texts = addresses.select(F.col("side").alias("part"), F.col("addresses").alias("text")).unionByName(
         _catch_all_services(tail).select(F.lit("service").alias("part"), "text"))
     parts = totals.unionByName(texts, allowMissingColumns=True)
 
@@ -187,14 +230,14 @@ def _capped(kept: DataFrame, tail: DataFrame) -> DataFrame:
     )
 
 
-def generate_lean_rule_set(flows: DataFrame) -> DataFrame:
-    """At most seven rules that cover the traffic.
+def generate_lean_rule_set(flows: DataFrame, networks: DataFrame | None = None, order: str = BY_NETWORK) -> DataFrame:
+    """At most seven rules that cover the traffic; `networks` as in `label_flows`.
 
     The same as `cap_rules_to_seven` over `generate_cidr_pair_rules`, without numbering all pairs:
     only the rules that stay have numbers in their names, and such a number is the count of pairs
     that sort before. Runs its jobs when called.
     """
-    pairs = materialise(label_flows(flows), "cidr_pairs")
+    pairs = materialise(label_flows(flows, networks, order), "cidr_pairs")
     first = pairs.orderBy(F.desc("log_count"), "src_cidr", "dst_cidr").limit(MAX_RULES + 1).collect()
     kept = first if len(first) <= MAX_RULES else first[:TOP_RULES]
     pair = F.struct("src_cidr", "dst_cidr")

@@ -6,21 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.services import is_named_port
+from flowsieve.operators import distinct
+from flowsieve.operators.counts import row_count
 from flowsieve.schema import FLOW_COUNT
-from flowsieve.sources.scratch import materialise
 
 TOP = 10
 # Fixed value: a pair seen fewer times than this is rare.
 RARE_BELOW = 5
 
 
-def row_count(flows: DataFrame) -> Column:
-    """Aggregate that counts log rows, whether or not `flows` is a summary."""
-    if FLOW_COUNT in flows.columns:
-        return F.coalesce(F.sum(FLOW_COUNT), F.lit(0).cast("bigint"))
-    return F.count(F.lit(1))
-
-
 def summarise_flows(flows: DataFrame) -> DataFrame:
     """One row per distinct (source, destination, port[, rule]) with its number of log rows.
 
@@ -30,18 +24,16 @@ def summarise_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy(*keys).agg(row_count(flows).alias(FLOW_COUNT))
 
 
-def merged_once(flows: DataFrame) -> DataFrame:
-    """The summary of `flows` as a written table, so that a log is read once; a summary stays as it is."""
-    return flows if FLOW_COUNT in flows.columns else materialise(summarise_flows(flows), "flow_summary")
+def basic_stats(flows: DataFrame) -> DataFrame:
+    """Log rows and exact distinct counts, from one set of bitmaps per field."""
+    return stats_of_bitmaps(distinct.distinct_bitmaps(flows), unique=True)
 
 
-def basic_stats(flows: DataFrame) -> DataFrame:
-    return flows.agg(
-        row_count(flows).alias("total_log_entries"),
-        F.count_distinct("src_ip").alias("unique_source_ips"),
-        F.count_distinct("dst_ip").alias("unique_destination_ips"),
-        F.count_distinct("dst_port").alias("unique_destination_ports"),
-    )
+def stats_of_bitmaps(bitmaps: DataFrame, unique: bool = False) -> DataFrame:
+    """`basic_stats` of stored bitmaps, of any keys; `unique` as in `count_bitmaps`."""
+    return distinct.count_bitmaps(bitmaps, unique=unique).select(
+        F.col("rows").alias("total_log_entries"), F.col("src_ip").alias("unique_source_ips"),
+        F.col("dst_ip").alias("unique_destination_ips"), F.col("dst_port").alias("unique_destination_ports"))
 
 
 def value_counts(flows: DataFrame, *columns: str) -> DataFrame:
@@ -91,8 +83,9 @@ def low_occurrence_pairs(flows: DataFrame, n: int = TOP) -> DataFrame:
 
 def traffic_by_hour(flows: DataFrame) -> DataFrame:
     """Rows by hour of day and day of week (1 = Sunday), in UTC."""
-    when = flows.select(F.hour("ts").alias("hour"), F.dayofweek("ts").alias("day_of_week"))
-    return when.groupBy("hour", "day_of_week").agg(F.count(F.lit(1)).alias("count"))
+    if "ts" in flows.columns:
+        flows = flows.withColumns({"hour": F.hour("ts"), "day_of_week": F.dayofweek("ts")})
+    return flows.groupBy("hour", "day_of_week").agg(row_count(flows).alias("count"))
 
 
 def traffic_by_zone(flows: DataFrame) -> DataFrame:
@@ -101,5 +94,9 @@ def traffic_by_zone(flows: DataFrame) -> DataFrame:
 
 def after_hours(flows: DataFrame, opens: int = 8, closes: int = 18) -> DataFrame:
     """Flows at weekends or outside [opens, closes) in UTC."""
+    return flows.where(is_after_hours(opens, closes))
+
+
+def is_after_hours(opens: int = 8, closes: int = 18) -> Column:
     hour, day = F.hour("ts"), F.dayofweek("ts")
-    return flows.where((hour < opens) | (hour >= closes) | day.isin(1, 7))
+    return (hour < opens) | (hour >= closes) | day.isin(1, 7)

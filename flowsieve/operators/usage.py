@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.services import ANY, services_text, text_or_any
+from flowsieve.operators import distinct
 from flowsieve.operators.addresses import address_text
 from flowsieve.operators.joins import is_small, lookup_join
-from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, ip_networks
-from flowsieve.operators.traffic import merged_once, row_count
+from flowsieve.operators.counts import row_count
+from flowsieve.operators.networks import DESTINATION, SOURCE, both_sides, count_sides_and_ports, ip_networks
+from flowsieve.schema import FLOW_COUNT
 from flowsieve.sources.scratch import materialise
 
 REMOVE_UNUSED = "Consider removing this unused rule"
@@ -34,9 +36,13 @@ def rule_usage(flows: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("log_count", F.coalesce("log_count", F.lit(0).cast("bigint")))
 
 
-def rule_hits(flows: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rule table with `hits` replaced by the counts of this log."""
-    return rule_usage(flows, rules).withColumn("hits", F.col("log_count")).drop("log_count")
+def rule_hits(flows: DataFrame, rules: DataFrame, add: bool = False) -> DataFrame:
+    """The rule table with `hits` replaced by the counts of this log, or increased by them."""
+    hits = F.col("log_count")
+    if add:
+        hits += F.coalesce(F.col("hits"), F.lit(0))
+    # a table without the column gets it at its end
+    return rule_usage(flows, rules).withColumn("hits", hits).drop("log_count").select(*dict.fromkeys([*rules.columns, "hits"]))
 
 
 def unused_rules(flows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -54,16 +60,18 @@ def rule_patterns(flows: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct sources, destinations and ports of every used rule, and its port list.
 
     The address lists, which grow with the log, are rows of `rule_pattern_values`. Runs a job that
-    reads the log.
+    reads the log, each field by itself.
     """
-    flows = merged_once(flows)
-    patterns = _of_rules(flows).groupBy("rule_name").agg(
-        F.count_distinct("src_ip").alias("unique_source_ips"),
-        F.count_distinct("dst_ip").alias("unique_destination_ips"),
-        F.count_distinct("dst_port").alias("unique_destination_ports"),
-    )
-    kept = patterns.join(rules.select("rule_name"), "rule_name", "left_semi")
-    return kept.join(_port_lists(flows), "rule_name", "left").withColumn(
+    return patterns_of_bitmaps(distinct.distinct_bitmaps(_of_rules(flows), "rule_name"), rules)
+
+
+def patterns_of_bitmaps(bitmaps: DataFrame, rules: DataFrame) -> DataFrame:
+    """`rule_patterns` of stored bitmaps by rule_name, each bucket once. Runs a job that reads them."""
+    sets = materialise(bitmaps.join(rules.select("rule_name"), "rule_name", "left_semi"), "rule_bitmaps")
+    patterns = distinct.count_bitmaps(sets, "rule_name", unique=True).select(
+        "rule_name", F.col("src_ip").alias("unique_source_ips"), F.col("dst_ip").alias("unique_destination_ips"),
+        F.col("dst_port").alias("unique_destination_ports"))
+    return patterns.join(distinct.port_lists(sets, "rule_name"), "rule_name", "left").withColumn(
         "destination_ports", F.coalesce("destination_ports", F.array().cast("array<int>")))
 
 
@@ -102,17 +110,18 @@ def networks_by_rule(flows: DataFrame, group_ips: Grouping = ip_networks) -> Dat
 
 
 def _traffic_of_rules(
-    flows: DataFrame, detailed: DataFrame, group_ips: Grouping, to_services: Callable[[Column], Column]
+    sides: DataFrame, ports: DataFrame, group_ips: Grouping, to_services: Callable[[Column], Column]
 ) -> DataFrame:
-    """One row per rule in the log: row count, services, and the address texts seen in `detailed`."""
-    texts = address_text(networks_by_rule(detailed, group_ips), ["rule_name", "side"])
+    """One row per rule in the log: row count, services, and the texts of its addresses in `sides`."""
+    folded = group_ips(sides.drop(FLOW_COUNT), ["rule_name", "side"])
+    texts = address_text(folded, ["rule_name", "side"])
 
     def side(name: str) -> Column:
         return F.max(F.when(F.col("side") == name, F.col("addresses")))
 
     addresses = texts.groupBy("rule_name").agg(
         side(SOURCE).alias("seen_sources"), side(DESTINATION).alias("seen_destinations"))
-    by_port = _of_rules(flows).groupBy("rule_name", "dst_port").agg(row_count(flows).alias("rows"))
+    by_port = ports.groupBy("rule_name", "dst_port").agg(row_count(ports).alias("rows"))
     totals = by_port.groupBy("rule_name").agg(
         F.sum("rows").alias("log_count"),
         to_services(F.sort_array(F.collect_list("dst_port"))).alias("seen_services"),
@@ -123,9 +132,9 @@ def _traffic_of_rules(
 def log_based_rules(
     flows: DataFrame, group_ips: Grouping = ip_networks, to_services: Callable[[Column], Column] = services_text
 ) -> DataFrame:
-    """A rule and a recommendation for every rule name in the log, without a rule table. Runs a job that reads the log."""
-    flows = merged_once(flows)
-    rule = _traffic_of_rules(flows, flows, group_ips, to_services).select(
+    """A rule and a recommendation for every rule name in the log, without a rule table. Runs a job that reads a log."""
+    sides, ports = count_sides_and_ports(_of_rules(flows), "rule_name")
+    rule = _traffic_of_rules(sides, ports, group_ips, to_services).select(
         "rule_name",
         text_or_any(F.col("seen_sources")).alias("source_address"),
         text_or_any(F.col("seen_destinations")).alias("destination_address"),
@@ -149,15 +158,17 @@ def generate_optimized_rules(
     """Advice for every rule of the table: (rule_name, original_rule, recommendation, optimized_rule).
 
     A field that is 'any' is narrowed to what the log shows. `optimized_rule` is null for unused
-    rules and for those with nothing to advise. Without a rule table see `log_based_rules`.
+    rules and for those with nothing to advise. Without a rule table the rules of `log_based_rules`
+    are the optimized ones; their fields, `log_count` included, are also columns of their own.
     """
     if rules is None:
         found = log_based_rules(flows, group_ips, to_services)
-        fields = ("rule_name", "source_address", "destination_address", "service")
+        optimized = F.struct("rule_name", "source_address", "destination_address", "service", "log_count")
+        nothing = F.lit(None).cast(found.select(optimized).schema[0].dataType)
         return found.select(
-            "rule_name", F.lit(None).cast(found.select(F.struct(*fields)).schema[0].dataType).alias("original_rule"), "recommendation",
-            F.struct(*fields).alias("optimized_rule"))
-    flows = merged_once(flows)
+            "rule_name", nothing.alias("original_rule"), "recommendation", optimized.alias("optimized_rule"),
+            "source_address", "destination_address", "service", "log_count")
+    sides, ports = count_sides_and_ports(_of_rules(flows), "rule_name")
     seen = {
         "source_address": ("seen_sources", "Restrict source address to "),
         "destination_address": ("seen_destinations", "Restrict destination address to "),
@@ -167,10 +178,9 @@ def generate_optimized_rules(
     open_rules = materialise(
         rules.where((F.col("source_address") == ANY) | (F.col("destination_address") == ANY)).select("rule_name"),
         "open_rules")
-    detailed = flows
     if is_small(open_rules):
-        detailed = flows.join(F.broadcast(open_rules), "rule_name", "left_semi")
-    traffic = _traffic_of_rules(flows, detailed, group_ips, to_services)
+        sides = sides.join(F.broadcast(open_rules), "rule_name", "left_semi")
+    traffic = _traffic_of_rules(sides, ports, group_ips, to_services)
     advised = rules.join(traffic, "rule_name", "left")
     narrowed = {
         name: F.when((F.col(name) == ANY) & (F.col(text) != ANY), F.col(text)) for name, (text, _) in seen.items()

@@ -6,10 +6,8 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from flowsieve.operators import networks
 from flowsieve.plans.analyzer import FlowAnalyzer
 from flowsieve.sources.scratch import scratch_scope
-from flowsieve.sources.tables import invalid_values
 
 
 def run(
@@ -21,9 +19,9 @@ def run(
         analyzer = FlowAnalyzer.from_files(spark, log_file, rule_file, fmt)
         analyzer.write_chart_data(f"{out}/visualizations")
         analyzer.generate_report(f"{out}/analysis_report")
+        analyzer.write_report_lists(f"{out}/report_lists")
         analyzer.generate_lean_rule_set().write.json(f"{out}/lean_rules")
-        tables = analyzer.address_lists() | {
-            "invalid_ips": networks.invalid_ips(analyzer.summary), "invalid_values": invalid_values(spark, log_file, fmt)}
+        tables = analyzer.address_lists() | {"invalid_ips": analyzer.invalid_ips(), "invalid_values": analyzer.invalid_values()}
         if {"ts", "ingress_zone", "egress_zone"} <= set(analyzer.flows.columns):
             tables |= analyzer.analyze_times_and_zones()
         if analyzer.rules is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsieve.functions.ip import is_ipv4
 from flowsieve.schema import (
     LARGEST_PORT,
     LOG_COLUMNS,
@@ -16,16 +17,51 @@ from flowsieve.schema import (
 )
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+# Column of the raw text of a CSV row whose number of fields is not the header's.
+_CORRUPT = "_corrupt_record"
+# Column of `load_logs(..., keep_rejected=True)`: what was not read of a row.
+REJECTED = "rejected"
+# In `rejected`, stands for the whole row.
+ROW = "row"
+_REJECTED_TYPE = "array<struct<column:string,text:string>>"
+
+
+def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool = False) -> DataFrame:
+    """All columns as they are; of CSV as texts, and with a column for rows that do not fit the header."""
     if fmt == "csv":
         # enforceSchema=False makes Spark check every file's header, so that a file
         # with another column order fails instead of being read into the wrong columns.
-        return spark.read.csv(path, header=True, escape='"', enforceSchema=False)
+        options = {"header": True, "escape": '"', "enforceSchema": False, "multiLine": multi_line}
+        names = spark.read.csv(path, **options).columns
+        kinds = ", ".join(f"`{name.replace('`', '``')}` string" for name in [*names, _CORRUPT])
+        return spark.read.schema(kinds).csv(path, columnNameOfCorruptRecord=_CORRUPT, **options)
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported format {fmt!r}: use 'csv' or 'parquet'")
 
 
+def _quotes(value: Column) -> Column:
+    return F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+
+
+def _lost_row(raw: DataFrame, misplaced: Column, multi_line: bool) -> Column:
+    """The text of a CSV row that cannot be placed in the columns, else null.
+
+    Such a row has more fields than the header, or is one end of a quoted line break: its quotes do
+    not pair up, and where its number of fields happens to be right, it is `misplaced`. A row with
+    fewer fields has nulls at its end and is no such row. A reader of multiple lines has no such ends.
+    """
+    names = [c for c in raw.columns if c != _CORRUPT]
+    record = F.col(_CORRUPT)
+    fields = F.from_csv(record, ", ".join(f"c{i} string" for i in range(len(names) + 1)), {"escape": '"', "multiLine": str(multi_line).lower()})
+    lost = record.isNotNull() & fields[f"c{len(names)}"].isNotNull()
+    joined = F.concat_ws(",", *[F.col(f"`{name}`") for name in names])
+    if not multi_line:
+        lost |= record.isNotNull() & (_quotes(record) % 2 == 1)
+        lost |= record.isNull() & (_quotes(joined) % 2 == 1) & misplaced
+    return F.when(lost, F.coalesce(record, joined))
+
+
 def _text(name: str) -> Column:
     value = F.col(name).cast("string")
     return F.when(~value.isin(*NULL_TEXTS), value)
@@ -65,13 +101,17 @@ def _time(raw: DataFrame, name: str) -> Column:
     return _utc(_text(name))
 
 
-def load_logs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def load_logs(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False, keep_rejected: bool = False) -> DataFrame:
     """Read a minimal or full flow log; extra columns pass through unchanged.
 
     Times become UTC without a zone. Ports are whole numbers from 0 to LARGEST_PORT; any other
-    text is null and still counts as a log row. `invalid_values` lists such texts.
+    text is null and still counts as a log row. CSV rows with more fields than the header are no
+    flows. Nor is an end of a quoted line break, except one that has the addresses and the port; its
+    broken field has what stands in that line. With `multi_line` such fields are read whole, and each
+    file by one task. `invalid_values` lists what is left out. With `keep_rejected` these rows stay,
+    all null, and a column `rejected` says for every row what was not read, null if nothing.
     """
-    raw = _read(spark, path, fmt)
+    raw = _read(spark, path, fmt, multi_line)
     require_columns(raw, REQUIRED_LOG_COLUMNS, path)
     logs = raw.toDF(*[LOG_COLUMNS.get(c, c) for c in raw.columns])
     casts = {}
@@ -82,23 +122,48 @@ def load_logs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
             casts[name] = _time(logs, name)
         else:
             casts[name] = _text(name)
-    return logs.withColumns(casts)
-
-
-def invalid_values(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Port and time texts of a log that the reader turns into null: (column, text, rows)."""
-    raw = _read(spark, path, fmt)
-    raw = raw.toDF(*[LOG_COLUMNS.get(c, c) for c in raw.columns])
-    read = {name: parse for name, parse in (("dst_port", lambda n: _port(_text(n))), ("ts", lambda n: _time(raw, n))) if name in raw.columns}
-    fields = [F.struct(F.lit(n).alias("column"), _text(n).alias("text"), parse(n).isNull().alias("bad")) for n, parse in read.items()]
-    cells = raw.select(F.explode(F.array(*fields)).alias("cell")).select("cell.*").where("bad AND text IS NOT NULL")
-    return cells.groupBy("column", "text").agg(F.count(F.lit(1)).alias("rows"))
+    columns = [c for c in logs.columns if c != _CORRUPT]
+    lost = F.lit(None).cast("string")
+    if _CORRUPT in raw.columns:
+        not_a_flow = F.coalesce(~F.expr(is_ipv4("src_ip")), F.lit(True)) | F.coalesce(~F.expr(is_ipv4("dst_ip")), F.lit(True))
+        lost = _lost_row(logs, not_a_flow | casts["dst_port"].isNull(), multi_line)
+    if not keep_rejected:
+        return logs.where(lost.isNull()).withColumns(casts).select(*[F.col(f"`{c}`") for c in columns])
+    unread = [
+        F.when(casts[name].isNull() & _text(name).isNotNull(), F.struct(F.lit(name).alias("column"), _text(name).alias("text")))
+        for name in ("dst_port", "ts") if name in casts]
+    texts = F.array_compact(F.array(*unread))
+    row = F.array(F.struct(F.lit(ROW).alias("column"), F.col("lost_row").alias("text")))
+    marked = logs.withColumn("lost_row", lost)
+    rejected = F.when(F.col("lost_row").isNotNull(), row).when(F.size(texts) > 0, texts).cast(_REJECTED_TYPE).alias(REJECTED)
+    return marked.select(*[F.when(F.col("lost_row").isNull(), casts.get(c, F.col(f"`{c}`"))).alias(c) for c in columns], rejected)
+
+
+def list_rejected(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """(column, text, rows) of a log that was read with `keep_rejected`."""
+    counted = F.sum(weight) if weight else F.count(F.lit(1))
+    cells = rows.where(F.col(REJECTED).isNotNull()).select(F.explode(REJECTED).alias("cell"), *([weight] if weight else []))
+    return cells.groupBy("cell.column", "cell.text").agg(counted.alias("rows"))
+
+
+def invalid_values(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """What the reader of a log leaves out, as (column, text, rows).
+
+    Port and time texts that become null, and under the column 'row' whole rows that are no flows.
+    """
+    return list_rejected(load_logs(spark, path, fmt, multi_line, keep_rejected=True))
 
 
-def load_rules(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read a rule table and check that every rule name occurs once."""
-    raw = _read(spark, path, fmt)
+def load_rules(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Read a rule table and check that every row has its place and every rule name occurs once."""
+    raw = _read(spark, path, fmt, multi_line)
     require_columns(raw, REQUIRED_RULE_COLUMNS, path)
+    if _CORRUPT in raw.columns:
+        priority = _whole_number(_text("priority"), "int")
+        lost = raw.select(_lost_row(raw, priority.isNull(), multi_line).alias("text")).where("text IS NOT NULL").limit(5).collect()
+        if lost:
+            raise ValueError(f"Rows of {path} that do not fit its header: {[row.text for row in lost]}")
+        raw = raw.drop(_CORRUPT)
     casts = {}
     for name, to in RULE_COLUMNS.items():
         if name not in raw.columns:

@@ -6,7 +6,7 @@ containment join. Both are fine at check scale and say directly what the result
 
 from __future__ import annotations
 
-from workload.views import DIRTY_FLOWS, FLOWS, HOST_FLOWS, RULES, WIDE_FLOWS, few_pairs_log
+from workload.views import DIRTY_FLOWS, FLOWS, GIVEN_NETWORKS, HOST_FLOWS, ODD_LOG, RULES, WIDE_FLOWS, few_pairs_log
 
 _NAMED = "(80, 443, 22, 3389, 21, 25, 53, 123, 161, 3306, 1433)"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -87,6 +87,18 @@ def _labels(p: str = "") -> str:
   GROUP BY t.k, t.ip)"""
 
 
+def _given(order: str, by_side: str = "TRUE") -> list[str]:
+    """CTEs given_labels: every address of `sides` with its first containing given network, by plain BETWEEN."""
+    return [
+        f"given AS ({GIVEN_NETWORKS})",
+        f"""given_nets AS (SELECT cidr, side, ordinal, plen, lo, lo + (CAST(1 AS BIGINT) << (32 - plen)) - 1 AS hi
+  FROM (SELECT *, CAST(split_part(cidr, '/', 2) AS INT) AS plen, ({_number("split_part(cidr, '/', 1)")}) AS lo FROM given))""",
+        f"given_addrs AS (SELECT DISTINCT k, ip, {_number('ip')} AS a FROM sides WHERE ip IS NOT NULL)",
+        f"""given_labels AS (SELECT t.k, t.ip, coalesce(arg_min(n.cidr, ({order})), t.ip || '/32') AS cidr, count(n.cidr) > 0 AS given
+  FROM given_addrs t LEFT JOIN given_nets n ON t.a BETWEEN n.lo AND n.hi AND {by_side} GROUP BY t.k, t.ip)""",
+    ]
+
+
 _NETS_BY_SIDE = _networks("SELECT k, ip FROM sides")
 _PAIRS = [
     *_networks("SELECT 'source' AS k, src_ip AS ip FROM flows WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL "
@@ -122,6 +134,10 @@ _CAP = [
          (SELECT string_agg(label, ', ' ORDER BY label) FROM tail_labels), CAST(sum(log_count) AS BIGINT), 7
     FROM tail HAVING count(*) > 0)""",
 ]
+# the literal catch-all: every network of the tail, busiest rule first, with '/32' behind it
+_LITERAL = """tail_text AS (SELECT side, string_agg(cidr || '/32', ', ' ORDER BY log_count DESC, idx) AS addresses
+  FROM (SELECT 'source' AS side, source_address AS cidr, log_count, idx FROM tail
+        UNION ALL SELECT 'destination', destination_address, log_count, idx FROM tail) GROUP BY side)"""
 _SINGLE = [
     "side_text AS (SELECT k, string_agg(cidr, ', ' ORDER BY first) AS addresses FROM nets GROUP BY k)",
     f"""single AS (SELECT coalesce((SELECT addresses FROM side_text WHERE k = 'source'), 'any') AS source_address,
@@ -185,6 +201,8 @@ def _report_rows() -> str:
         _report_part("low_occurrence_pairs", "row_number() OVER (ORDER BY src_ip, dst_ip)",
                      f"{_RARE} ORDER BY src_ip, dst_ip LIMIT 10", src="src_ip", dst="dst_ip"),
         _report_part("low_occurrence_total", "1", f"SELECT count(*) AS count FROM ({_RARE})"),
+        _report_part("low_occurrence_listed", "1", f"SELECT least(count(*), 10) AS count FROM ({_RARE})"),
+        _ranked("unusual_ports_preview", f"SELECT * FROM ({_UNUSUAL}) ORDER BY count DESC, dst_port LIMIT 5", "dst_port"),
         _report_part("optimized_single_rule", "1", "SELECT * FROM single", src="source_address",
                      dst="destination_address", service="service", count="log_count"),
         _report_part("lean_rules", "place", "SELECT * FROM lean", name="rule_name", src="source_address",
@@ -245,6 +263,8 @@ _LOG_RULES = """SELECT *, 'Optimize source address to ' || source_address || ';
 def _capped(log: str, suffix: str) -> dict[str, str]:
     out = {}
     out["lean_rules" + suffix] = _with(f"SELECT {_LEAN_FIELDS} FROM lean", log, *_PAIRS, *_CAP, recursive=True)
+    out["capped_rules_literal" + suffix] = _with(
+        f"SELECT {_LEAN_FIELDS} FROM lean", log, *_PAIRS, *_CAP[:2], _LITERAL, *_CAP[5:], recursive=True)
     out["catch_all_networks" + suffix] = _with(
         "SELECT side, cidr FROM tail_nets x WHERE NOT EXISTS (SELECT 1 FROM tail_nets y WHERE y.side = x.side "
         "AND y.lo <= x.lo AND y.hi >= x.hi AND y.plen < x.plen)", log, *_PAIRS,
@@ -257,6 +277,16 @@ def _capped(log: str, suffix: str) -> dict[str, str]:
     return out
 
 
+def _sections() -> str:
+    kinds = {"src_ip": "VARCHAR", "dst_ip": "VARCHAR", "dst_port": "BIGINT", "rule_name": "VARCHAR", "hour": "BIGINT", "day_of_week": "BIGINT",
+             "ingress_zone": "VARCHAR", "egress_zone": "VARCHAR"}
+    sets = {"flow": "src_ip dst_ip dst_port rule_name", "plain_flow": "src_ip dst_ip dst_port", "pair": "src_ip dst_ip", "source": "src_ip",
+            "destination": "dst_ip", "port": "dst_port", "hour": "hour day_of_week", "zones": "ingress_zone egress_zone"}
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS section, " + ", ".join(f"CAST({c if c in keys.split() else 'NULL'} AS {kind}) AS {c}" for c, kind in kinds.items())
+        + f", count(*) AS flow_count FROM timed GROUP BY {keys.replace(' ', ', ')}" for name, keys in sets.items())
+
+
 def oracle_sql() -> dict[str, str]:
     flows, wide, dirty = _log(FLOWS), _log(WIDE_FLOWS), _log(DIRTY_FLOWS)
     by_source = _networks("SELECT 0 AS k, src_ip AS ip FROM flows")
@@ -342,6 +372,40 @@ def oracle_sql() -> dict[str, str]:
             log, _SIDES, *_RULE_TEXTS[:-4], recursive=True)
     for pairs, suffix in ((7, "_seven"), (8, "_eight")):
         out |= _capped(_log(few_pairs_log(pairs)), suffix)
+    out["log_parquet"] = _with("SELECT src_ip, collector, CAST(dst_port AS BIGINT) AS dst_port, dst_ip, egress_zone, ingress_zone, "
+                               "rule_name FROM flows", dirty)
+    line = """concat_ws(',', "source.ip", "destination.ip", "destination.port", "rule.name")"""
+    out["rejected_values"] = _with(
+        f"""SELECT 'row' AS "column", {line} AS text, count(*) AS rows FROM odd WHERE "rule.name" LIKE '%,%' GROUP BY ALL UNION ALL
+        SELECT 'dst_port', "destination.port", count(*) FROM odd WHERE "rule.name" NOT LIKE '%,%'
+        AND "destination.port" IN ('70000', 'ssh') GROUP BY ALL""", f"odd AS ({ODD_LOG})")
+    out["hits_written_back"] = _with(
+        f"SELECT rule_name, 2 * log_count AS hits, CAST(priority AS BIGINT) AS priority FROM ({_USAGE})", flows, _RULE_TABLE)
+    out["observed_rejects"] = _with(
+        f"SELECT count(*) AS rows, count_if(ip IS NULL) AS missing, count_if(ip IS NOT NULL AND NOT {_is_ipv4('ip')}) AS not_ipv4 FROM sides",
+        dirty, _SIDES)
+    counts = "count(DISTINCT src_ip) AS src_ip, count(DISTINCT dst_ip) AS dst_ip, count(DISTINCT dst_port) AS dst_port"
+    out["merged_distinct_counts"] = _with(f"SELECT rule_name, count(*) AS rows, {counts} FROM flows GROUP BY rule_name", dirty)
+    out["sketched_counts"] = _with("SELECT rule_name, count(*) AS rows, TRUE AS sources_within, TRUE AS destinations_within, "
+                                   "TRUE AS ports_within FROM flows GROUP BY rule_name", wide)
+    out["log_sections"] = _with(_sections(), dirty, "timed AS (SELECT *, hour(ts) AS hour, dayofweek(ts) + 1 AS day_of_week FROM flows)")
+    out["list_parts"] = _with("SELECT k AS side, row_number() OVER (PARTITION BY k ORDER BY first NULLS LAST, cidr) - 1 AS pos, "
+                              "cidr AS value FROM nets", wide, _SIDES, *_NETS_BY_SIDE, recursive=True)
+    out["bucketed_networks"] = _with(net_rows, wide, *by_source, recursive=True)
+    out["bucketed_labels"] = _with("SELECT ip, cidr FROM labels", wide, *by_source, _labels(), recursive=True)
+    given_rows = "SELECT k AS side, ip, cidr, given FROM given_labels"
+    by_length = "{'a': -plen, 'b': lo}"
+    for suffix, log in (("", flows), ("_wide", wide), ("_dirty", dirty)):
+        out["ip_to_given_networks" + suffix] = _with(given_rows, log, _SIDES, *_given("{'a': lo, 'b': plen}"))
+        out["ip_to_longest_network" + suffix] = _with(given_rows, log, _SIDES, *_given(by_length))
+        out["given_pair_rules" + suffix] = _with(
+            "SELECT rule_name, source_address, destination_address, service, log_count FROM named_rules", log,
+            "sides AS (SELECT 'source' AS k, src_ip AS ip FROM flows WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL "
+            "UNION ALL SELECT 'destination', dst_ip FROM flows WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL)",
+            *_given("{'a': ordinal, 'b': plen, 'c': lo}", "n.side = t.k"), "labels AS (SELECT * FROM given_labels)", *_PAIRS[-3:])
+    out["rule_networks_listed"] = _with(
+        "SELECT rule_name, 'source' AS side, CAST(0 AS BIGINT) AS pos, source_address AS cidr FROM rules "
+        "UNION ALL SELECT rule_name, 'destination', 0, destination_address FROM rules", _RULE_TABLE)
     labels = "SELECT DISTINCT rule_name, side, ip || '/32' AS cidr FROM s"
     of_rules = ("s AS (SELECT rule_name, 'source' AS side, src_ip AS ip FROM flows UNION ALL "
                 "SELECT rule_name, 'destination', dst_ip FROM flows)")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.operators import addresses, graph, labels, networks, report, rulesets, traffic, usage
-from flowsieve.sources.scratch import new_scratch_path
-from flowsieve.sources.sinks import extract_minimal_fields, minimal_fields, write_log_csv
-from flowsieve.sources.tables import load_logs
+from flowsieve.operators import addresses, containment, distinct, graph, labels, networks, report, rulesets, sketches, traffic, usage
+from flowsieve.plans.sections import LogSections
+from flowsieve.sources.parts import read_list_parts, write_list_parts
+from flowsieve.sources.scratch import materialise, new_scratch_path
+from flowsieve.sources.sinks import extract_minimal_fields, minimal_fields, write_back_hits, write_log, write_log_csv, write_log_table, write_rules
+from flowsieve.sources.tables import invalid_values, load_logs, load_rules
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +30,77 @@ def _minimal_fields_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_big_port(load_logs(spark, slim))
 
 
+def _log_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_scratch_path(spark, "parquet_log")
+    write_log(views.dirty_flows(spark, sf_dir).drop("event_id"), path)
+    return _with_big_port(load_logs(spark, path, "parquet").drop("ts"))
+
+
+def _rejected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reader leaves out of a log with odd ports and rows that have a field too many."""
+    path = new_scratch_path(spark, "odd_log")
+    odd = views.odd_log(spark, sf_dir)
+    # whole lines, so that a comma in a rule name is not quoted and makes one more field
+    line = F.concat_ws(",", *[F.col(f"`{c}`") for c in odd.columns])
+    odd.select(line.alias(",".join(odd.columns))).write.csv(path, header=True, sep="\t")
+    return invalid_values(spark, path)
+
+
+def _hits_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule table after two logs have been counted into it."""
+    path = new_scratch_path(spark, "rule_table")
+    write_rules(views.rules(spark, sf_dir), path)
+    for _ in range(2):
+        write_back_hits(spark, views.flows(spark, sf_dir), path, add=True)
+    return load_rules(spark, path).select("rule_name", "hits", F.col("priority").cast("bigint").alias("priority"))
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"bucketed_log_{uuid.uuid4().hex}"
+    write_log_table(views.wide_flows(spark, sf_dir), name, path=new_scratch_path(spark, name))
+    return spark.table(name)
+
+
+def _observed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What folding has skipped, as the job that folds has counted it."""
+    seen = Observation()
+    sides = networks.observe_rejects(networks.both_sides(views.dirty_flows(spark, sf_dir)), seen)
+    materialise(networks.ip_networks(sides, "side"), "observed_networks")
+    return spark.createDataFrame([seen.get], "rows bigint, missing bigint, not_ipv4 bigint")
+
+
+def _merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts by rule from the stored sets of three parts of the log."""
+    flows = views.dirty_flows(spark, sf_dir)
+    parts = [materialise(distinct.distinct_bitmaps(flows.where(F.col("event_id") % 3 == k), "rule_name"), "bitmaps") for k in range(3)]
+    return distinct.count_bitmaps(distinct.merge_bitmaps(parts, "rule_name"), "rule_name")
+
+
+def _sketched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by rule from stored sketches, and whether their bounds hold the true distinct counts."""
+    flows, path = views.wide_flows(spark, sf_dir), new_scratch_path(spark, "sketches")
+    for k in range(2):
+        stored = sketches.update_sketches(spark, path, flows.where(F.col("event_id") % 2 == k))
+    exact = distinct.count_bitmaps(distinct.distinct_bitmaps(flows, "rule_name"), "rule_name").drop("rows")
+    found = sketches.estimate_distinct(stored, "rule_name", deviations=4).join(exact, "rule_name")
+    return found.select("rule_name", "rows", *[
+        F.col(field).between(F.col(f"unique_{name}_low"), F.col(f"unique_{name}_high")).alias(f"{name}_within")
+        for field, name in sketches.SKETCHES.items()])
+
+
+def _log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = LogSections(views.dirty_flows(spark, sf_dir)).counts().where("section <> 'after_hours'")
+    keys = ["src_ip", "dst_ip", "dst_port", "rule_name", "hour", "day_of_week", "ingress_zone", "egress_zone"]
+    return counts.select("section", *[F.col(k).cast("bigint").alias(k) if k in ("dst_port", "hour", "day_of_week") else k for k in keys], "flow_count")
+
+
+def _list_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_scratch_path(spark, "list_parts")
+    folded = networks.ip_networks(networks.both_sides(views.wide_flows(spark, sf_dir)), "side")
+    write_list_parts(addresses.address_rows(folded, "side"), path, "side")
+    return read_list_parts(spark, path, "side string")
+
+
 def _rule_patterns(flows: DataFrame, rules: DataFrame) -> DataFrame:
     return usage.rule_patterns(flows, rules).withColumn("destination_ports", F.array_join("destination_ports", ","))
 
@@ -112,12 +186,31 @@ def queries() -> dict[str, Query]:
             networks.ip_networks(networks.both_sides(f), "side"), "side"))
         out["rule_networks" + suffix] = on(view, lambda f: addresses.address_rows(
             usage.networks_by_rule(f), ["rule_name", "side"]))
+    for suffix, view in (("", flows), ("_wide", wide), ("_dirty", dirty)):
+        out["ip_to_given_networks" + suffix] = _given(view, lambda f, n: containment.ip_to_given_networks(networks.both_sides(f), n, "side"))
+        out["ip_to_longest_network" + suffix] = _given(view, lambda f, n: containment.ip_to_given_networks(
+            networks.both_sides(f), n, "side", order=containment.BY_LENGTH))
+        out["given_pair_rules" + suffix] = _given(view, lambda f, n: _rules_only(rulesets.generate_cidr_pair_rules(f, n, "ordinal")))
+    out["rule_networks_listed"] = lambda spark, sf_dir: containment.rule_networks(views.rules(spark, sf_dir)).withColumn(
+        "pos", F.col("pos").cast("bigint"))
+    out |= {
+        "log_parquet": _log_parquet, "rejected_values": _rejected_values, "hits_written_back": _hits_written_back,
+        "observed_rejects": _observed_rejects, "merged_distinct_counts": _merged_counts, "sketched_counts": _sketched_counts,
+        "log_sections": _log_sections, "list_parts": _list_parts,
+        "bucketed_networks": lambda spark, sf_dir: networks.folded_sources(_bucketed(spark, sf_dir)).select(
+            "cidr", "lo", "hi", F.col("plen").cast("bigint").alias("plen"), "first_addr"),
+        "bucketed_labels": lambda spark, sf_dir: labels.labelled_sources(_bucketed(spark, sf_dir)),
+    }
     out["networks_without_ipv4"] = on(views.host_flows, lambda f: usage.networks_by_rule(f).select("rule_name", "side", "cidr"))
     out["networks_all_host"] = on(dirty, lambda f: networks.ip_networks(
         usage.networks_by_rule_addresses(f), ["rule_name", "side"], on_invalid="all_host").select("rule_name", "side", "cidr"))
     return out
 
 
+def _given(view: Callable, operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(view(spark, sf_dir), views.given_networks(spark, sf_dir))
+
+
 def _capped(view: Callable, suffix: str) -> dict[str, Query]:
     def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rulesets.generate_cidr_pair_rules(view(spark, sf_dir))
@@ -125,6 +218,8 @@ def _capped(view: Callable, suffix: str) -> dict[str, Query]:
     return {
         "lean_rules" + suffix: lambda spark, sf_dir: rulesets.generate_lean_rule_set(view(spark, sf_dir)).withColumn(
             "place", F.col("place").cast("bigint")),
+        "capped_rules_literal" + suffix: lambda spark, sf_dir: rulesets.cap_rules_to_seven(rules(spark, sf_dir), compat=True).withColumn(
+            "place", F.col("place").cast("bigint")),
         "catch_all_networks" + suffix: lambda spark, sf_dir: rulesets.catch_all_networks(rules(spark, sf_dir)).drop("lo"),
         "catch_all_labels" + suffix: lambda spark, sf_dir: rulesets.catch_all_labels(rules(spark, sf_dir)),
     }

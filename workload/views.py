@@ -57,6 +57,22 @@ HOST_FLOWS = f"""SELECT event_id, ts, 'host-' || CAST(event_id % 40 AS VARCHAR(3
        CASE WHEN rule_name = 'click' AND event_id % 3 = 0 THEN 'db-' || CAST(event_id % 9 AS VARCHAR(3)) ELSE dst_ip END AS dst_ip,
        egress_zone, ingress_zone, rule_name FROM ({FLOWS}) AS clean"""
 
+# Networks of many lengths, from one that holds every address to single ones, nested and repeated; the order is the caller's.
+_PREFIX = """CASE CAST(event_id % 11 AS INT) WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 15 WHEN 3 THEN 16 WHEN 4 THEN 17 WHEN 5 THEN 20
+       WHEN 6 THEN 24 WHEN 7 THEN 26 WHEN 8 THEN 30 WHEN 9 THEN 32 ELSE CASE WHEN event_id < 600 THEN 1 ELSE 22 END END"""
+GIVEN_NETWORKS = f"""SELECT {_dotted('net')} || '/' || CAST(plen AS VARCHAR(2)) AS cidr, side, max(event_id) AS ordinal
+  FROM (SELECT event_id, plen, side, (addr >> (32 - plen)) << (32 - plen) AS net
+          FROM (SELECT event_id, {_PREFIX} AS plen, CASE WHEN event_id % 2 = 0 THEN 'source' ELSE 'destination' END AS side,
+                       CASE WHEN event_id % 3 = 0 THEN {_SRC} WHEN event_id % 2 = 0 THEN {_WIDE_SRC}
+                            WHEN event_id % 3 = 1 THEN {_DST} ELSE {_WIDE_DST} END AS addr
+                  FROM events WHERE event_id % 7 < 3) AS drawn) AS cut GROUP BY net, plen, side"""
+
+# A minimal log as texts: ports that are none, and rule names with a comma that nothing quotes.
+ODD_LOG = f"""SELECT src_ip AS "source.ip", dst_ip AS "destination.ip",
+       CASE WHEN event_id % 37 = 0 THEN '70000' WHEN event_id % 53 = 0 THEN 'ssh' ELSE CAST(dst_port AS VARCHAR(5)) END AS "destination.port",
+       CASE WHEN event_id % 41 = 0 THEN rule_name || ',' || CAST(event_id % 5 AS VARCHAR(3)) ELSE rule_name END AS "rule.name"
+  FROM ({FLOWS}) AS clean"""
+
 
 def few_pairs_log(pairs: int) -> str:
     return f"""SELECT event_id, ts, '10.0.0.1' AS src_ip, collector, dst_port,
@@ -114,5 +130,13 @@ def host_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, HOST_FLOWS, "events")
 
 
+def odd_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, ODD_LOG.replace('"', "`"), "events")
+
+
+def given_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, GIVEN_NETWORKS, "events")
+
+
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, RULES, "events", "region")
