@@ -24,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,11 @@ SIEVE_WORDS = 1 << 23
 # Words of one sequence row, whose states advance together.
 ROW_WORDS = 1 << 18
 
+# Pairs that a task holds before it hands their counts on, and occurrences of the pairs of one bucket.
+PAIRS_HELD, PAIRS_SUMMED = 1 << 21, 1 << 19
+# States whose counts are summed as one vector, first over the tasks of each of SUMMED_FIRST parts.
+STATES, SUMMED_FIRST = 2048, 64
+
 _CUTS = b".,;:!?\n\v\f\r"
 _WORD = re.compile(rb"[^ \t.,;:!?\n\v\f\r]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -165,6 +171,8 @@ class DoubleArrayTrie:
         size = len(self.vocabulary)
         self.base = np.zeros(size + 1, dtype=np.int64)
         self.check = np.zeros(size + 1, dtype=np.int64)
+        # where the search for several free places goes on; single ones fill what it leaves
+        self._next = size + 1
         firsts = np.unique(codes[:, 0])
         self.check[firsts] = self.ROOT
         state = codes[:, 0].copy()
@@ -182,7 +190,7 @@ class DoubleArrayTrie:
         states = np.zeros(len(parents), dtype=np.int64)
         for i in np.flatnonzero(counts > 1)[np.argsort(-counts[counts > 1], kind="stable")]:
             span = slice(starts[i], starts[i] + counts[i])
-            states[span] = self._fit(codes[span], size) + codes[span]
+            states[span] = self._fit(codes[span]) + codes[span]
             self._own(parents[span], codes[span], states[span])
         single = starts[counts == 1]
         self._grow(len(self.check) + len(single))
@@ -201,14 +209,15 @@ class DoubleArrayTrie:
             more = max(length, len(self.check) * 3 // 2) - len(self.check)
             self.base, self.check = (np.append(x, np.zeros(more, dtype=np.int64)) for x in (self.base, self.check))
 
-    def _fit(self, codes: np.ndarray, size: int) -> int:
-        at, step = size + 1, 64
+    def _fit(self, codes: np.ndarray) -> int:
+        at, step = self._next, 64
         while True:
             self._grow(at + step + int(codes[-1] - codes[0]) + 1)
             firsts = np.arange(at, at + step)
             fits = (self.check[firsts[:, None] + (codes - codes[0])] == 0).all(axis=1)
             if fits.any():
-                return int(firsts[np.argmax(fits)] - codes[0])
+                self._next = int(firsts[np.argmax(fits)])
+                return self._next - int(codes[0])
             at, step = at + step, min(step * 2, 4096)
 
     def walk(self, words: np.ndarray):
@@ -228,22 +237,47 @@ class DoubleArrayTrie:
             yield state
 
 
-def _counted_pairs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs with the number of each."""
-    if first.dtype.itemsize == 8 and last.dtype.itemsize == 8:
-        firsts, first = np.unique(first, return_inverse=True)
-        lasts, last = np.unique(last, return_inverse=True)
-        pairs, counts = np.unique(first.astype(np.int64) << 32 | last, return_counts=True)
-        return firsts[pairs >> 32].view(np.int64), lasts[pairs & 0xFFFFFFFF].view(np.int64), counts
-    pairs, counts = np.unique(first.astype(np.uint64) << np.uint64(32) | last, return_counts=True)
-    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
-
-
-def _proposed(sequences: DataFrame, trie: DoubleArrayTrie | None, both: bool, least: int, kind: type) -> DataFrame:
-    """(first, last) of the phrases that are frequent: an accepting state of the trie, or a word, and the next word."""
+def _summed_pairs(first: np.ndarray, last: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order with the sum of their counts, which are 1 by default."""
+    if first.dtype.itemsize == 4:
+        pairs = first.astype(np.uint64) << np.uint64(32) | last
+        order = np.argsort(pairs, kind="stable") if n is not None else None
+        pairs = np.sort(pairs) if order is None else pairs[order]
+        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, dtype=np.int64)
+        first, last = (pairs[starts] >> np.uint64(32)).astype(np.uint32), pairs[starts].astype(np.uint32)
+    else:
+        order = np.lexsort((last, first))
+        first, last = first[order], last[order]
+        starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (last[1:] != last[:-1]))) if len(first) else np.zeros(0, dtype=np.int64)
+        first, last = first[starts], last[starts]
+    if n is None:
+        return first, last, np.diff(np.append(starts, len(order) if order is not None else len(pairs)))
+    return first, last, np.add.reduceat(n[order], starts) if len(starts) else n[:0]
+
+
+def _proposed(sequences: DataFrame, trie: DoubleArrayTrie | None, both: bool, least: int, kind: type, buckets: int) -> DataFrame:
+    """(first, last) of the phrases that are frequent: an accepting state of the trie, or a word, and the next word.
+
+    Counts leave a task as arrays, one per bucket of pairs, and are summed bucket by bucket.
+    """
     length = trie.depth if trie else 1
 
     def run(batches):
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            first, last, n = _summed_pairs(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+            waiting.clear()
+            with np.errstate(over="ignore"):
+                bucket = mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ last) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
+            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=False))
+            columns = [[c[order[a:b]].tobytes() for a, b in spans] for c in (first, last, n.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[starts].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "first", "last", "n"])
+
         for batch in batches:
             for cell in batch.column(0):
                 words = np.frombuffer(cell.as_buffer(), dtype=kind)
@@ -256,11 +290,20 @@ def _proposed(sequences: DataFrame, trie: DoubleArrayTrie | None, both: bool, le
                 else:
                     state, good = words, (words[:-1] > 0) & (words[1:] > 0)
                 at = np.flatnonzero(good)
-                columns = _counted_pairs(state[at], words[at + length])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["first", "last", "n"])
+                waiting.append((state[at], words[at + length]))
+                if sum(len(w[0]) for w in waiting) >= PAIRS_HELD:
+                    yield dealt()
+        if waiting:
+            yield dealt()
+
+    def total(shards: pa.Table) -> pa.Table:
+        columns = [np.concatenate([np.frombuffer(x.as_buffer(), dtype=t) for x in shards.column(c)]) for c, t in (("first", kind), ("last", kind), ("n", np.int64))]
+        first, last, n = _summed_pairs(*columns)
+        often = n >= least
+        return pa.table({"first": pa.array(first[often].astype(np.uint64).view(np.int64)), "last": pa.array(last[often].astype(np.uint64).view(np.int64))})
 
-    found = sequences.mapInArrow(run, "first long, last long, n long").groupBy("first", "last").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= least).select("first", "last")
+    shards = sequences.mapInArrow(run, "bucket long, first binary, last binary, n binary")
+    return shards.groupBy("bucket").applyInArrow(total, "first long, last long")
 
 
 def _tries(phrases: DataFrame, length: int, kind: type):
@@ -278,21 +321,33 @@ def _tries(phrases: DataFrame, length: int, kind: type):
             yield DoubleArrayTrie(keys.view(np.uint64).astype(kind)), keys, parts
 
 
-def _next_level(sequences: DataFrame, shorter: DataFrame | None, length: int, least: int, kind: type) -> DataFrame:
+def _next_level(sequences: DataFrame, shorter: DataFrame | None, length: int, least: int, kind: type, buckets: int) -> DataFrame:
     """(keys) of the frequent phrases of `length` words, from those with one word less."""
     spark = sequences.sparkSession
     if shorter is None:
-        return materialise(_proposed(sequences, None, True, least, kind).select(F.array("first", "last").alias("keys")), f"phrases_{length}")
+        return materialise(_proposed(sequences, None, True, least, kind, buckets).select(F.array("first", "last").alias("keys")), f"phrases_{length}")
     path, written = new_scratch_path(spark, f"phrases_{length}"), []
     for trie, keys, parts in _tries(shorter, length - 1, kind):
         names = spark.createDataFrame(pa.table({"first": trie.accepting, "keys": pa.array(list(keys), pa.list_(pa.int64()))}))
-        found = _proposed(sequences, trie, parts == 1, least, kind).join(names, "first")
+        found = _proposed(sequences, trie, parts == 1, least, kind, buckets).join(names, "first")
         written.append(f"{path}/{len(written)}")
         found.select(F.concat("keys", F.array("last")).alias("keys")).write.parquet(written[-1])
     columns = "keys array<bigint>"
     return spark.read.schema(columns).parquet(*written) if written else spark.createDataFrame([], columns)
 
 
+def _sum(shards: pa.Table) -> np.ndarray:
+    return sum(np.frombuffer(cell.as_buffer(), dtype=np.int64) for cell in shards.column("counts"))
+
+
+def _summed(shards: pa.Table) -> pa.Table:
+    return pa.table({"chunk": shards.column("chunk")[:1], "part": shards.column("part")[:1], "counts": pa.array([_sum(shards).tobytes()], pa.binary())})
+
+
+def _states(shards: pa.Table) -> pa.Table:
+    return pa.table({"state": pa.array(shards.column("chunk")[0].as_py() * STATES + np.arange(STATES)), "a": pa.array(_sum(shards))})
+
+
 def _counted(sequences: DataFrame, phrases: DataFrame, longest: int, kind: type) -> DataFrame:
     """(keys, a): the phrases with the number of their occurrences, by bincount of accepting states."""
     spark = sequences.sparkSession
@@ -300,17 +355,22 @@ def _counted(sequences: DataFrame, phrases: DataFrame, longest: int, kind: type)
     for trie, keys, _ in _tries(phrases, longest, kind):
 
         def run(batches, trie=trie):
-            totals = np.zeros(len(trie.check), dtype=np.int64)
+            totals = np.zeros(-(-len(trie.check) // STATES) * STATES, dtype=np.int64)
             for batch in batches:
                 for cell in batch.column(0):
                     for state in trie.walk(np.frombuffer(cell.as_buffer(), dtype=kind)):
                         totals += np.bincount(state, minlength=len(totals))
             totals[0] = 0
-            held = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(totals[held])], names=["state", "n"])
+            chunks = totals.reshape(-1, STATES)
+            part = TaskContext.get().partitionId() % SUMMED_FIRST
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(chunks))), pa.array(np.full(len(chunks), part, dtype=np.int64)), pa.array([c.tobytes() for c in chunks], pa.binary())],
+                names=["chunk", "part", "counts"])
 
         names = spark.createDataFrame(pa.table({"state": trie.accepting, "keys": pa.array([k[k != 0] for k in keys], pa.list_(pa.int64()))}))
-        sums = sequences.mapInArrow(run, "state long, n long").groupBy("state").agg(F.sum("n").alias("a"))
+        shards = sequences.mapInArrow(run, "chunk long, part long, counts binary")
+        some = shards.groupBy("chunk", "part").applyInArrow(_summed, "chunk long, part long, counts binary")
+        sums = some.groupBy("chunk").applyInArrow(_states, "state long, a long").where("a > 0")
         written.append(f"{path}/{len(written)}")
         sums.join(names, "state").select("keys", "a").write.parquet(written[-1])
     columns = "keys array<bigint>, a bigint"
@@ -355,9 +415,11 @@ def find_collocations(
         sieve, kind = np.sort(frequent.select("key").toPandas()["key"].to_numpy(np.int64)), np.uint32
     sequences = materialise(_sequences(texts, sieve), "sequences")
     frequent = frequent.withColumn("key", F.col("key" if sieve is None else "at")).drop("at")
+    # no level has more pairs than there are words
+    buckets = 1 + (totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // PAIRS_SUMMED)
     levels: list[DataFrame] = []
     for length in range(2, longest + 1):
-        levels.append(_next_level(sequences, levels[-1] if levels else None, length, least, kind))
+        levels.append(_next_level(sequences, levels[-1] if levels else None, length, least, kind, buckets))
     phrases = levels[0]
     for level in levels[1:]:
         phrases = phrases.unionByName(level)
