@@ -60,6 +60,11 @@ class WordHasher:
         self._space[[32, 9, 10, 11, 12, 13]] = True
         self._powers = self._inverses = np.zeros(0, dtype=np.uint64)
 
+    @property
+    def is_space(self) -> np.ndarray:
+        """By byte."""
+        return self._space
+
     def _tables(self, n: int) -> None:
         if len(self._powers) < n:
             n = max(n, SEGMENT)
@@ -88,6 +93,11 @@ class WordHasher:
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and the number of words of each text."""
         data, bounds = text_bytes(column)
+        starts, hashes = self.located(data, bounds)
+        return hashes, np.diff(np.searchsorted(starts, bounds))
+
+    def located(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all words of `text_bytes`."""
         starts, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         lo = 0
         with np.errstate(over="ignore"):
@@ -98,8 +108,7 @@ class WordHasher:
                 starts.append(s + lo)
                 hashes.append(h)
                 lo = hi
-        at = np.searchsorted(np.concatenate(starts), bounds)
-        return np.concatenate(hashes), np.diff(at)
+        return np.concatenate(starts), np.concatenate(hashes)
 
     def _cut(self, data: np.ndarray, bounds: np.ndarray, lo: int) -> int:
         """Where the segment from `lo` ends: between two words or texts."""

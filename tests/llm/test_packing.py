@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowsieve.llm import packing, queries, token_output
+from flowsieve.llm import packing, queries, token_output, tokens
 from flowsieve.llm.tokens import ByteTokenizer, WordTokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +154,23 @@ def test_matrix_query_keeps_every_document(spark):
     assert {d for r in rows for d in r.doc_ids} == docs
     empty = spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")
     assert token_output.packed_rows(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_words_one_by_one_give_the_ids_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), tokens.WordTokenizer(path)
+    texts = [
+        "", " \t\n", "Hello, HELLO. (hello)! don't, it's: 3.5kg 12%, x²; é; É, ÉTÉ. straße, İstanbul, naïve...",
+        "a b,　c \x1cd\x85e\x0bf\x0cg", "été, ö. Å!", "—, –word— 'tis ''a'', <tag>, <|endoftext|> x'", "日本語、テキスト。 ½, ٣. Ⅷ;",
+        "word" * 5000 + "! end", "q_w, a/b; c\\d: [x], {y}. ~z~ `k` ^^, $5, #1, @me; 7th, 1st.", "क़, ﬁn, ẛ̣."]
+    for part in (texts, texts[::-1], *([t] for t in texts)):
+        want = [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch(part, add_special_tokens=False)]
+        assert own.encode(part) == want
+
+
+def test_other_tokenizer_files_are_refused():
+    with pytest.raises(ValueError, match="byte_bpe_50k"):
+        tokens.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
