@@ -57,7 +57,7 @@ def _hits_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"bucketed_log_{uuid.uuid4().hex}"
-    write_log_table(views.wide_flows(spark, sf_dir), name, path=new_scratch_path(spark, name))
+    write_log_table(views.wide_flows(spark, sf_dir), name, 16, new_scratch_path(spark, name))
     return spark.table(name)
 
 
