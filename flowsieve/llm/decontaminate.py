@@ -26,6 +26,8 @@ WINDOW = 8
 LEAST_SHARED = 13
 # Distinct benchmark window hashes that one pass over the documents looks for (8 bytes each).
 HASHES_PER_PASS = 2_000_000
+# Chunks between spaces that a task remembers, some 40 MB with their tokens; beyond it the memory starts anew.
+REMEMBERED = 200_000
 
 # Units that may stand behind a number.
 UNITS = frozenset(
@@ -34,23 +36,30 @@ UNITS = frozenset(
     " usd eur percent degrees metres meters kilometres kilometers miles grams litres liters".split())
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:]\d+)*|[.!?\n]")
 _BREAK, _WORD, _CAPITAL, _NUMBER, _UNIT = range(5)
-_SLOTS = {_NUMBER: 1, _UNIT: 2, _CAPITAL: 3}
 
 
 class Templates:
-    """Template tokens of texts. Made once per task: it remembers the hash and kind of each token."""
+    """Template tokens of texts. Made once per task: it remembers what stands between two spaces.
+
+    No token holds a space and none is cut by one, so a text's tokens are those of the chunks between
+    its spaces, and a chunk is read once however often it occurs.
+    """
 
     def __init__(self) -> None:
-        self._known: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._chunks: dict[str, bytes] = {}
+        self._tokens: dict[str, int] = {}
+        self.names: list[str] = []
         self._hashes = np.zeros(1024, dtype=np.uint64)
         self._kinds = np.zeros(1024, dtype=np.int8)
 
     def _learn(self, token: str) -> int:
         import xxhash
 
-        if len(self._known) > 1_000_000:
-            self._known.clear()
-        at = self._known[token] = len(self._known)
+        at = self._tokens[token] = len(self.names)
+        self.names.append(token)
         if at == len(self._hashes):
             self._hashes = np.concatenate([self._hashes, np.zeros_like(self._hashes)])
             self._kinds = np.concatenate([self._kinds, np.zeros_like(self._kinds)])
@@ -66,24 +75,36 @@ class Templates:
         self._hashes[at] = xxhash.xxh3_64_intdigest(token.lower())
         return at
 
-    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens, their template hashes and their slot kinds (0: none)."""
-        found = _TOKEN.findall(text)
-        if len(self._known) + len(found) > 1_000_000 and len(found) < 1_000_000:
-            self._known.clear()
-        known, learn = self._known, self._learn
-        codes = np.fromiter((known[t] if t in known else learn(t) for t in found), dtype=np.int64, count=len(found))
+    def _read_chunk(self, chunk: str) -> bytes:
+        known, learn = self._tokens, self._learn
+        return np.array([known[t] if t in known else learn(t) for t in _TOKEN.findall(chunk)], dtype="<i4").tobytes()
+
+    def codes(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of each text's tokens, breaks included; `names` has the tokens until the next call."""
+        if len(self._chunks) > REMEMBERED:
+            self._forget()
+        listed = [t.split(" ") for t in texts]
+        for chunk in set().union(*listed).difference(self._chunks):
+            self._chunks[chunk] = self._read_chunk(chunk)
+        get = self._chunks.__getitem__
+        return [np.frombuffer(b"".join(map(get, chunks)), dtype="<i4") for chunks in listed]
+
+    def template(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the tokens without breaks, their template hashes and their slot kinds (0: none)."""
         kinds = self._kinds[codes]
         keep = np.flatnonzero(kinds != _BREAK)
         before = np.zeros(len(codes), dtype=np.int8)
         before[1:] = kinds[:-1]
-        kinds, before, hashes = kinds[keep], before[keep], self._hashes[codes[keep]]
+        codes, kinds, before = codes[keep], kinds[keep], before[keep]
         slots = np.zeros(len(keep), dtype=np.int8)
         slots[kinds == _NUMBER] = 1
         slots[(kinds == _UNIT) & (before == _NUMBER)] = 2
         slots[(kinds == _CAPITAL) & (before != _BREAK)] = 3
+        hashes = self._hashes[codes]
+        placed = np.flatnonzero(slots)
         with np.errstate(over="ignore"):
-            return [found[i] for i in keep] if len(keep) < len(found) else found, np.where(slots > 0, mix(slots.astype(np.uint64)), hashes), slots
+            hashes[placed] = mix(slots[placed].astype(np.uint64))
+        return codes, hashes, slots
 
 
 def _window_rows(docs: DataFrame, wanted: np.ndarray | None, sizes: list[int], id: str) -> DataFrame:
@@ -94,9 +115,10 @@ def _window_rows(docs: DataFrame, wanted: np.ndarray | None, sizes: list[int], i
         for batch in batches:
             for part in slices(batch, 1):
                 rows: list[tuple] = []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tokens, hashes, slots = templates.read(text or "")
-                    for size in sizes or [min(WINDOW, max(1, len(tokens)))]:
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for key, read in zip(part.column(0).to_pylist(), templates.codes(texts), strict=True):
+                    codes, hashes, slots = templates.template(read)
+                    for size in sizes or [min(WINDOW, max(1, len(codes)))]:
                         found, _ = windows(hashes, np.array([len(hashes)]), size)
                         if wanted is None:
                             plain = np.convolve(slots == 0, np.ones(size, dtype=np.int64), "valid") if len(found) else found
@@ -105,8 +127,8 @@ def _window_rows(docs: DataFrame, wanted: np.ndarray | None, sizes: list[int], i
                             place = np.searchsorted(wanted, found)
                             at = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == found)
                         for i in at:
-                            named = [f"{slots[j]}:{tokens[j]}" for j in range(i, i + size) if slots[j]]
-                            rows.append((key, size, int(found[i].view(np.int64)), int(i), len(tokens), named))
+                            named = [f"{slots[j]}:{templates.names[codes[j]]}" for j in range(i, i + size) if slots[j]]
+                            rows.append((key, size, int(found[i].view(np.int64)), int(i), len(codes), named))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays(
@@ -121,9 +143,10 @@ def find_contamination(
     """Pairs of documents and benchmark items that they contain.
 
     Returns (doc_id, item_id, shared_tokens, item_tokens, first_token, slots, changed_slots): how many
-    of the item's tokens the document shares in windows, where the first window starts, how many
-    distinct slot values meet and how many of them differ. A pair is reported when it shares
-    LEAST_SHARED tokens or the whole of a shorter item, in runs whose slots change consistently.
+    of the item's tokens lie in windows that the document shares, each counted once, where the first
+    window starts, how many distinct slot values meet and how many of them differ. A pair is reported
+    when it shares LEAST_SHARED tokens or the whole of a shorter item, in copies whose slots change
+    consistently; a changed plain word between shared windows does not end a copy.
 
     Windows of which more than half is placeholders are no evidence. Items without a window, null
     and empty texts match nothing; rows without an id are left out; documents and items that repeat
@@ -153,14 +176,21 @@ def find_contamination(
     met = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("own"), F.col("doc_slots").alias("other")))
     keys = ("doc_id", "item_id", "line")
     lines = pairs.select(*keys, "size", "tokens", "item_at", "doc_at", met.alias("met")).groupBy(*keys).agg(
-        F.count_distinct("item_at").alias("windows"), F.max("size").alias("size"), F.max("tokens").alias("tokens"),
+        F.collect_set("item_at").alias("windows"), F.max("size").alias("size"), F.max("tokens").alias("tokens"),
         F.min("doc_at").alias("first_token"), F.collect_set("met").alias("met"))
     own, other = F.array_distinct("met.own"), F.array_distinct("met.other")
     consistent = (F.size(own) == F.size("met")) & (F.size(other) == F.size("met"))
-    shared = lines.where(consistent).groupBy("doc_id", "item_id").agg(
-        F.sum(F.col("windows") + F.col("size") - 1).alias("shared"), F.max("tokens").alias("item_tokens"),
-        F.min("first_token").alias("first_token"), F.max(F.size("met")).cast("long").alias("slots"),
-        F.max(F.size(F.filter("met", lambda m: m["own"] != m["other"]))).cast("long").alias("changed_slots"))
+    # the places in the item that any copy covers
+    covered = F.array_distinct(F.flatten(F.transform("windows", lambda at: F.sequence(at, at + F.col("size") - 1))))
+    changed = F.size(F.filter("met", lambda m: m["own"] != m["other"]))
+    places = lines.where(consistent).select(
+        "doc_id", "item_id", "tokens", "first_token", F.size("met").cast("long").alias("slots"), changed.cast("long").alias("changed"),
+        F.explode(covered).alias("place"))
+    # repeated copies of a phrase are one row a place before they are counted
+    shared = places.groupBy("doc_id", "item_id", "place").agg(
+        *[F.max(c).alias(c) for c in ("tokens", "slots", "changed")], F.min("first_token").alias("first_token")
+    ).groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("shared_tokens"), F.max("tokens").alias("item_tokens"), F.min("first_token").alias("first_token"),
+        F.max("slots").alias("slots"), F.max("changed").alias("changed_slots"))
     enough = F.least(F.lit(LEAST_SHARED).cast("long"), F.col("item_tokens"))
-    return shared.where(F.col("shared") >= enough).select(
-        "doc_id", "item_id", F.least("shared", "item_tokens").alias("shared_tokens"), "item_tokens", "first_token", "slots", "changed_slots")
+    return shared.where(F.col("shared_tokens") >= enough)

@@ -55,3 +55,86 @@ def test_several_passes_and_empty_tables(spark, monkeypatch):
     assert set(pairs(decontaminate.find_contamination(docs, bench))) == {(1, 10)}
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
+
+
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron nu xi pi rho sigma tau upsilon phi chi psi".split()
+
+
+def test_places_are_counted_once(spark):
+    phrase = " ".join(ITEM[4:12])
+    changed = [*ITEM[:11], "other", *ITEM[12:]]
+    short = [*ITEM[:10], "other", *ITEM[11:20]]
+    docs = spark.createDataFrame([
+        (1, f"{phrase} and some words between them {phrase}"), (2, " ".join(changed)), (3, " ".join(short)),
+        (4, f"{' '.join(ITEM[:14])} | {' '.join(ITEM[6:])}"), (5, " ".join(ITEM[:12]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(22, " ".join(ITEM)), (20, " ".join(ITEM[:20]))], "item_id long, text string")
+    got = pairs(decontaminate.find_contamination(docs, bench))
+    assert {k: (r.shared_tokens, r.item_tokens) for k, r in got.items()} == {
+        (2, 22): (21, 22), (2, 20): (19, 20), (3, 20): (19, 20), (3, 22): (19, 22), (4, 22): (22, 22), (4, 20): (20, 20)}
+
+
+def template(text):
+    """(template, slot) of every token; a slot is 'kind:token'."""
+    out, before = [], None
+    for token in re.findall(r"[^\W\d_]+|\d+(?:[.,:]\d+)*|[.!?\n]", text):
+        kind = "break" if token in ".!?\n" else "number" if token[0].isdigit() else "name" if token[0].isupper() and len(token) > 1 else "word"
+        slot = 1 if kind == "number" else 2 if token in decontaminate.UNITS and before == "number" else 3 if kind == "name" and before not in (None, "break") else 0
+        if kind != "break":
+            out.append((f"<{slot}>", f"{slot}:{token}") if slot else (token.lower(), None))
+        before = kind
+    return out
+
+
+def brute(docs, items):
+    want = {}
+    for doc, text in docs:
+        a = template(text)
+        for item, item_text in items:
+            b = template(item_text)
+            size = min(decontaminate.WINDOW, len(b))
+            lines = {}
+            for i in range(len(b) - size + 1):
+                if 2 * sum(s is None for _, s in b[i : i + size]) < size:
+                    continue
+                for j in range(len(a) - size + 1):
+                    if all(x[0] == y[0] for x, y in zip(a[j : j + size], b[i : i + size])):
+                        lines.setdefault(j - i, []).append((i, j))
+            covered = set()
+            for found in lines.values():
+                met = {(b[i + n][1], a[j + n][1]) for i, j in found for n in range(size) if b[i + n][1]}
+                if len({x for x, _ in met}) == len(met) == len({y for _, y in met}):
+                    covered |= {i + n for i, _ in found for n in range(size)}
+            if len(covered) >= min(decontaminate.LEAST_SHARED, len(b)) and covered:
+                want[doc, item] = len(covered)
+    return want
+
+
+def test_random_questions_against_every_pair(spark):
+    import random
+
+    draw = random.Random(6)
+    words = "the a train pump fills tank with water and Carol Dave Quito Oslo leaves for at then 3 7 12 km hours litres . !".split()
+    items = [(i, " ".join(draw.choices(words, k=draw.randrange(5, 40)))) for i in range(25)]
+    swap = {"Carol": "Dave", "Dave": "Carol", "3": "99", "7": "3", "12": "1.5", "km": "litres", "Quito": "Lima"}
+    docs = []
+    for i in range(60):
+        body = draw.choice(items)[1].split()
+        if i % 2:
+            body = [swap.get(w, w) for w in body]
+        for _ in range(i % 4):
+            body[draw.randrange(len(body))] = draw.choice(words)
+        docs.append((i, " ".join([*draw.choices(words, k=draw.randrange(30)), *body, *draw.choices(words, k=5), *(body if i % 7 == 0 else [])])))
+    got = pairs(decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    want = brute(docs, items)
+    assert len(want) > 20 and {k: r.shared_tokens for k, r in got.items()} == want
+
+
+def test_chunks_are_forgotten_and_read_again(monkeypatch):
+    monkeypatch.setattr(decontaminate, "REMEMBERED", 3)
+    texts = ["Ann has 3 km.\nBob has 4", "x  y\tz 5,000.5kg (Ann)", "", "Ann has 3 km.\nBob has 4"]
+    reader = decontaminate.Templates()
+    for text in texts:
+        (codes,) = reader.codes([text])
+        assert [reader.names[c] for c in codes] == re.findall(r"[^\W\d_]+|\d+(?:[.,:]\d+)*|[.!?\n]", text)
+        kept, _, slots = reader.template(codes)
+        assert [(f"{s}:{reader.names[c]}" if s else None) for c, s in zip(kept, slots)] == [s for _, s in template(text)]
