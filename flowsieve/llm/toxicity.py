@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from flowsieve.llm.text import slices, text_bytes
 from flowsieve.sources.scratch import materialise
@@ -28,6 +29,8 @@ from flowsieve.sources.scratch import materialise
 SAMPLE = 40_000
 TERMS = 4_000
 TREES, DEPTH = 20, 4
+# Distinct tokens that a task remembers, some 40 MB.
+REMEMBERED = 250_000
 
 # Common insults, and words for the second person in four languages.
 INSULTS = "idiot moron stupid dumb loser trash scum clown pathetic worthless disgusting fool garbage imbecile jerk".split()
@@ -83,7 +86,7 @@ def _count_terms(docs: DataFrame, kept: frozenset[str] | None) -> DataFrame:
                     terms = memo.get(token)
                     if terms is None:
                         terms = tuple(t for t in _terms(plain_form(token)[0]) if kept is None or t in kept)
-                        if len(memo) < 500_000:
+                        if len(memo) < REMEMBERED:
                             memo[token] = terms
                     seen.update(terms)
                 found.update(seen)
@@ -136,7 +139,7 @@ class Scanner:
         at = self._kinds.setdefault(kind, len(self._kinds))
         if at == len(self._table):
             self._table = np.vstack([self._table, np.array([kind], dtype=float)])
-        if len(self._seen) < 1_000_000:
+        if len(self._seen) < REMEMBERED:
             self._seen[token] = at
         return at
 
@@ -209,11 +212,15 @@ class ToxicityModel:
         """(key, score) of `docs` (key long, text)."""
         if self.trees is None:
             return docs.select("key", F.lit(self.share).alias("score"))
-        margin = _margins(self.trees, text_features(docs, self.lexicon, "key"), "key")
+        return self.calibrated(_margins(self.trees, text_features(docs, self.lexicon, "key"), "key"))
+
+    def calibrated(self, margin: DataFrame) -> DataFrame:
+        """Rows with `margin` replaced by `score`."""
         curve = self.curve.transform(margin) if self.curve else margin.withColumn("calibrated", F.col("margin"))
         # the curve has flat steps; inside one the trees still decide the order
         score = 0.999 * F.col("calibrated") + 0.001 * F.col("margin")
-        return curve.select("key", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
+        kept = [c for c in margin.columns if c != "margin"]
+        return curve.select(*kept, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
 
 
 def _margins(trees: GBTClassificationModel, rows: DataFrame, *keep: str) -> DataFrame:
@@ -249,6 +256,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     return ToxicityModel(lexicon, trees, curve, share)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` that `score_documents` does not predict toxic, with all their columns.
+
+    Each row is judged by its own text, also where rows share an id or have none, and goes through
+    one map: no text is shuffled.
+    """
+    model = fit(docs, _learnable(labels), sample)
+    if model.trees is None:
+        return docs if model.share < 0.5 else docs.limit(0)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(model_lexicon)
+        for batch in batches:
+            flat = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=[str(i) for i in range(batch.column(0).type.num_fields)])
+            at = 0
+            for part in slices(flat, text):
+                values = scanner.features(part.column(text))
+                offsets = pa.array(np.arange(0, values.size + 1, len(FEATURES), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, part.num_rows), pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))], names=["row", "features"])
+                at += part.num_rows
+
+    model_lexicon = model.lexicon
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = StructType([rows.schema["row"], StructField("features", ArrayType(DoubleType()))])
+    scored = model.calibrated(_margins(model.trees, rows.mapInArrow(run, kind), "row"))
+    return scored.where("score < 0.5").select("row.*")
+
+
+def _learnable(labels: DataFrame) -> DataFrame:
+    return labels.where(_remainder() != 0).select("doc_id", F.col("toxic").alias("label"))
+
+
+def _remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Score every row of `docs` (doc_id, text) by a model fitted on `labels` (doc_id, toxic).
 
@@ -258,9 +303,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     scored each; other columns play no part; an empty table gives an empty result; without labels
     of both kinds all scores are the share of label 1.
     """
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    model = fit(docs, labels.where(remainder != 0).select("doc_id", F.col("toxic").alias("label")), sample)
+    model = fit(docs, _learnable(labels), sample)
     scored = model.scores(docs.select(F.col("doc_id").cast("long").alias("key"), "text")).withColumnRenamed("key", "doc_id")
     return scored.select(
-        "doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score",
+        "doc_id", F.coalesce(_remainder() == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
