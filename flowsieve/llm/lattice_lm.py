@@ -1,23 +1,26 @@
 """Log probability of texts under a lattice of subword pieces, summed over all segmentations.
 
-The pieces are those of a public vocabulary file; its scores (merge ranks) give the first weights,
-and training documents re-weight the pieces by expectation maximisation: the lattice of every
-distinct training word counts each piece by its posterior. A word is a blank and its bytes: one
-piece with the blank, then pieces without until it stops. All single bytes are pieces, so every
-word has a probability. A training word's lattice also has one edge over the whole word, with its
-count less a discount; what the discount takes is the weight of the paths through pieces. A text
-is its words and an end; each word is drawn from that lattice or, with a chance of CACHE, from the
-words before it in the text, so the probabilities of all texts sum to one.
+The pieces are those of a public vocabulary file, with weights from its scores. Training documents
+re-weight the pieces by expectation maximisation: the lattice of every distinct training word
+counts each piece by its posterior, times the word's occurrences. The file's weights stay in every
+round as a prior of PRIOR_SHARE of all counts. A word is a blank and its bytes: one piece with the
+blank, then pieces without until it stops. All single bytes are pieces, so every word has a
+probability, and no path passes the vocabulary by. A text is its words and an end, so the
+probabilities of all texts sum to one, and the score of a text is the sum over all segmentations
+of all of it.
 
 Words are counted over all documents first. A word's lattice is worked out once per distinct word
-and pass, with forward sums in log space. The WORDS_AT_HAND most frequent words go to all tasks;
-the others are joined to their documents by word.
+and round, with forward sums in log space; the score of a word only needs the sums of as many
+places back as the longest piece is long. The most frequent words go to all tasks, WORDS_AT_HAND of
+WORD_BYTES bytes at most; the others are joined to their documents by word.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import exp, inf, log, log1p
 
 import numpy as np
@@ -29,14 +32,12 @@ from pyspark.sql import functions as F
 from flowsieve.sources.scratch import materialise
 
 PASSES = 2
-# Chance that a word is drawn from the earlier words of its text.
-CACHE = 0.2
-# Frequent words, of at most WORD_BYTES bytes, that are sent to every task.
+# The file's weights, as a share of the counts that a round works with.
+PRIOR_SHARE = 0.02
+# Frequent words, of at most WORD_BYTES bytes, that are sent to every task: some 10 MB.
 WORDS_AT_HAND, WORD_BYTES = 200_000, 64
 # Distinct words that a task holds before it hands counts on.
-HELD_WORDS = 400_000
-# Count that every piece has besides those of the corpus.
-PRIOR = 0.1
+HELD_WORDS = 200_000
 _LOG10 = log(10)
 
 
@@ -74,6 +75,7 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray) -> None:
         self._logs = logs.tolist()
+        self._longest = max(map(len, pieces), default=1)
         self._root: dict = {}
         for number, piece in enumerate(pieces):
             node = self._root
@@ -81,58 +83,69 @@ class Lattice:
                 node = node.setdefault(byte, {})
             node[-1] = number
 
-    def _edges(self, word: bytes) -> list[list[tuple[int, int]]]:
-        """From each place, (end, piece) of the pieces that start there."""
-        n, root, out = len(word), self._root, []
+    def _edges(self, word: bytes, i: int) -> list[tuple[int, int]]:
+        """(length, piece) of the pieces that start at place i."""
+        node, here, length = self._root, [], 0
+        for byte in word[i : i + self._longest]:
+            node = node.get(byte)
+            if node is None:
+                break
+            length += 1
+            if -1 in node:
+                here.append((length, node[-1]))
+        return here
+
+    def log_probability(self, word: bytes) -> float:
+        """Of a word without its stop. Holds the sums of the places that a piece can still reach."""
+        word, logs = b" " + word, self._logs
+        ahead = [0.0] + [-inf] * self._longest
+        for i in range(len(word)):
+            base = ahead.pop(0)
+            ahead.append(-inf)
+            for length, number in self._edges(word, i):
+                new, old = base + logs[number], ahead[length - 1]
+                if old == -inf:
+                    ahead[length - 1] = new
+                elif new > old:
+                    ahead[length - 1] = new + log1p(exp(old - new))
+                else:
+                    ahead[length - 1] = old + log1p(exp(new - old))
+        return ahead[0]
+
+    def count(self, word: bytes, counts: list[float], times: float = 1.0) -> None:
+        """Add the posterior of every piece in the word to `counts`, `times` over. Holds 8 bytes a place."""
+        word, logs = b" " + word, self._logs
+        n = len(word)
+        # the edges of an ordinary word are kept, those of a very long one found twice
+        kept = [self._edges(word, i) for i in range(n)] if n <= 256 else None
+        sums = array("d", [-inf]) * (n + 1)
+        sums[0] = 0.0
         for i in range(n):
-            node, here = root, []
-            for j in range(i, n):
-                node = node.get(word[j])
-                if node is None:
-                    break
-                number = node.get(-1)
-                if number is not None:
-                    here.append((j + 1, number))
-            out.append(here)
-        return out
-
-    def _forward(self, edges: list[list[tuple[int, int]]]) -> list[float]:
-        logs = self._logs
-        sums = [0.0] + [-inf] * len(edges)
-        for i, here in enumerate(edges):
             base = sums[i]
-            for end, number in here:
-                new, old = base + logs[number], sums[end]
+            for length, number in kept[i] if kept else self._edges(word, i):
+                new, old = base + logs[number], sums[i + length]
                 if old == -inf:
-                    sums[end] = new
+                    sums[i + length] = new
                 elif new > old:
-                    sums[end] = new + log1p(exp(old - new))
+                    sums[i + length] = new + log1p(exp(old - new))
                 else:
-                    sums[end] = old + log1p(exp(new - old))
-        return sums
-
-    def log_probability(self, word: bytes) -> float:
-        return self._forward(self._edges(b" " + word))[-1]
-
-    def count(self, word: bytes, counts: list[float]) -> None:
-        """Add the posterior of every piece in the word to `counts`."""
-        edges, logs = self._edges(b" " + word), self._logs
-        sums = self._forward(edges)
-        n = len(edges)
+                    sums[i + length] = old + log1p(exp(new - old))
         total = sums[n]
-        back = [-inf] * n + [0.0]
+        behind = [0.0]
         for i in range(n - 1, -1, -1):
             value = -inf
-            for end, number in edges[i]:
-                after = back[end] + logs[number]
-                counts[number] += exp(sums[i] + after - total)
+            for length, number in kept[i] if kept else self._edges(word, i):
+                after = behind[-length] + logs[number]
+                counts[number] += times * exp(sums[i] + after - total)
                 if value == -inf:
                     value = after
                 elif after > value:
                     value = after + log1p(exp(value - after))
                 else:
                     value = value + log1p(exp(after - value))
-            back[i] = value
+            behind.append(value)
+            if len(behind) > 2 * self._longest:
+                del behind[: -self._longest]
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -166,91 +179,79 @@ def _count_words(docs: DataFrame) -> DataFrame:
 
 
 def _expected(words: DataFrame, pieces: list[bytes], logs: np.ndarray) -> np.ndarray:
-    """Expected number of every piece in the distinct training words; the driver gets a row per piece."""
+    """Expected number of every piece in all training words; the driver gets a row per piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, counts = Lattice(pieces, logs), [0.0] * len(pieces)
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                lattice.count(word, counts)
+            for word, c in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                lattice.count(word.as_py(), counts, c)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.array(counts)[at])], names=["piece", "n"])
 
-    sums = words.where("c > 0").select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    sums = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(pieces))
-    out[sums["piece"].to_numpy(np.int64)] = sums["n"].to_numpy(float)
+    out[sums["piece"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 
-def _with_logs(words: DataFrame, pieces: list[bytes], logs: np.ndarray, total: float, discount: float, others: float) -> DataFrame:
-    """Add the log10 probability of every word: its own edge, and `others` (a log) for the paths through pieces."""
+def _with_prior(pieces: list[bytes], expected: np.ndarray, weights: np.ndarray, stops: float) -> tuple[np.ndarray, float]:
+    """Log probabilities after a round: of first pieces, and of the others with the stop, the file's own weights are PRIOR_SHARE."""
+    first = np.array([p.startswith(b" ") for p in pieces])
+    mixed = np.zeros(len(pieces))
+    for group, counted, own in ((first, expected[first].sum(), weights[first].sum()), (~first, expected[~first].sum() + stops, weights[~first].sum())):
+        share = PRIOR_SHARE / (1 - PRIOR_SHARE) * max(counted, 1.0)
+        mixed[group] = expected[group] + share * weights[group] / own
+    return _normalised(pieces, mixed, stops)
+
+
+def _with_logs(words: DataFrame, pieces: list[bytes], logs: np.ndarray, stop: float) -> DataFrame:
+    """Add the log10 probability of every word, its stop included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logs)
         for batch in batches:
-            values = []
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value = lattice.log_probability(word) + others
-                if c:
-                    own = log((c - discount) / total)
-                    value = max(own, value) + log1p(exp(-abs(own - value)))
-                values.append(value / _LOG10)
+            values = [(lattice.log_probability(word.as_py()) + stop) / _LOG10 for word in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], names=["word", "c", "log"])
 
     return words.mapInArrow(run, "word binary, c long, log double")
 
 
-def earlier_shares(codes: np.ndarray) -> np.ndarray:
-    """For each token the share that its code has among the tokens before it; 0 for the first."""
-    order = np.argsort(codes, kind="stable")
-    grouped = codes[order]
-    first = np.flatnonzero(np.concatenate([[True], grouped[1:] != grouped[:-1]]))
-    before = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
-    shares = np.zeros(len(codes))
-    shares[order] = before / np.maximum(order, 1)
-    return shares
-
+def _at_hand(scored: DataFrame) -> pa.Table:
+    """(word, c, log) of the most frequent words, WORDS_AT_HAND at most: all from some count on."""
+    short = scored.where(F.octet_length("word") <= WORD_BYTES)
+    # counts in steps of a tenth, a few hundred of them
+    step = F.floor(10 * F.log2(F.col("c") + 1))
+    steps = short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    least, held = inf, 0
+    for row in steps:
+        held += row.n
+        if held > WORDS_AT_HAND:
+            break
+        least = row.step
+    return short.where(step >= F.lit(float(least))).toArrow()
 
-def _read_documents(docs: DataFrame, at_hand: DataFrame) -> DataFrame:
-    """A row per document with sums over the words at hand (word is null), and one per other word in it.
 
-    The latter has `times`, and `shares`: the word's share of the text before each later occurrence.
-    """
-    schema = (
-        "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, first boolean,"
-        " word binary, times long, shares array<double>"
-    )
-    listed = at_hand.toPandas()
-    words = [bytes(w) for w in listed["word"]]
-    counts, logs = listed["c"].to_numpy(np.int64), listed["log"].to_numpy(float)
+def _read_documents(docs: DataFrame, at_hand: pa.Table) -> DataFrame:
+    """A row per document with sums over the words at hand (word is null), and one per other distinct word in it."""
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, word binary, times long"
+    words = at_hand["word"].to_pylist()
+    counts, logs = at_hand["c"].to_numpy(), at_hand["log"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         place = {w: i for i, w in enumerate(words)}
-        known, base, drawn = counts > 0, np.log10(counts + 1.0), (1 - CACHE) * 10.0**logs
-        n, rows = len(words), []
+        known, base, n = counts > 0, np.log10(counts + 1.0), len(words)
+        rows: list[tuple] = []
         for batch in batches:
             for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = _words(text.as_py())
-                others: dict[bytes, int] = {}
-                codes = np.fromiter(
-                    (place[w] if w in place else others.setdefault(w, n + len(others)) for w in found), dtype=np.int64, count=len(found))
-                value = 0.0
+                codes = np.fromiter(map(place.get, found, repeat(n)), dtype=np.int64, count=len(found))
                 own = codes[codes < n]
-                if len(found):
-                    shares = earlier_shares(codes)
-                    with np.errstate(divide="ignore"):
-                        value = float(np.log10(drawn[own] + CACHE * shares[codes < n]).sum())
-                    if codes[0] < n:  # nothing stands before the first word, so it has no other source
-                        value -= log(1 - CACHE) / _LOG10
-                if others:
-                    at = np.flatnonzero(codes >= n)
-                    order = at[np.argsort(codes[at], kind="stable")]
-                    ends = np.cumsum(np.bincount(codes[at] - n))
-                    for word, lo, hi in zip(others, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                        rows.append((uid, None, None, None, None, None, None, bool(order[lo] == 0), word, hi - lo,
-                                     shares[order[lo + 1 : hi]].tolist()))
-                rows.append((uid, doc, held, len(found) + 1, int(known[own].sum()), float(base[own].sum()), value, None, None, None, None))
+                if len(own) < len(found):
+                    others = Counter(found[i] for i in np.flatnonzero(codes == n))
+                    rows += [(uid, None, None, None, None, None, None, word, times) for word, times in others.items()]
+                rows.append((uid, doc, held, len(found) + 1, int(known[own].sum()), float(base[own].sum()), float(logs[own].sum()), None, None))
                 uid += 1
                 if len(rows) > 50_000:
                     yield _batch(rows)
@@ -258,8 +259,7 @@ def _read_documents(docs: DataFrame, at_hand: DataFrame) -> DataFrame:
         yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.binary(),
-                 pa.int64(), pa.list_(pa.float64()))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[part.split()[0] for part in schema.split(", ")])
@@ -272,47 +272,41 @@ def score_documents(docs: DataFrame, vocabulary_file: str, id: str = "doc_id", t
 
     Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Tokens are the
     words and one end; base_score is that of a word model with one added to every count, score the
-    log10 probability of the words and the end under the lattice model. Null and empty texts are
-    an end alone. A null id is not held out; repeated rows count and are scored each; other columns
-    play no part. Without training documents every count is 0 and the pieces keep their first
-    weights; an empty table gives an empty result.
+    log10 probability of the words and the end, summed over all segmentations of the words into
+    pieces. Null and empty texts are an end alone. A null id is not held out; repeated rows count
+    and are scored each; other columns play no part. Without training documents every count is 0
+    and the pieces keep the file's weights; an empty table gives an empty result. A word of any
+    length is scored in the memory of its text; one in a training document takes 8 bytes a byte.
 
     Runs its jobs when called.
     """
     held = F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").cast("binary").alias("text"))
     words = materialise(_count_words(docs), "words")
-    n_words, distinct, once, twice = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), *[F.count(F.when(test, 1)) for test in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
+    n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     ends = docs.where("NOT held_out").count()
     n, v = n_words + ends, distinct + (ends > 0)
 
     pieces, weights = vocabulary(vocabulary_file)
     logs, stop = _normalised(pieces, weights, weights.sum() / 4)
     for _ in range(passes if n_words else 0):
-        logs, stop = _normalised(pieces, _expected(words, pieces, logs) + PRIOR, distinct + PRIOR)
-    # absolute discounting by the numbers of words seen once and twice
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    others = log(discount * distinct / n) if distinct else log(0.5)
-    end_log = log(ends / n) if ends else log(0.5)
-
-    scored = materialise(_with_logs(words, pieces, logs, n, discount, others + stop), "word_scores")
-    frequent = scored.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(WORDS_AT_HAND)
-    read = materialise(_read_documents(docs, frequent), "read_documents")
-    rest = read.where("word IS NOT NULL").select("uid", "word", "times", "first", "shares").join(scored, "word")
-    drawn = F.lit(log(1 - CACHE) / _LOG10) + F.col("log")
-    later = F.aggregate("shares", F.lit(0.0), lambda total, share: total + F.log10(
-        F.lit(1 - CACHE) * F.pow(F.lit(10.0), F.col("log")) + F.lit(CACHE) * share))
+        logs, stop = _with_prior(pieces, _expected(words, pieces, logs), weights, n_words)
+    # a token is an end or a word; one kind has been seen of neither before training, and both can follow
+    end = (ends + 1) / (n + 2)
+    word_log, end_log = log(1 - end) / _LOG10, log(end) / _LOG10
+
+    scored = materialise(_with_logs(words, pieces, logs, stop), "word_scores")
+    read = materialise(_read_documents(docs, _at_hand(scored)), "read_documents")
+    rest = read.where("word IS NOT NULL").select("uid", "word", "times").join(scored, "word")
     sums = rest.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_base"),
-        F.sum(F.when(F.col("first"), F.col("log")).otherwise(drawn) + later).alias("more_log"))
-    whole = read.where("word IS NULL").drop("word", "times", "shares").join(sums, "uid", "left")
+        F.sum(F.col("times") * F.col("log")).alias("more_log"))
+    whole = read.where("word IS NULL").drop("word", "times").join(sums, "uid", "left")
     ends_known = F.lit(int(ends > 0))
     base_end, each = log(ends + 1) / _LOG10, log(n + v + 1) / _LOG10
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) + ends_known).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(base_end) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        (F.col("log") + F.coalesce("more_log", F.lit(0.0)) + F.lit(end_log / _LOG10)
-         + F.when(F.col("n_tokens") > 1, F.lit(log(1 - CACHE) / _LOG10)).otherwise(F.lit(0.0))).alias("score"))
+        (F.col("log") + F.coalesce("more_log", F.lit(0.0)) + F.lit(end_log) + (F.col("n_tokens") - 1) * F.lit(word_log)).alias("score"))

@@ -43,9 +43,36 @@ def test_weights_are_distributions():
     assert isclose(np.exp(logs[first]).sum(), 1) and isclose(np.exp(logs[~first]).sum() + exp(stop), 1)
 
 
-def test_earlier_shares():
-    assert lattice_lm.earlier_shares(np.array([5, 7, 5, 5, 7])).tolist() == [0, 0, 1 / 2, 2 / 3, 1 / 4]
-    assert len(lattice_lm.earlier_shares(np.zeros(0, dtype=np.int64))) == 0
+def test_long_words_in_little_memory():
+    import tracemalloc
+
+    pieces, weights = lattice_lm.vocabulary(VOCABULARY)
+    logs, _ = lattice_lm._normalised(pieces, weights, 1.0)
+    lattice = lattice_lm.Lattice(pieces, logs)
+    word = b"abrakadabra" * 10_000
+    tracemalloc.start()
+    long = lattice.log_probability(word)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    counts = [0.0] * len(pieces)
+    tracemalloc.reset_peak()
+    lattice.count(word, counts, 2.0)
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(word)
+    tracemalloc.stop()
+    assert isclose(sum(c * len(p) for c, p in zip(counts, pieces, strict=True)), 2 * (len(word) + 1), rel_tol=1e-6)
+    # far from the ends every repeat adds the same
+    assert isclose(long - lattice.log_probability(word[11:]), lattice.log_probability(word[: 11 * 60]) - lattice.log_probability(word[: 11 * 59]), rel_tol=1e-6)
+
+
+def test_the_files_weights_stay_as_a_prior():
+    pieces, weights = lattice_lm.vocabulary(VOCABULARY)
+    expected = np.zeros(len(pieces))
+    expected[pieces.index(b" the")] = 900
+    expected[pieces.index(b"e")] = 50
+    logs, stop = lattice_lm._with_prior(pieces, expected, weights, 900)
+    first = np.array([p.startswith(b" ") for p in pieces])
+    assert isclose(np.exp(logs[first]).sum(), 1) and isclose(np.exp(logs[~first]).sum() + exp(stop), 1)
+    other = first & (expected == 0)
+    assert isclose(np.exp(logs[other]).sum() / (weights[other].sum() / weights[first].sum()), lattice_lm.PRIOR_SHARE, rel_tol=1e-9)
 
 
 def direct(docs, passes):
@@ -60,30 +87,40 @@ def direct(docs, passes):
     for _ in range(passes if counts else 0):
         expected = [0.0] * len(pieces)
         lattice = lattice_lm.Lattice(pieces, logs)
-        for w in counts:
-            lattice.count(w, expected)
-        logs, stop = lattice_lm._normalised(pieces, np.array(expected) + lattice_lm.PRIOR, len(counts) + lattice_lm.PRIOR)
+        for w, c in counts.items():
+            lattice.count(w, expected, c)
+        logs, stop = lattice_lm._with_prior(pieces, np.array(expected), weights, sum(counts.values()))
     lattice = lattice_lm.Lattice(pieces, logs)
-    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-
-    def chance(w):
-        ways = exp(lattice.log_probability(w) + stop)
-        return max(0.0, counts[w] - discount) / n + ways * discount * len(counts) / n if counts else 0.5 * ways
+    end = (ends + 1) / (n + 2)
 
     out = []
     for ws in words:
         score = base = 0.0
-        for i, w in enumerate(ws):
-            p = chance(w)
-            score += log10(0.8 * p + 0.2 * ws[:i].count(w) / i if i else p)
+        for w in ws:
+            score += (log(1 - end) + lattice.log_probability(w) + stop) / log(10)
             base += log10((counts[w] + 1) / (n + v + 1))
-        score += log10(ends / n if ends else 0.5) + (log10(0.8) if ws else 0)
+        score += log10(end)
         base += log10((ends + 1) / (n + v + 1))
         out.append((len(ws) + 1, sum(counts[w] > 0 for w in ws) + (ends > 0), n, base, score))
     return out
 
 
+def test_whole_texts_against_all_segmentations(spark):
+    """A text's score is the sum over every way to cut all of its words, by plain recursion."""
+    docs = [(d, t) for d, t in enumerate(["ab ba abab", "b", "", "aab abba a"])]
+    rows = {r.doc_id: r.score for r in lattice_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), VOCABULARY, passes=0).collect()}
+    pieces, weights = lattice_lm.vocabulary(VOCABULARY)
+    logs, stop = lattice_lm._normalised(pieces, weights, weights.sum() / 4)
+    chance = dict(zip(pieces, np.exp(logs).tolist(), strict=True))
+    ends = sum(zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in docs)
+    n = ends + sum(len(t.split()) for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2)
+    for d, text in docs:
+        whole = (ends + 1) / (n + 2)
+        for word in text.encode().split():
+            whole *= (1 - (ends + 1) / (n + 2)) * exp(stop) * all_ways(b" " + word, chance)
+        assert isclose(rows[d], log10(whole), rel_tol=1e-9)
+
+
 def compare(rows, want):
     got = sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows)
     for a, b in zip(got, sorted(want), strict=True):
