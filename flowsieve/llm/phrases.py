@@ -37,11 +37,13 @@ LEAST_COUNT = 100
 BEST = 2000
 TRIE_PHRASES = 1 << 20
 SIEVE_WORDS = 1 << 23
-# Words of one sequence row, whose states advance together.
-ROW_WORDS = 1 << 18
+# Words of one sequence row, few enough that thousands of rows in a reader's or an Arrow batch are some
+# MB; rows that leave a task as one batch; and words of as many rows as advance together.
+ROW_WORDS, SENT_ROWS, STEP_WORDS = 1 << 8, 1 << 12, 1 << 17
 
-# Pairs that a task holds before it hands their counts on, and occurrences of the pairs of one bucket.
-PAIRS_HELD, PAIRS_SUMMED = 1 << 21, 1 << 19
+# Pairs that a task holds before it hands their counts on, those that leave as one Arrow batch, and
+# occurrences of the pairs of one bucket.
+PAIRS_HELD, PAIRS_SENT, PAIRS_SUMMED = 1 << 20, 1 << 17, 1 << 19
 # States whose counts are summed as one vector, first over the tasks of each of SUMMED_FIRST parts.
 STATES, SUMMED_FIRST = 2048, 64
 
@@ -114,7 +116,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _sequences(texts: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """Rows of up to ROW_WORDS words as binary; 0 is a break.
+    """Rows of about ROW_WORDS words as binary; 0 is a break, and every row starts with one.
 
     `frequent` has the sorted keys of the words that stay, which are numbered from 1 by 32 bits; without
     it a word stands as its key.
@@ -135,18 +137,34 @@ def _sequences(texts: DataFrame, frequent: np.ndarray | None) -> DataFrame:
                 words, opens = words[stays], opens[stays]
                 out = np.zeros(len(words) + int(opens.sum()), dtype=kind)
                 out[np.arange(len(words)) + np.cumsum(opens)] = words
-                breaks = np.flatnonzero(out == 0)
-                at = 0
-                while at < len(out):
-                    # rows end at breaks, so no phrase is divided
-                    later = np.searchsorted(breaks, at + ROW_WORDS)
-                    end = int(breaks[later]) if later < len(breaks) else len(out)
-                    yield pa.RecordBatch.from_arrays([pa.array([out[at:end].tobytes()], pa.binary())], names=["words"])
-                    at = end
+                # rows end at breaks, so no phrase is divided
+                breaks = np.append(np.flatnonzero(out == 0), len(out))
+                bounds = np.unique(breaks[np.searchsorted(breaks, np.arange(0, len(out) + ROW_WORDS, ROW_WORDS).clip(max=len(out)))])
+                for at in range(0, len(bounds) - 1, SENT_ROWS):
+                    part = bounds[at : at + SENT_ROWS + 1]
+                    offsets = pa.array((part - part[0]) * out.itemsize, pa.int32())
+                    rows = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, offsets.buffers()[1], pa.py_buffer(out[part[0] : part[-1]])])
+                    yield pa.RecordBatch.from_arrays([rows], names=["words"])
 
     return texts.mapInArrow(run, "words binary")
 
 
+def _steps(batches, kind: type):
+    """The words of rows of sequences, as many rows at once as have about STEP_WORDS words."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch.column(0).cast(pa.large_binary())
+        _, offsets, data = rows.buffers()
+        words = np.frombuffer(data, dtype=kind, count=data.size // np.dtype(kind).itemsize)
+        bounds = np.frombuffer(offsets, dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1] // words.itemsize
+        at = 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + STEP_WORDS, side="right")) - 1)
+            yield words[bounds[at] : bounds[end]]
+            at = end
+
+
 def _at(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in the sorted vocabulary from 1, or 0."""
     if not len(vocabulary):
@@ -193,9 +211,12 @@ class DoubleArrayTrie:
             states[span] = self._fit(codes[span]) + codes[span]
             self._own(parents[span], codes[span], states[span])
         single = starts[counts == 1]
-        self._grow(len(self.check) + len(single))
         # places beyond the codes, so that no base is negative
         free = np.flatnonzero(self.check[size + 1 :] == 0)[: len(single)] + size + 1
+        if len(free) < len(single):
+            end, lack = len(self.check), len(single) - len(free)
+            self._grow(end + lack)
+            free = np.append(free, np.arange(end, end + lack))
         states[single] = free
         self._own(parents[single], codes[single], free)
         return states
@@ -255,6 +276,26 @@ def _summed_pairs(first: np.ndarray, last: np.ndarray, n: np.ndarray | None = No
     return first, last, np.add.reduceat(n[order], starts) if len(starts) else n[:0]
 
 
+def _dealt(waiting: list[tuple[np.ndarray, np.ndarray]], buckets: int):
+    """Shards (bucket, first, last, n) of the pairs in `waiting`, in batches of about PAIRS_SENT pairs; `waiting` is emptied."""
+    first, last = (np.concatenate(c) for c in zip(*waiting, strict=True))
+    waiting.clear()
+    first, last, n = _summed_pairs(first, last)
+    with np.errstate(over="ignore"):
+        bucket = mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ last) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    columns, names = (first, last, n.astype(np.uint32)), ["bucket", "first", "last", "n"]
+    at = 0
+    while at < len(bounds) - 1:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PAIRS_SENT, side="right")) - 1)
+        spans = [order[a:b] for a, b in zip(bounds[at:end], bounds[at + 1 : end + 1], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[bounds[at:end]].astype(np.int64)), *(pa.array([c[span].tobytes() for span in spans], pa.binary()) for c in columns)], names=names)
+        at = end
+
+
 def _proposed(sequences: DataFrame, trie: DoubleArrayTrie | None, both: bool, least: int, kind: type, buckets: int) -> DataFrame:
     """(first, last) of the phrases that are frequent: an accepting state of the trie, or a word, and the next word.
 
@@ -264,41 +305,29 @@ def _proposed(sequences: DataFrame, trie: DoubleArrayTrie | None, both: bool, le
 
     def run(batches):
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def dealt() -> pa.RecordBatch:
-            first, last, n = _summed_pairs(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
-            waiting.clear()
-            with np.errstate(over="ignore"):
-                bucket = mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ last) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
-            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=False))
-            columns = [[c[order[a:b]].tobytes() for a, b in spans] for c in (first, last, n.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "first", "last", "n"])
-
-        for batch in batches:
-            for cell in batch.column(0):
-                words = np.frombuffer(cell.as_buffer(), dtype=kind)
-                if trie:
-                    *_, state = trie.walk(words)
-                    good = state[:-length] > 0
-                    good &= (state[1 : len(words) - length + 1] > 0) if both else (words[length:] > 0)
-                    # states are below 2 ** 32: a trie has few phrases
-                    state = state.astype(kind)
-                else:
-                    state, good = words, (words[:-1] > 0) & (words[1:] > 0)
-                at = np.flatnonzero(good)
-                waiting.append((state[at], words[at + length]))
-                if sum(len(w[0]) for w in waiting) >= PAIRS_HELD:
-                    yield dealt()
-        if waiting:
-            yield dealt()
+        held = 0
+        for words in _steps(batches, kind):
+            if trie:
+                for state in trie.walk(words):
+                    pass
+                good = state[:-length] > 0
+                good &= (state[1 : len(words) - length + 1] > 0) if both else (words[length:] > 0)
+                # states are below 2 ** 32: a trie has few phrases
+                state = state.astype(kind)
+            else:
+                state, good = words, (words[:-1] > 0) & (words[1:] > 0)
+            at = np.flatnonzero(good)
+            waiting.append((state[at], words[at + length]))
+            held += len(at)
+            if held >= PAIRS_HELD:
+                yield from _dealt(waiting, buckets)
+                held = 0
+        if held:
+            yield from _dealt(waiting, buckets)
 
     def total(shards: pa.Table) -> pa.Table:
-        columns = [np.concatenate([np.frombuffer(x.as_buffer(), dtype=t) for x in shards.column(c)]) for c, t in (("first", kind), ("last", kind), ("n", np.int64))]
-        first, last, n = _summed_pairs(*columns)
+        columns = [np.concatenate([np.frombuffer(x.as_buffer(), dtype=t) for x in shards.column(c)]) for c, t in (("first", kind), ("last", kind), ("n", np.uint32))]
+        first, last, n = _summed_pairs(*columns[:2], columns[2].astype(np.int64))
         often = n >= least
         return pa.table({"first": pa.array(first[often].astype(np.uint64).view(np.int64)), "last": pa.array(last[often].astype(np.uint64).view(np.int64))})
 
@@ -356,10 +385,9 @@ def _counted(sequences: DataFrame, phrases: DataFrame, longest: int, kind: type)
 
         def run(batches, trie=trie):
             totals = np.zeros(-(-len(trie.check) // STATES) * STATES, dtype=np.int64)
-            for batch in batches:
-                for cell in batch.column(0):
-                    for state in trie.walk(np.frombuffer(cell.as_buffer(), dtype=kind)):
-                        totals += np.bincount(state, minlength=len(totals))
+            for words in _steps(batches, kind):
+                for state in trie.walk(words):
+                    totals += np.bincount(state, minlength=len(totals))
             totals[0] = 0
             chunks = totals.reshape(-1, STATES)
             part = TaskContext.get().partitionId() % SUMMED_FIRST

@@ -97,3 +97,45 @@ def test_trie_walks_like_a_dictionary():
         for i, s in enumerate(state.tolist()):
             phrase = tuple(text[i : i + length].tolist())
             assert name.get(s) == (phrase if len(phrase) == length and phrase in known else None)
+
+
+def test_sequences_are_small_rows(spark):
+    """Thousands of rows are read at a time, so a row may not have more than some words beyond a long piece."""
+    docs = [("en", "a b c d. " * 20_000), ("en", "e " * 3000)]
+    rows = [r.words for r in phrases._sequences(spark.createDataFrame(docs, "lang string, text string").coalesce(1), None).collect()]
+    sizes = sorted(len(r) // 8 for r in rows)
+    assert sizes[-1] > 3000 and sizes[-2] < 2 * phrases.ROW_WORDS and sum(sizes) == 100_000 + 3001
+    assert all(r[:8] == bytes(8) for r in rows)
+
+
+def test_steps_join_whole_rows():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(7)
+    rows = [np.append(0, draw.integers(1, 99, n)).astype(np.uint32) for n in (5, 300_000, 1, *[200] * 2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"skip", *(r.tobytes() for r in rows)], pa.binary())], names=["words"]).slice(1)
+    steps = list(phrases._steps([batch.slice(0, 0), batch], np.uint32))
+    assert np.array_equal(np.concatenate(steps), np.concatenate(rows)) and all(s[0] == 0 for s in steps)
+    assert sorted(map(len, steps))[-2] <= phrases.STEP_WORDS < 4 * sorted(map(len, steps))[-2]
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_pairs_leave_in_small_batches(monkeypatch, kind):
+    monkeypatch.setattr(phrases, "PAIRS_SENT", 1000)
+    draw = np.random.default_rng(8)
+    waiting = [(draw.integers(1, 200, 4000).astype(kind), draw.integers(1, 200, 4000).astype(kind)) for _ in range(5)]
+    want = Counter(p for w in waiting for p in zip(*(x.tolist() for x in w), strict=True))
+    got, buckets = Counter(), []
+    for batch in phrases._dealt(waiting, 64):
+        assert sum(len(n.as_py()) // 4 for n in batch["n"]) <= 1000
+        for row in batch.to_pylist():
+            buckets.append(row["bucket"])
+            got.update(dict(zip(zip(np.frombuffer(row["first"], kind).tolist(), np.frombuffer(row["last"], kind).tolist(), strict=True), np.frombuffer(row["n"], np.uint32).tolist(), strict=True)))
+    assert got == want and sorted(set(buckets)) == sorted(buckets) and not waiting
+
+
+def test_a_deep_trie_stays_small():
+    draw = np.random.default_rng(5)
+    rows = np.unique(draw.integers(1, 200, (500, 20)), axis=0).astype(np.uint64)
+    trie = phrases.DoubleArrayTrie(rows)
+    assert len(trie.check) < 3 * rows.size
