@@ -10,8 +10,10 @@ probabilities of all texts sum to one, and the score of a text is the sum over a
 of all of it.
 
 Words are counted over all documents first. A word's lattice is worked out once per distinct word
-and round, with forward sums in log space; the score of a word only needs the sums of as many
-places back as the longest piece is long. The most frequent words go to all tasks, WORDS_AT_HAND of
+and round. Words of a batch advance together, by length: a double-array trie finds the pieces at
+all places, and sums over segmentations are array operations, in plain doubles that are scaled by
+a constant a byte. Words too long for these have their sums in log space, one by one; the score of
+such a word only needs the sums of as many places back as the longest piece is long. The most frequent words go to all tasks, WORDS_AT_HAND of
 WORD_BYTES bytes at most; the others are joined to their documents by word.
 """
 
@@ -25,10 +27,12 @@ from math import exp, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.llm.phrases import DoubleArrayTrie
 from flowsieve.sources.scratch import materialise
 
 PASSES = 2
@@ -38,6 +42,8 @@ PRIOR_SHARE = 0.02
 WORDS_AT_HAND, WORD_BYTES = 200_000, 64
 # Distinct words that a task holds before it hands counts on.
 HELD_WORDS = 200_000
+# Words whose lattices are worked out together and their bytes at most, and how far from 1 their scaled sums may be, as a logarithm.
+WORDS_TOGETHER, TOGETHER_BYTES, SCALED_LOG = 2048, 64, 500.0
 _LOG10 = log(10)
 
 
@@ -148,6 +154,108 @@ class Lattice:
                 del behind[: -self._longest]
 
 
+def piece_trie(pieces: list[bytes]) -> tuple[DoubleArrayTrie, np.ndarray]:
+    """Trie of the pieces, bytes from 1, and the number of the piece that ends in each state, or the number of pieces."""
+    listed = np.zeros((len(pieces), max(map(len, pieces))), dtype=np.uint16)
+    for row, piece in zip(listed, pieces, strict=True):
+        row[: len(piece)] = np.frombuffer(piece, dtype=np.uint8)
+        row[: len(piece)] += 1
+    trie = DoubleArrayTrie(listed)
+    ends = np.full(len(trie.check), len(pieces), dtype=np.int32)
+    ends[trie.accepting] = np.arange(len(pieces))
+    return trie, ends
+
+
+class Lattices:
+    """The lattices of many words at once. Made once per task; every byte has to be a piece.
+
+    The sum up to a place is multiplied by exp(shift) a byte, with the shift half of what a byte can
+    cost, so that words of up to `most` bytes, their blank included, stay within doubles. Others go through a `Lattice`.
+    """
+
+    def __init__(self, pieces: list[bytes], logs: np.ndarray, trie: DoubleArrayTrie, ends: np.ndarray) -> None:
+        self._pieces, self._logs, self._trie, self._ends = pieces, logs, trie, ends
+        lengths = np.array([len(p) for p in pieces])
+        self._shift = -float((logs / lengths).min()) / 2
+        self._chances = np.append(np.exp(logs + self._shift * lengths), 0.0)
+        self.most = min(TOGETHER_BYTES, int(SCALED_LOG / max(self._shift, 1.0)))
+        self._single: Lattice | None = None
+
+    def _one(self) -> Lattice:
+        self._single = self._single or Lattice(self._pieces, self._logs)
+        return self._single
+
+    def _together(self, words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]]:
+        """Groups of words: their places, lengths, pieces and chances by length of piece, and sums up to every place."""
+        if not len(words):
+            return
+        words = words.cast(pa.large_binary())
+        _, offsets, data = words.buffers()
+        bounds = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+        sizes = np.diff(bounds) + 1
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] <= self.most]
+        for at in range(0, len(order), WORDS_TOGETHER):
+            group = order[at : at + WORDS_TOGETHER]
+            n = sizes[group]
+            width = int(n[-1])
+            # a blank, the word's bytes and a break; 0 is no byte
+            codes = np.zeros((len(group), width + 1), dtype=np.uint16)
+            codes[:, 0] = 33
+            inside = np.arange(1, width + 1) < n[:, None]
+            row, place = np.nonzero(inside)
+            codes[row, place + 1] = data[bounds[group][row] + place]
+            codes[row, place + 1] += 1
+            pieces, chances = [], []
+            for _, state in zip(range(width), self._trie.walk(codes.reshape(-1)), strict=False):
+                if not state.any():
+                    break
+                pieces.append(self._ends[state].reshape(codes.shape)[:, :width].T.copy())
+                chances.append(self._chances[pieces[-1]])
+            sums = np.zeros((width + 1, len(group)))
+            sums[0] = 1.0
+            for i in range(width):
+                for length, chance in enumerate(chances[: width - i], 1):
+                    sums[i + length] += sums[i] * chance[i]
+            yield group, n, pieces, chances, sums
+
+    def _others(self, words: pa.Array) -> list[int]:
+        return np.flatnonzero(pc.binary_length(words).to_numpy() >= self.most).tolist()
+
+    def log_probabilities(self, words: pa.Array) -> np.ndarray:
+        """Of words without their stops."""
+        out = np.zeros(len(words))
+        for group, n, _, _, sums in self._together(words):
+            out[group] = np.log(sums[n, np.arange(len(group))]) - self._shift * n
+        for i in self._others(words):
+            out[i] = self._one().log_probability(words[i].as_py())
+        return out
+
+    def count(self, words: pa.Array, times: np.ndarray) -> np.ndarray:
+        """Sum over all words of the posterior of every piece, `times` over."""
+        out = np.zeros(len(self._pieces) + 1)
+        for group, n, pieces, chances, sums in self._together(words):
+            each = np.arange(len(group))
+            behind = np.zeros_like(sums)
+            behind[n, each] = 1.0
+            for i in range(len(sums) - 2, -1, -1):
+                for length, chance in enumerate(chances[: len(sums) - 1 - i], 1):
+                    behind[i] += chance[i] * behind[i + length]
+            scale = times[group] / sums[n, each]
+            for length, (piece, chance) in enumerate(zip(pieces, chances, strict=True), 1):
+                here = np.nonzero(chance[: len(sums) - length])
+                posterior = (sums[here] * chance[here]) * behind[here[0] + length, here[1]] * scale[here[1]]
+                out += np.bincount(piece[here], posterior, minlength=len(out))
+        others = self._others(words)
+        if others:
+            counts = [0.0] * len(self._pieces)
+            for i in others:
+                self._one().count(words[i].as_py(), counts, float(times[i]))
+            out[:-1] += counts
+        return out[:-1]
+
+
 def _words(text: bytes | None) -> list[bytes]:
     # bytes split at 0x20 and 0x09-0x0D, and lower() changes A-Z alone
     return (text or b"").lower().split()
@@ -178,16 +286,15 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.select("held_out", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _expected(words: DataFrame, pieces: list[bytes], logs: np.ndarray) -> np.ndarray:
+def _expected(words: DataFrame, pieces: list[bytes], logs: np.ndarray, trie: tuple[DoubleArrayTrie, np.ndarray]) -> np.ndarray:
     """Expected number of every piece in all training words; the driver gets a row per piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts = Lattice(pieces, logs), [0.0] * len(pieces)
+        lattices, counts = Lattices(pieces, logs, *trie), np.zeros(len(pieces))
         for batch in batches:
-            for word, c in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                lattice.count(word.as_py(), counts, c)
+            counts += lattices.count(batch.column(0), batch.column(1).to_numpy())
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.array(counts)[at])], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["piece", "n"])
 
     sums = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(pieces))
@@ -205,13 +312,13 @@ def _with_prior(pieces: list[bytes], expected: np.ndarray, weights: np.ndarray,
     return _normalised(pieces, mixed, stops)
 
 
-def _with_logs(words: DataFrame, pieces: list[bytes], logs: np.ndarray, stop: float) -> DataFrame:
+def _with_logs(words: DataFrame, pieces: list[bytes], logs: np.ndarray, stop: float, trie: tuple[DoubleArrayTrie, np.ndarray]) -> DataFrame:
     """Add the log10 probability of every word, its stop included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces, logs)
+        lattices = Lattices(pieces, logs, *trie)
         for batch in batches:
-            values = [(lattice.log_probability(word.as_py()) + stop) / _LOG10 for word in batch.column(0)]
+            values = (lattices.log_probabilities(batch.column(0)) + stop) / _LOG10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], names=["word", "c", "log"])
 
     return words.mapInArrow(run, "word binary, c long, log double")
@@ -288,14 +395,15 @@ def score_documents(docs: DataFrame, vocabulary_file: str, id: str = "doc_id", t
     n, v = n_words + ends, distinct + (ends > 0)
 
     pieces, weights = vocabulary(vocabulary_file)
+    trie = piece_trie(pieces)
     logs, stop = _normalised(pieces, weights, weights.sum() / 4)
     for _ in range(passes if n_words else 0):
-        logs, stop = _with_prior(pieces, _expected(words, pieces, logs), weights, n_words)
+        logs, stop = _with_prior(pieces, _expected(words, pieces, logs, trie), weights, n_words)
     # a token is an end or a word; one kind has been seen of neither before training, and both can follow
     end = (ends + 1) / (n + 2)
     word_log, end_log = log(1 - end) / _LOG10, log(end) / _LOG10
 
-    scored = materialise(_with_logs(words, pieces, logs, stop), "word_scores")
+    scored = materialise(_with_logs(words, pieces, logs, stop, trie), "word_scores")
     read = materialise(_read_documents(docs, _at_hand(scored)), "read_documents")
     rest = read.where("word IS NOT NULL").select("uid", "word", "times").join(scored, "word")
     sums = rest.groupBy("uid").agg(

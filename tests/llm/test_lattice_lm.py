@@ -149,3 +149,50 @@ def test_empty_and_untrained(spark):
     only_held = [(d, "a b") for d in range(60) if zlib.crc32(str(d).encode()) % 7 == 2]
     rows = lattice_lm.score_documents(spark.createDataFrame(only_held, "doc_id long, text string"), VOCABULARY).collect()
     compare(rows, direct(only_held, 0))
+
+
+def some_words(seed, n):
+    draw = np.random.default_rng(seed)
+    syllables = ["th", "er", "ing", "tion", "an", "q", "é", "日", "7", "0x", "-", "the", "\x00"]
+    return list({"".join(draw.choice(syllables, draw.integers(1, 8))).encode() for _ in range(n)})
+
+
+@pytest.mark.parametrize("together", [7, 2048])
+def test_words_together_as_one_by_one(monkeypatch, together):
+    """Also words around the length from which they go one by one, and a slice of a column."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lattice_lm, "WORDS_TOGETHER", together)
+    pieces, weights = lattice_lm.vocabulary(VOCABULARY)
+    trie = lattice_lm.piece_trie(pieces)
+    logs, _ = lattice_lm._normalised(pieces, weights, 2.0)
+    many, one = lattice_lm.Lattices(pieces, logs, *trie), lattice_lm.Lattice(pieces, logs)
+    words = [*some_words(3, 300), b"", bytes([255, 0, 128]), *(b"\xff" * n for n in range(many.most - 3, many.most + 3)), b"the" * 500]
+    times = np.arange(1, len(words) + 1)
+    column = pa.array([b"skipped", *words], pa.binary()).slice(1)
+    want = [one.log_probability(w) for w in words]
+    assert np.allclose(many.log_probabilities(column), want, rtol=1e-10, atol=0)
+    counts = [0.0] * len(pieces)
+    for word, n in zip(words, times.tolist(), strict=True):
+        one.count(word, counts, n)
+    assert np.allclose(many.count(column, times), counts, rtol=1e-9, atol=1e-12)
+    assert len(many.log_probabilities(column[:0])) == 0 == many.count(column[:0], times[:0]).sum()
+
+
+def test_words_together_take_less_time():
+    import time
+
+    import pyarrow as pa
+
+    pieces, weights = lattice_lm.vocabulary(VOCABULARY)
+    trie = lattice_lm.piece_trie(pieces)
+    logs, _ = lattice_lm._normalised(pieces, weights, 2.0)
+    many, one = lattice_lm.Lattices(pieces, logs, *trie), lattice_lm.Lattice(pieces, logs)
+    words = some_words(4, 20_000)[:10_000]
+    column, times, counts = pa.array(words, pa.binary()), np.ones(len(words)), [0.0] * len(pieces)
+    start = time.process_time()
+    many.count(column, times)
+    between = time.process_time()
+    for word in words:
+        one.count(word, counts)
+    assert 2 * (between - start) < time.process_time() - between
